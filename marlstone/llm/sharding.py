@@ -53,14 +53,16 @@ def domain(n: int) -> tuple[int, int]:
 def walk_length(df: DataFrame, n: int, seed: int) -> int:
     """The most times that any row number below n must be permuted to land below n again.
 
-    Only the fewer than sqrt(n) + 1 points from n up can prolong a walk, so those are followed.
+    At most sqrt(n) numbers leave the range at their first step; those are followed until all are
+    back. (Points that no number reaches may lie on cycles outside of it and are left alone.)
     """
     left, right = domain(n)
-    steps, points = 1, df.sparkSession.range(n, left * right)
-    left_over = left * right - n
-    while left_over:
+    steps, points = 1, df.sparkSession.range(n)
+    while left * right > n:
         points = points.select(feistel(F.col("id"), left, right, seed).alias("id")).where(F.col("id") >= n)
-        left_over, steps = points.count(), steps + 1
+        if not points.count():
+            break
+        steps += 1
     return steps
 
 
