@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import contamination, langid, licenses, media, sharding
+from marlstone.llm import contamination, jaccard, langid, licenses, media, sharding
 from marlstone.session import table
 
 
@@ -16,6 +16,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
@@ -29,7 +33,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op3_licenses, op5_langid, op7_decontamination, op10_media)}
+    return {f.__name__: f for f in (op2_sharding, op3_licenses, op4_jaccard, op5_langid, op7_decontamination, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
