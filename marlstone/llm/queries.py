@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import contamination, jaccard, langid, licenses, media, sharding
+from marlstone.llm import contamination, jaccard, langid, licenses, media, sharding, suffixes
 from marlstone.session import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op3_licenses, op4_jaccard, op5_langid, op7_decontamination, op10_media)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_sharding, op3_licenses, op4_jaccard, op5_langid, op7_decontamination, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
