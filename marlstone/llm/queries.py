@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import contamination, jaccard, langid, licenses, media, sharding, suffixes
+from marlstone.llm import contamination, jaccard, langid, lattice, licenses, media, pieces, sharding, suffixes
 from marlstone.session import table
 
 
@@ -28,16 +28,24 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_sharding, op3_licenses, op4_jaccard, op5_langid, op7_decontamination, op10_media)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_sharding, op3_licenses, op4_jaccard, op5_langid, op6_pieces, op7_decontamination, op9_lattice, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
