@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where a local session without spark.checkpoint.dir, as in tests, keeps checkpoints.
+UNSET = "/tmp/checkpoints"
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -22,13 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the shared folder that the cluster names in spark.checkpoint.dir."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, set as the checkpoint folder too."""
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or "/tmp/marlstone-checkpoints")
+        context.setCheckpointDir(named or UNSET)
+    return named or UNSET
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """An eager checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
