@@ -1,12 +1,62 @@
-"""The corpus pipeline: stages of the llm operators over `documents`."""
+"""The corpus pipeline: five stages of the llm operators over `documents`.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; each result is written as
+Parquet and read again as the next stage's docs. All stages but the last return the columns of
+documents. SQL cannot express these stages, so there is no ORACLE_SQL; tests/llm compares each
+stage with a brute-force version.
+"""
 
 from __future__ import annotations
 
-from marlstone.llm import queries  # noqa: F401
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marlstone.llm import contamination, jaccard, langid, pieces, suffixes
+from marlstone.session import ensure_importable, shared_folder, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or that no learned language explains, go."""
+    return langid.keep_known(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the least id."""
+    return jaccard.keep_one(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that also start elsewhere are cut out of every text."""
+    return suffixes.cut(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold enough of a benchmark item go."""
+    return contamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_pieces, ids and round_trip of every document left."""
+    return pieces.digest(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language),
+    ("ngram_jaccard", near_duplicates),
+    ("suffix_dedup", repeated_strings),
+    ("decontamination", decontaminated),
+    ("sentencepiece", encoded),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's result; the stages' tables lie in a folder of their own among the shared ones."""
+    ensure_importable(spark)
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
