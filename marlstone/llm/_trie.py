@@ -20,8 +20,9 @@ DEFAULT_MODEL = os.environ.get("MARLSTONE_PIECE_MODEL", "/opt/tokenizers/piece_b
 
 
 class Pieces:
-    def __init__(self, texts: list[bytes], scores: list[float], bytes_at: list[int], ordinary: list[int]):
-        """texts: each id's bytes; scores: natural logarithms; bytes_at: the ids of bytes 0 to 255."""
+    def __init__(self, texts: list[bytes], scores: list[float], bytes_at: list[int], ordinary: list[int], end: float):
+        """texts: each id's bytes; scores: natural logarithms; bytes_at: the ids of bytes 0 to 255; end: the score of a text's end."""
+        self.end = end
         self.texts, self.scores, self.bytes_at, self.ordinary = texts, scores, bytes_at, ordinary
 
     def trie(self) -> dict:
@@ -54,16 +55,15 @@ def load(model: str = DEFAULT_MODEL) -> Pieces:
         spelled = 1 / (2 * n + 2)
         total = sum(weight.values()) + 256 * spelled + 1 / 2  # the last for the end of a text
         scores = [math.log(weight[i] / total) if i in weight else math.log(spelled / total) for i in range(n)]
-        for i in (held.eos_id(),):
-            if i >= 0:
-                scores[i] = math.log(1 / 2 / total)
+        end = math.log(1 / 2 / total)
     else:
-        worst = min(raw[i] for i in ordinary) - 10
-        scores = [raw[i] if i in set(ordinary) else worst for i in range(n)]
+        worst = end = min(raw[i] for i in ordinary) - 10
+        known = set(ordinary)
+        scores = [raw[i] if i in known else worst for i in range(n)]
     bytes_at = [held.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
     for b, i in enumerate(bytes_at):
         texts[i] = bytes([b])
-    return Pieces(texts, scores, bytes_at, ordinary)
+    return Pieces(texts, scores, bytes_at, ordinary, end)
 
 
 def _shared(a: str, b: str) -> int:

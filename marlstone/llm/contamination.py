@@ -171,12 +171,13 @@ def digest(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """`docs` without the contaminated rows."""
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, bounds in slices(batch, "text"):
                 n_words = np.diff(Words(data, bounds, hashed=False).bounds).tolist()
                 spans = zip(rows.column("starts").to_pylist(), rows.column("lengths").to_pylist(), n_words, strict=True)
-                yield rows.filter(pa.array([not judge(s, k, n)[1] for s, k, n in spans], pa.bool_())).select(docs.columns)
+                yield rows.filter(pa.array([not judge(s, k, n)[1] for s, k, n in spans], pa.bool_())).select(columns)
 
     return find_spans(docs, benchmark, width).mapInArrow(run, docs.schema)

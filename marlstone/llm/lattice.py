@@ -143,7 +143,7 @@ def digest(docs: DataFrame, model: str = _trie.DEFAULT_MODEL) -> DataFrame:
     spark = docs.sparkSession
     pieces = _trie.load(model)
     sent = spark.sparkContext.broadcast(pieces)  # as large as the vocabulary
-    end_logp = math.log(0.5 / (0.5 + sum(math.exp(pieces.scores[i]) for i in pieces.ordinary)))
+    end_logp = pieces.end
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block")
