@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import contamination, jaccard, langid, lattice, licenses, media, pieces, sharding, suffixes
+from marlstone.llm import contamination, jaccard, langid, lattice, licenses, media, pieces, sharding, suffixes, warc
 from marlstone.session import table
 
 
@@ -36,6 +36,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.drill(table(spark, sf_dir, "pages"))
+
+
 def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.digest(table(spark, sf_dir, "documents"))
 
@@ -45,8 +49,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_sharding, op3_licenses, op4_jaccard, op5_langid, op6_pieces, op7_decontamination, op9_lattice, op10_media)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_sharding, op3_licenses, op4_jaccard, op5_langid, op6_pieces, op7_decontamination, op8_warc, op9_lattice, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": warc.DRILL_SQL}
