@@ -1,13 +1,270 @@
-"""The queries over the driver's tables and their SQL twins."""
+"""The queries over the driver's tables and their SQL twins, by name."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.functions import kinds
+from marlstone.functions import text as T
+from marlstone.operators import audit, budget, chunk, index, pack, rank, search
+from marlstone.plans import literals, oracle
+from marlstone.session import table
+
 FLAGSHIP = "composite_rank"
+QUERY = "the thand oren"
+
+_found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    _found[f.__name__] = f
+    return f
+
+
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """documents as passages: one for each document, path source/doc_id.txt."""
+    docs = table(spark, sf, "documents")
+    return docs.select(
+        "doc_id", F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.lit("text").alias("kind"), F.lit("paragraph").alias("chunk_kind"),
+        F.lit(None).cast("string").alias("title"), F.lit(1).cast("long").alias("start_line"), F.size(T.lines(F.col("text"))).cast("long").alias("end_line"), "text", T.token_estimate(F.col("text")).alias("token_estimate"),
+    )
+
+
+def as_docs(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit(kind).alias("kind"), "text")
+
+
+def ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return rank.score(corpus(spark, sf), rank.parse_terms(spark, QUERY))
+
+
+PARTS = ["lexical_score", "text_match_score", "term_coverage_score", "full_coverage_score", "path_match_score", "title_match_score", "file_name_match_score", "file_kind_score", "density_score"]
+
+
+@query
+def token_estimates(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"), T.preview(F.col("text")).alias("preview"))
+
+
+@query
+def token_counts(spark, sf):
+    words = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"))
+    return words.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_terms"))
+
+
+@query
+def term_df(spark, sf):
+    return rank.vocabulary(table(spark, sf, "documents"))
+
+
+@query
+def composite_rank(spark, sf):
+    return rank.rank(corpus(spark, sf), QUERY).select("path", "score", F.concat_ws("; ", "reasons").alias("summary")).limit(10)
+
+
+@query
+def composite_scores(spark, sf):
+    return ranked(spark, sf).select("doc_id", *PARTS, "score")
+
+
+@query
+def rank_custom_scorer(spark, sf):
+    def scorer(df: DataFrame, terms: list[str]):
+        return F.when(F.lower("text").contains(terms[0]), F.length("text").cast("long"))
+
+    return rank.score_with(corpus(spark, sf), ["thand"], scorer).select("doc_id", "score")
+
+
+@query
+def bm25_batch_benchmark(spark, sf):
+    goals = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    best = rank.rank_batch(corpus(spark, sf), goals).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("bm25"), 4).alias("best"))
+    return best
+
+
+@query
+def search_exact(spark, sf):
+    return search.search(corpus(spark, sf), "license", search.SearchOptions(exact=True, file_types=("text",))).select("doc_id", "score")
+
+
+@query
+def search_scope(spark, sf):
+    return search.search(corpus(spark, sf), QUERY, search.SearchOptions(included=("src1", "src2"), excluded=("src2",))).select("doc_id", "score")
+
+
+@query
+def search_grouped(spark, sf):
+    return search.grouped(_foldered(ranked(spark, sf)), 10, 2).select("path", "doc_id", "score")
+
+
+def _foldered(hits: DataFrame) -> DataFrame:
+    """Hits with a document's source as its file, so that files have several passages."""
+    return hits.withColumn("path", F.substring_index("path", "/", 1)).withColumn("start_line", F.col("doc_id") + 1)
+
+
+@query
+def search_totals(spark, sf):
+    return search.totals(_foldered(ranked(spark, sf)))
+
+
+@query
+def audit_documents(spark, sf):
+    return audit.audit(as_docs(spark, sf, "text")).select(F.col("path").cast("long").alias("doc_id"), "line", "kind", "severity", "evidence")
+
+
+@query
+def audit_pages(spark, sf):
+    pages = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"))
+    return audit.audit(pages).select(F.col("path").cast("long").alias("page_id"), "line", "kind", "severity", "evidence")
+
+
+@query
+def audit_literals(spark, sf):
+    return audit.audit(literals.frame(spark, literals.AUDIT, "path string, text string"))
+
+
+@query
+def audit_severity_counts(spark, sf):
+    return audit.counts(audit.audit(as_docs(spark, sf, "text")), "severity")
+
+
+@query
+def audit_by_label(spark, sf):
+    """Findings beside the quality labels of their documents."""
+    found = audit.audit(as_docs(spark, sf, "text")).groupBy(F.col("path").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    held = table(spark, sf, "labels").join(found, "doc_id", "left")
+    return held.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.coalesce("n", F.lit(0))).alias("findings"))
+
+
+@query
+def html_extract(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.markup_text(F.col("html")).alias("text"))
+
+
+@query
+def chunk_paragraphs(spark, sf):
+    pages = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("html").alias("kind"), T.markup_text(F.col("html")).alias("text"))
+    return chunk.paragraphs(pages).select("path", "start_line", "end_line", F.md5("text").alias("text_md5"), "token_estimate")
+
+
+@query
+def chunk_conversations(spark, sf):
+    turns = table(spark, sf, "conversations").groupBy(F.col("conv_id").cast("string").alias("path"))
+    texts = turns.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], F.lit(": "), F.coalesce(x["text"], F.lit("")))), "\n\n").alias("text"))
+    return chunk.paragraphs(texts.withColumn("kind", F.lit("text"))).select("path", "start_line", "end_line", F.md5("text").alias("text_md5"), "token_estimate")
+
+
+@query
+def chunk_markdown_literals(spark, sf):
+    return chunk.markdown_sections(literals.docs(spark, literals.MARKDOWN, "markdown")).select("path", "chunk_kind", "title", "start_line", "end_line", "text")
+
+
+@query
+def chunk_rust_literals(spark, sf):
+    return chunk.rust_items(literals.docs(spark, literals.RUST, "rust")).select("path", "chunk_kind", "title", "start_line", "end_line", "text")
+
+
+@query
+def chunk_code_literals(spark, sf):
+    return chunk.code_items(literals.docs(spark, literals.CODE, "code")).select("path", "chunk_kind", "title", "start_line", "end_line", "text")
+
+
+@query
+def chunk_table_rows(spark, sf):
+    """Orders of each customer as a delimited document."""
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
+    rows = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 97).cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("h"))
+    docs = rows.select("path", F.lit("csv").alias("kind"), F.concat(F.lit("key,status,priority\n"), F.array_join(F.transform("h", lambda x: x["line"]), "\n")).alias("text"))
+    return chunk.table_rows(docs).select("path", "title", "start_line", "end_line", F.md5("text").alias("text_md5"), "token_estimate")
+
+
+@query
+def chunk_extracted(spark, sf):
+    return chunk.extracted(as_docs(spark, sf, "pdf")).select("path", "start_line", "end_line", F.md5("text").alias("text_md5"), "token_estimate")
+
+
+@query
+def relevance_floor(spark, sf):
+    return budget.floored(_foldered(ranked(spark, sf))).select("doc_id", "kept", "reason")
+
+
+@query
+def budget_select(spark, sf):
+    kept = budget.with_rendering_cost(budget.floored(_foldered(ranked(spark, sf))).where("kept").drop("kept", "reason"))
+    return budget.select(kept, budget.Policy(20_000)).select("doc_id", "decision", "position", "token_estimate", "reason")
+
+
+@query
+def span_merge(spark, sf):
+    """The passages of benchmark-like length of each document, every third one left out."""
+    held = chunk.extracted(as_docs(spark, sf, "pdf")).where("start_line % 3 != 0").withColumn("redacted", F.lit(False))
+    return pack.spans(held).select("path", "start_line", "end_line", F.md5("text").alias("text_md5"))
+
+
+@query
+def redact_lines(spark, sf):
+    docs = as_docs(spark, sf, "text")
+    whole = docs.select("path", F.lit(1).cast("long").alias("start_line"), "text", F.transform(T.lines(F.col("text")), lambda _, i: (i + 1).cast("long")).alias("src_lines"))
+    return pack.redact(whole, audit.audit(docs)).where("redacted").select("path", F.md5("text").alias("text_md5"))
+
+
+@query
+def selected_findings(spark, sf):
+    docs = as_docs(spark, sf, "pdf")
+    chosen = chunk.extracted(docs).where("start_line % 2 = 1")
+    return pack.selected_findings(audit.audit(docs), chosen).select("path", "line", "kind", "severity")
+
+
+@query
+def privacy_gate_count(spark, sf):
+    return pack.gate_count(audit.audit(as_docs(spark, sf, "text")), "Medium")
+
+
+@query
+def pack_statistics(spark, sf):
+    docs = as_docs(spark, sf, "pdf")
+    found = audit.audit(docs)
+    parts = [pack.label_counts(chunk.extracted(docs), "chunk_kind"), pack.label_counts(found, "severity"), pack.label_counts(found, "kind")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def scan_kind_counts(spark, sf):
+    files = literals.frame(spark, literals.FILES, "path string, size long")
+    return files.groupBy(kinds.label(kinds.kind_of(F.col("path"))).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(kinds.extension_bonus(F.col("path"))).alias("bonus"))
+
+
+def _snapshots(spark, sf):
+    """Two states of a file listing made of orders: some rows gone, some changed, some new."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.length("o_orderpriority").cast("long").alias("size"), F.col("o_custkey").alias("modified"), F.lit("text").alias("kind"), "o_orderkey")
+    before = rows.where("o_orderkey % 7 != 0").drop("o_orderkey")
+    after = rows.where("o_orderkey % 11 != 0").withColumn("modified", F.when(F.col("o_orderkey") % 5 == 0, F.col("modified") + 1).otherwise(F.col("modified"))).drop("o_orderkey")
+    return before, after
+
+
+@query
+def index_diff(spark, sf):
+    return index.difference(*_snapshots(spark, sf))
+
+
+@query
+def index_counts(spark, sf):
+    return index.difference(*_snapshots(spark, sf)).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def index_state(spark, sf):
+    before, after = _snapshots(spark, sf)
+    same, changed = index.is_fresh(before, before), index.is_fresh(before, after)
+    return same.withColumn("name", F.lit("same")).unionByName(changed.withColumn("name", F.lit("changed")))
 
 
 def queries() -> dict:
-    return {}
+    return dict(_found)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return oracle.statements(QUERY.split())
