@@ -196,6 +196,7 @@ def covered(contexts: Contexts, begins: np.ndarray, sizes: np.ndarray) -> tuple[
         orders.append(order)
         shared.append(common)
     block = np.empty((2, n), dtype=np.int64)
+    twins = np.full((2, n), -1, dtype=np.int64)  # of the string that reaches furthest after, and before
     for back in range(LEFT + 1):
         ahead = LENGTH - back
         for side, reach in ((0, ahead), (1, back)):
@@ -205,16 +206,17 @@ def covered(contexts: Contexts, begins: np.ndarray, sizes: np.ndarray) -> tuple[
         by_key = np.argsort(key, kind="stable")
         key, able = key[by_key], able[by_key]
         twin = np.flatnonzero(key[1:] == key[:-1])
-        if not len(twin):
-            continue
         a, b = able[twin], able[twin + 1]
-        columns = np.arange(LEFT - back, LEFT + ahead)
-        same = np.concatenate([(contexts.bytes[a[c : c + 4096, None], columns] == contexts.bytes[b[c : c + 4096, None], columns]).all(axis=1) for c in range(0, len(a), 4096)])
-        if not same.all():
-            raise ArithmeticError("two strings collide in their hashes")
-        hit = np.union1d(a, b)
-        before[hit] = back
-        after[hit] = np.maximum(after[hit], ahead)
+        for hit, other in ((a, b), (b, a)):
+            new = after[hit] == 0
+            after[hit[new]], twins[0, hit[new]] = ahead, other[new]
+            before[hit], twins[1, hit] = back, other
+    hit = np.flatnonzero(after)
+    for first, twin in ((LENGTH - after[hit], twins[0, hit]), (before[hit], twins[1, hit])):
+        for c in range(0, len(hit), 4096):  # byte for byte, what the hashes say
+            i, j, columns = hit[c : c + 4096, None], twin[c : c + 4096, None], LEFT - first[c : c + 4096, None] + np.arange(LENGTH)
+            if not (contexts.bytes[i, columns] == contexts.bytes[j, columns]).all():
+                raise ArithmeticError("two strings collide in their hashes")
     return before, after
 
 
