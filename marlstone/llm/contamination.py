@@ -108,13 +108,16 @@ def _blocks(benchmark: DataFrame, item_bytes: int) -> Iterator[list[tuple[int, b
     yield held
 
 
-FOUND_DDL = "starts array<long>, lengths array<int>, items array<long>"
+FOUND = ("starts", "lengths", "items")
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """`docs` with every occurrence: `starts` and `lengths` in words, and the `items` they belong to."""
-    carried = [c for c in docs.columns if c.lower() not in ("starts", "lengths", "items")]
-    out = docs.select(*carried, *(F.array().cast(kind).alias(name) for name, kind in (("starts", "array<long>"), ("lengths", "array<int>"), ("items", "array<long>"))))
+def find_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, item_bytes: int = ITEM_BYTES, put: tuple[str, str, str] = FOUND) -> DataFrame:
+    """`docs` with every occurrence: `starts` and `lengths` in words, and the `items` they belong to.
+
+    Columns of `docs` with these names (or those in `put`) are replaced.
+    """
+    carried = [c for c in docs.columns if c.lower() not in put]
+    out = docs.select(*carried, *(F.array().cast(kind).alias(name) for name, kind in zip(put, ("array<long>", "array<int>", "array<long>"), strict=True)))
     schema = out.schema
     for items in _blocks(benchmark, item_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(items)
@@ -123,14 +126,14 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, item_b
             patterns = Patterns(sent.value, width)
             for batch in batches:
                 for rows, data, bounds in slices(batch, "text"):
-                    had = [rows.column(c).to_pylist() for c in ("starts", "lengths", "items")]
+                    had = [rows.column(c).to_pylist() for c in put]
                     words = Words(data, bounds)
                     for d, start, length, found in patterns.hits(words):
                         had[0][d].append(start - int(words.bounds[d]))
                         had[1][d].append(length)
                         had[2][d] = sorted({*had[2][d], *(i for i in found if i is not None)})
                     names, fields = rows.schema.names, rows.schema
-                    columns = [pa.array(had[("starts", "lengths", "items").index(n)], fields.field(n).type) if n in ("starts", "lengths", "items") else rows.column(n) for n in names]
+                    columns = [pa.array(had[put.index(n)], fields.field(n).type) if n in put else rows.column(n) for n in names]
                     yield pa.RecordBatch.from_arrays(columns, schema=fields)
 
         out = out.mapInArrow(run, schema)
@@ -171,13 +174,13 @@ def digest(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """`docs` without the contaminated rows."""
-    columns = docs.columns
+    columns, put = docs.columns, ("__starts", "__lengths", "__items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, bounds in slices(batch, "text"):
                 n_words = np.diff(Words(data, bounds, hashed=False).bounds).tolist()
-                spans = zip(rows.column("starts").to_pylist(), rows.column("lengths").to_pylist(), n_words, strict=True)
+                spans = zip(rows.column(put[0]).to_pylist(), rows.column(put[1]).to_pylist(), n_words, strict=True)
                 yield rows.filter(pa.array([not judge(s, k, n)[1] for s, k, n in spans], pa.bool_())).select(columns)
 
-    return find_spans(docs, benchmark, width).mapInArrow(run, docs.schema)
+    return find_spans(docs, benchmark, width, put=put).mapInArrow(run, docs.schema)

@@ -299,5 +299,5 @@ def keep_one(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD,
     """
     found = links(docs, width, threshold, runs)
     first = found.where("n_links > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least")).select("least.row_key")
-    chosen = found.where("n_links = 0").select("row_key").union(first).withColumnRenamed("row_key", "_row_key")
-    return docs.withColumn("_row_key", _row_key()).join(chosen, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(docs.columns)
+    chosen = found.where("n_links = 0").select("row_key").union(first).withColumnRenamed("row_key", "__row_key")
+    return docs.withColumn("__row_key", _row_key()).join(chosen, "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(docs.columns)

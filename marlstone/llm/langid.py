@@ -35,6 +35,8 @@ SAMPLE = 1500
 #: Bytes of tables in a worker; with many languages the order is lowered to keep to it.
 TABLE_BYTES = 128 << 20
 UNKNOWN = "und"
+#: Bits a byte of a guess without any statistics.
+BLIND = float(np.log2(CLASSES))
 LETTER = re.compile(r"[^\W\d_]")
 SPACE = 27
 
@@ -172,8 +174,10 @@ def digest(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> DataFra
     return docs.select("doc_id", "text", held_out().alias("held")).mapInArrow(run, DIGEST_DDL)
 
 
-def keep_known(docs: DataFrame, most_bits: float = 8.0, order: int = ORDER, sample: int = SAMPLE) -> DataFrame:
-    """`docs` without the rows that no learned language explains: no letters, or over `most_bits` a byte."""
+def keep_known(docs: DataFrame, most_bits: float = BLIND, order: int = ORDER, sample: int = SAMPLE) -> DataFrame:
+    """`docs` without the rows that no learned language explains: no letters, or a code of over
+    `most_bits` a byte, by default as long as one without any statistics.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, order, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,7 +85,7 @@ def encode(docs: DataFrame, model: str = _trie.DEFAULT_MODEL, check: bool = Fals
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(sent.value), Decoder(sent.value)
         for batch in batches:
-            for rows, data, bounds in slices(batch, "text", 4 << 20):
+            for rows, data, bounds in slices(batch, "text", 2 << 20):
                 texts = rows.column("text").to_pylist()
                 null = np.array([t is None for t in texts])
                 ids, of_text = encoder.encode([t or "" for t in texts])

@@ -6,7 +6,8 @@ Shard counts differ by at most one and slots have no gaps. All of it is DataFram
 
 Defined cases: a null text counts no bytes and CRC 0; rows that tie in every column take
 their places among themselves in any order, which no output can tell apart; an empty table
-gives no rows; columns of the input named like an output are replaced by it.
+gives no rows; columns of the input named like an output are replaced by it
+(names that begin with two underscores are this package's own).
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ ROUNDS = 6
 
 
 def _numbered(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Add `_row`, the row's place in the order of (bucket, id, row hash, text), from 0."""
-    keyed = df.withColumn("_hash", F.xxhash64(F.col(id_column), F.col(text_column))).withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)))
-    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_offset"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    within = Window.partitionBy("_bucket").orderBy(F.col(id_column).asc_nulls_first(), "_hash", F.col(text_column).asc_nulls_first())
-    return keyed.withColumn("_within", F.row_number().over(within) - 1).join(F.broadcast(offsets), "_bucket").withColumn("_row", F.col("_offset") + F.col("_within"))
+    """Add `__row`, the row's place in the order of (bucket, id, row hash, text), from 0."""
+    keyed = df.withColumn("__hash", F.xxhash64(F.col(id_column), F.col(text_column))).withColumn("__bucket", F.pmod("__hash", F.lit(BUCKETS)))
+    counts = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__offset"))
+    within = Window.partitionBy("__bucket").orderBy(F.col(id_column).asc_nulls_first(), "__hash", F.col(text_column).asc_nulls_first())
+    return keyed.withColumn("__within", F.row_number().over(within) - 1).join(F.broadcast(offsets), "__bucket").withColumn("__row", F.col("__offset") + F.col("__within"))
 
 
 def feistel(row: Column, left: int, right: int, seed: int) -> Column:
@@ -77,9 +78,9 @@ def permuted(row: Column, n: int, steps: int, seed: int) -> Column:
 def assign(df: DataFrame, shards: int, seed: int = 20240229, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """`df` with shard and slot (long) by a seeded, reproducible shuffle of all rows."""
     n = df.count()
-    place = permuted(F.col("_row"), n, walk_length(df, n, seed), seed)
-    placed = _numbered(df, id_column, text_column).withColumn("_place", place)
-    shard, slot = F.pmod("_place", F.lit(shards)).cast("int"), F.floor(F.col("_place") / F.lit(shards)).cast("long")
+    place = permuted(F.col("__row"), n, walk_length(df, n, seed), seed)
+    placed = _numbered(df, id_column, text_column).withColumn("__place", place)
+    shard, slot = F.pmod("__place", F.lit(shards)).cast("int"), F.floor(F.col("__place") / F.lit(shards)).cast("long")
     kept = [F.col(c) for c in df.columns if c.lower() not in ("shard", "slot")]
     return placed.select(*kept, shard.alias("shard"), slot.alias("slot"))
 

@@ -37,7 +37,7 @@ WINDOW = LENGTH - GRAM + 1
 #: Anchor groups above this many rows are settled by whole strings.
 LARGE = 20_000
 #: Rows that one vectorised sort takes.
-BATCH = 16_000
+BATCH = 6_000
 LEFT, RIGHT = WINDOW - 1, LENGTH
 _PLACE = 1 << 20
 
@@ -274,20 +274,25 @@ def _sorted_spans(contexts: DataFrame) -> DataFrame:
 
 def _string_spans(contexts: DataFrame) -> DataFrame:
     """Spans of anchors in large groups: every whole string around them is grouped by a 128-bit hash."""
-    schema = pa.schema([("string", pa.binary()), ("row_key", pa.int64()), ("crc", pa.int64()), ("first", pa.int64())])
+    schema = pa.schema([("string", pa.binary()), ("row_key", pa.int64()), ("crc", pa.int64()), ("first", pa.int64()), ("at", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for key, crc, at, left, right in zip(*(batch.column(c).to_pylist() for c in ("row_key", "crc", "at", "left", "right")), strict=True):
                 held = left + right
-                out += [(xxhash.xxh3_128_digest(held[k : k + LENGTH]), key, crc, at - len(left) + k) for k in range(len(held) - LENGTH + 1) if k <= len(left)]
+                out += [(xxhash.xxh3_128_digest(held[k : k + LENGTH]), key, crc, at - len(left) + k, at) for k in range(len(held) - LENGTH + 1) if k <= len(left)]
+                if len(out) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    strings = contexts.mapInArrow(run, "string binary, row_key long, crc long, first long")
-    places = strings.groupBy("string", "row_key", "crc", "first").agg(F.count(F.lit(1)).alias("n"))
-    twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string")
+    strings = contexts.mapInArrow(run, "string binary, row_key long, crc long, first long, at long")
+    # a string is listed by every anchor in it, and by every row of a repeated one: only the latter count
+    rows = strings.groupBy("string", "row_key", "crc", "first", "at").agg(F.count(F.lit(1)).alias("n"))
+    places = rows.groupBy("string", "row_key", "crc", "first").agg(F.max("n").alias("n"))
+    twice = places.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1").select("string")
     return places.join(twice, "string", "left_semi").select("row_key", "crc", "first", (F.col("first") + LENGTH).alias("last"))
 
 
@@ -355,13 +360,13 @@ def cut(docs: DataFrame, length_column: str = "n_chars") -> DataFrame:
         for batch in batches:
             for rows, data, bounds in slices(batch, "text"):
                 texts = []
-                for found, text, a, b in zip(rows.column("_spans").to_pylist(), rows.column("text").is_null().to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                for found, text, a, b in zip(rows.column("__spans").to_pylist(), rows.column("text").is_null().to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     kept = [data[a + x : a + y].tobytes().decode("utf-8", "ignore") for x, y in kept_runs(found, b - a)]
                     texts.append(None if text else "".join(kept))
                 columns = {"text": texts, length_column: [None if t is None else len(t) for t in texts]}
                 names = schema.names
                 yield pa.RecordBatch.from_arrays([pa.array(columns[n], rows.schema.field(n).type) if n in columns else rows.column(n) for n in names], names=names)
 
-    found = spans(_keyed(docs)).select(F.col("row_key").alias("_row_key"), F.col("crc").alias("_crc"), F.col("spans").alias("_spans"))
+    found = spans(_keyed(docs)).select(F.col("row_key").alias("__row_key"), F.col("crc").alias("__crc"), F.col("spans").alias("__spans"))
     key, crc = _row_keys()
-    return docs.withColumn("_row_key", key).withColumn("_crc", crc).join(found, ["_row_key", "_crc"], "left").mapInArrow(run, schema)
+    return docs.withColumn("__row_key", key).withColumn("__crc", crc).join(found, ["__row_key", "__crc"], "left").mapInArrow(run, schema)
