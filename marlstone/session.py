@@ -20,8 +20,15 @@ def ensure_importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{ROOT}:{known}" if known else ROOT
 
 
+#: Tables of texts, whose rows cost far more to work on than to move.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the driver's; texts in fewer pieces than half the cores are dealt out to all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
