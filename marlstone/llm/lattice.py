@@ -30,6 +30,8 @@ from marlstone.llm._text import IS_TOKEN, U64, Words, find, result, slices, word
 
 #: Bytes of text in a block on average.
 BLOCK_BYTES = 12 << 20
+#: Partitions that the blocks are dealt to at most; beyond it a partition has several blocks, one after the other.
+PARTITIONS = 20_000
 #: Distinct tokens that a task holds before it lists them.
 HELD = 400_000
 
@@ -147,7 +149,7 @@ def digest(docs: DataFrame, model: str = _trie.DEFAULT_MODEL) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block")
-    dealt = docs.select("doc_id", "text", held_out().alias("held"), (~held_out()).alias("train"), block).repartition(n_blocks, "block")
+    dealt = docs.select("doc_id", "text", held_out().alias("held"), (~held_out()).alias("train"), block).repartition(min(n_blocks, PARTITIONS), "block")
     by_token = _listed(dealt.sortWithinPartitions("block")).repartition("token")
     counted = by_token.groupBy("token").agg(F.sum("n").alias("c"))
     back = by_token.select("block", "token").join(_scored(counted, sent), "token")
