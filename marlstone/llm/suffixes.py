@@ -29,13 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm._text import BASE, U64, mix, powers, prefix_hashes, range_hashes, result, slices
+from marlstone.llm._text import BASE, U64, mix, powers, prefix_hashes, range_hashes, result, slices, utf8
 from marlstone.session import cut_lineage
 
 LENGTH, GRAM = 200, 48
 WINDOW = LENGTH - GRAM + 1
-#: Anchor groups above this many rows are settled by whole strings.
-LARGE = 20_000
+#: Anchor groups above this many rows are settled by whole strings; one task sorts as many in about 250 MB.
+LARGE = 100_000
 #: Rows that one vectorised sort takes.
 BATCH = 6_000
 LEFT, RIGHT = WINDOW - 1, LENGTH
@@ -53,14 +53,13 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead[: n - width + 1], back[width - 1 : n])
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, text, hash) of every chosen anchor of texts that lie one after the other."""
+def choices(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, chosen anchors) of every string of LENGTH bytes inside one of the texts, in runs."""
     if len(data) < LENGTH:
-        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=U64),)
+        return
     text_of_end = bounds[1:]
     starts = np.arange(len(data) - GRAM + 1)
     hashes = mix(range_hashes(prefix_hashes(data), starts, starts + GRAM))
-    chosen = []
     step = _PLACE - WINDOW
     for first in range(0, len(data) - LENGTH + 1, step):
         part = hashes[first : first + step + WINDOW - 1]
@@ -69,12 +68,15 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
         at = np.arange(first, first + len(least))
         text = np.searchsorted(text_of_end, at, side="right")
         inside = at + LENGTH <= text_of_end[np.minimum(text, len(text_of_end) - 1)]
-        least = least[inside]
-        if len(least):
-            least = least[np.append(True, least[1:] != least[:-1])]
-            chosen.append(first + (U64(_PLACE - 1) - (least & U64(_PLACE - 1))).astype(np.int64))
-    at = np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, dtype=np.int64)
-    return at, np.searchsorted(text_of_end, at, side="right"), hashes[at]
+        yield at[inside], first + (U64(_PLACE - 1) - (least[inside] & U64(_PLACE - 1))).astype(np.int64)
+
+
+def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, text, hash) of every chosen anchor of texts that lie one after the other."""
+    found = [chosen[np.append(True, chosen[1:] != chosen[:-1])] for _, chosen in choices(data, bounds) if len(chosen)]
+    at = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+    hashes = mix(range_hashes(prefix_hashes(data), at, at + GRAM))
+    return at, np.searchsorted(bounds[1:], at, side="right"), hashes
 
 
 def _row_keys() -> tuple[Column, Column]:
@@ -109,26 +111,32 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 class Contexts:
     """Anchors' surroundings as rows of a matrix, the anchor at column LEFT, with prefix hashes."""
 
-    def __init__(self, left: list[bytes], right: list[bytes]):
-        n = len(left)
-        self.before = np.array([len(x) for x in left], dtype=np.int64)
-        self.after = np.array([len(x) for x in right], dtype=np.int64)
-        self.bytes = np.zeros((n, LEFT + RIGHT), dtype=np.uint8)
-        for i, (a, b) in enumerate(zip(left, right, strict=True)):
-            self.bytes[i, LEFT - len(a) : LEFT + len(b)] = np.frombuffer(a + b, dtype=np.uint8)
-        self.rightward = self._sums(self.bytes[:, LEFT:])
-        self.leftward = self._sums(self.bytes[:, LEFT - 1 :: -1] if LEFT else self.bytes[:, :0])
-
-    @staticmethod
-    def _sums(columns: np.ndarray) -> np.ndarray:
-        n, width = columns.shape
-        sums = np.zeros((n, width + 1), dtype=U64)
-        np.cumsum((columns.astype(U64) + U64(1)) * powers(BASE, width)[:width], axis=1, out=sums[:, 1:])
-        return sums
+    def __init__(self, left: pa.ChunkedArray, right: pa.ChunkedArray):
+        (before, b), (after, a) = utf8(left), utf8(right)
+        self.before, self.after = np.diff(b), np.diff(a)
+        self.bytes = np.zeros((len(left), LEFT + RIGHT), dtype=np.uint8)
+        for data, bounds, sizes, place in ((before, b, self.before, LEFT - self.before), (after, a, self.after, np.full(len(left), LEFT))):
+            for k in range(0, len(sizes), 2048):
+                n, first = sizes[k : k + 2048], bounds[k]
+                held = data[first : first + n.sum()]
+                shift = np.repeat(place[k : k + 2048] - (bounds[k : k + len(n)] - first), n)
+                self.bytes[np.repeat(np.arange(k, k + len(n)), n), shift + np.arange(len(held))] = held
+        self._side, self._held = None, None
+
+    def _sums(self, backward: bool) -> np.ndarray:
+        """Prefix hashes from the anchor on, or back from it; one side is held at a time."""
+        if self._side != backward:
+            self._held = None
+            columns = self.bytes[:, LEFT - 1 :: -1] if backward else self.bytes[:, LEFT:]
+            n, width = columns.shape
+            self._side, self._held = backward, np.zeros((n, width + 1), dtype=U64)
+            for k in range(0, n, 4096):
+                np.cumsum((columns[k : k + 4096].astype(U64) + U64(1)) * powers(BASE, width)[:width], axis=1, out=self._held[k : k + 4096, 1:])
+        return self._held
 
     def extension(self, i: np.ndarray, j: np.ndarray, backward: bool) -> np.ndarray:
         """How many bytes rows i and j have in common from the anchor on, or back from it."""
-        sums, size = (self.leftward, self.before) if backward else (self.rightward, self.after)
+        sums, size = self._sums(backward), self.before if backward else self.after
         low, high = np.zeros(len(i), dtype=np.int64), np.minimum(size[i], size[j])
         while (low < high).any():
             middle = (low + high + 1) // 2
@@ -249,7 +257,7 @@ def _sorted_spans(contexts: DataFrame) -> DataFrame:
         gram = rows.column("gram").to_numpy()
         begins = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
         sizes = np.diff(np.append(begins, len(gram)))
-        before, after = covered(Contexts(rows.column("left").to_pylist(), rows.column("right").to_pylist()), begins, sizes)
+        before, after = covered(Contexts(rows.column("left"), rows.column("right")), begins, sizes)
         at, hit = rows.column("at").to_numpy(), after > 0
         return pa.RecordBatch.from_arrays([pa.array(rows.column(c).to_numpy()[hit]) for c in ("row_key", "crc")] + [pa.array((at - before)[hit]), pa.array((at + after)[hit])], schema=SPANS)
 
@@ -274,26 +282,28 @@ def _sorted_spans(contexts: DataFrame) -> DataFrame:
 
 def _string_spans(contexts: DataFrame) -> DataFrame:
     """Spans of anchors in large groups: every whole string around them is grouped by a 128-bit hash."""
-    schema = pa.schema([("string", pa.binary()), ("row_key", pa.int64()), ("crc", pa.int64()), ("first", pa.int64()), ("at", pa.int64())])
+    schema = pa.schema([("string", pa.binary()), ("row_key", pa.int64()), ("crc", pa.int64()), ("first", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for key, crc, at, left, right in zip(*(batch.column(c).to_pylist() for c in ("row_key", "crc", "at", "left", "right")), strict=True):
-                held = left + right
-                out += [(xxhash.xxh3_128_digest(held[k : k + LENGTH]), key, crc, at - len(left) + k, at) for k in range(len(held) - LENGTH + 1) if k <= len(left)]
-                if len(out) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    strings = contexts.mapInArrow(run, "string binary, row_key long, crc long, first long, at long")
-    # a string is listed by every anchor in it, and by every row of a repeated one: only the latter count
-    rows = strings.groupBy("string", "row_key", "crc", "first", "at").agg(F.count(F.lit(1)).alias("n"))
-    places = rows.groupBy("string", "row_key", "crc", "first").agg(F.max("n").alias("n"))
-    twice = places.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1").select("string")
-    return places.join(twice, "string", "left_semi").select("row_key", "crc", "first", (F.col("first") + LENGTH).alias("last"))
+            whole = pa.array([a + b for a, b in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)], pa.binary())
+            rows = batch.append_column("whole", whole)
+            for part, data, bounds in slices(rows, "whole"):
+                left = np.array([len(x) for x in part.column("left").to_pylist()], dtype=np.int64)
+                raw = data.tobytes()
+                for starts, chosen in choices(data, bounds):
+                    # the strings of an anchor are those that choose it, so that each is listed once
+                    text = np.searchsorted(bounds[1:], starts, side="right")
+                    own = chosen == bounds[text] + left[text]
+                    starts, text = starts[own], text[own]
+                    strings = [xxhash.xxh3_128_digest(raw[k : k + LENGTH]) for k in starts.tolist()]
+                    first = part.column("at").to_numpy()[text] - left[text] + starts - bounds[text]
+                    take = pa.array(text)
+                    yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), part.column("row_key").take(take), part.column("crc").take(take), pa.array(first)], schema=schema)
+
+    strings = contexts.mapInArrow(run, "string binary, row_key long, crc long, first long")
+    twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string")
+    return strings.join(twice, "string", "left_semi").select("row_key", "crc", "first", (F.col("first") + LENGTH).alias("last"))
 
 
 def spans(keyed: DataFrame) -> DataFrame:
