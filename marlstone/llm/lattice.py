@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from marlstone.llm import _trie
 from marlstone.llm._text import IS_TOKEN, U64, Words, find, result, slices, word_hashes
 
 #: Bytes of text in a block on average.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 20 << 20
 #: Partitions that the blocks are dealt to at most; beyond it a partition has several blocks, one after the other.
 PARTITIONS = 20_000
 #: Distinct tokens that a task holds before it lists them.
@@ -111,8 +112,10 @@ def _score_block(docs: pa.Table, known: pa.Table, end_logp: float) -> pa.Table:
     tokens = tokens if isinstance(tokens, pa.Array) else pa.concat_arrays(tokens.chunks)
     c, logp = known.column("c").to_numpy(), known.column("logp").to_numpy()
     totals = np.flatnonzero(tokens.is_null().to_numpy(zero_copy_only=False))
-    n, v, ends = (int(logp[totals[0]]), int(c[totals[0]]), int(known.column("ends")[int(totals[0])].as_py())) if len(totals) else (0, 0, 0)
-    rows = np.flatnonzero(tokens.is_valid().to_numpy(zero_copy_only=False))
+    n, v = (int(logp[totals[0]]), int(c[totals[0]])) if len(totals) else (0, 0)
+    sizes = pc.fill_null(pc.binary_length(tokens), -1).to_numpy(zero_copy_only=False)
+    ends = int(c[sizes == 0].sum())  # the empty token stands for the end
+    rows = np.flatnonzero(sizes > 0)
     words = tokens.take(pa.array(rows)).to_pylist()
     hashes = word_hashes(words)
     hashes, first = np.unique(hashes, return_index=True)
@@ -155,11 +158,14 @@ def digest(docs: DataFrame, model: str = _trie.DEFAULT_MODEL) -> DataFrame:
     back = by_token.select("block", "token").join(_scored(counted, sent), "token")
     ends = docs.where(~held_out()).agg(F.count(F.lit(1)).alias("ends"))
     totals = counted.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).crossJoin(F.broadcast(ends))  # one row each
-    totals = totals.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(None).cast("binary").alias("token"),
-        (F.col("v") + F.when(F.col("ends") > 0, 1).otherwise(0)).alias("c"), (F.coalesce("n", F.lit(0)) + F.col("ends")).cast("double").alias("logp"), F.col("ends"),
-    )
-    known = back.select("block", "token", "c", "logp", F.lit(None).cast("long").alias("ends")).union(totals.select("block", "token", "c", "logp", "ends"))
+    c, blocks = F.col, F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
+    # for each block, under no token V and N, and under the empty one the places of the end
+    more = F.array(
+        F.struct(F.lit(None).cast("binary").alias("token"), (c("v") + F.when(c("ends") > 0, 1).otherwise(0)).alias("c"), (F.coalesce("n", F.lit(0)) + c("ends")).cast("double").alias("logp")),
+        F.struct(F.lit(b"").alias("token"), c("ends").alias("c"), F.lit(0.0).alias("logp")),
+    )
+    totals = totals.select(F.explode(more).alias("t")).select(blocks, "t.token", "t.c", "t.logp")
+    known = back.select("block", "token", "c", "logp").union(totals)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return _score_block(left, right, end_logp)
