@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+#: Hands freed memory back to the system, so that idle workers don't keep it; absent outside glibc.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -79,6 +82,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 18) -> Iterator[
         last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + most, side="right")) - 1)
         yield batch.slice(first, last - first), data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]
         first = last
+    _trim(0)
 
 
 class Words:

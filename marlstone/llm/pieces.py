@@ -13,6 +13,7 @@ leading blank; equal texts get equal ids; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +28,14 @@ from marlstone.llm._text import slices
 
 MARKED = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 #: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 class Encoder:
     def __init__(self, pieces: _trie.Pieces):
         self.walker = _trie.Walker(pieces)
         self.known: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+        self.ids: list[bytes] = []  # of 32-bit numbers
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each text's bounds in them."""
@@ -44,13 +45,13 @@ class Encoder:
         new = sorted({w for ws in words for w in ws}.difference(self.known))
         for w, ids in zip(new, self.walker.segment(new), strict=True):
             self.known[w] = len(self.ids)
-            self.ids.append(ids)
+            self.ids.append(array("i", ids).tobytes())
         known = self.known
         at = np.array([known[w] for ws in words for w in ws], dtype=np.int64)
         used, at = np.unique(at, return_inverse=True)
         held = [self.ids[k] for k in used.tolist()]
-        sizes = np.array([len(x) for x in held], dtype=np.int64)
-        flat = np.array([i for x in held for i in x], dtype=np.int32)
+        sizes = np.array([len(x) // 4 for x in held], dtype=np.int64)
+        flat = np.frombuffer(b"".join(held), dtype=np.int32)
         begins = np.cumsum(sizes) - sizes
         n = sizes[at]
         ends = np.cumsum(n)
@@ -85,7 +86,7 @@ def encode(docs: DataFrame, model: str = _trie.DEFAULT_MODEL, check: bool = Fals
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(sent.value), Decoder(sent.value)
         for batch in batches:
-            for rows, data, bounds in slices(batch, "text", 2 << 20):
+            for rows, data, bounds in slices(batch, "text", 1 << 20):
                 texts = rows.column("text").to_pylist()
                 null = np.array([t is None for t in texts])
                 ids, of_text = encoder.encode([t or "" for t in texts])
