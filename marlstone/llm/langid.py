@@ -68,16 +68,16 @@ def codes(data: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def trees(counts: list[np.ndarray], order: int) -> np.ndarray:
+def trees(counts: Iterator[np.ndarray], languages: int, order: int) -> np.ndarray:
     """Negative log2 probabilities, a row for each (context, symbol) and a column for each language."""
-    out = np.empty((CLASSES ** (order + 1), len(counts)), dtype=np.float32)
+    out = np.empty((CLASSES ** (order + 1), languages), dtype=np.float32)
     for k, full in enumerate(counts):
-        levels = [full.astype(np.float32).reshape(-1, CLASSES)]
+        levels = [full.reshape(-1, CLASSES)]
         for _ in range(order):
             levels.append(levels[-1].reshape(CLASSES, -1, CLASSES).sum(axis=0))
         p = np.full(CLASSES, 1 / CLASSES, dtype=np.float32)
         for level in reversed(levels):
-            n, d = level.sum(axis=1, keepdims=True), (level > 0).sum(axis=1, keepdims=True)
+            n, d = level.sum(axis=1, keepdims=True), (level > 0).sum(axis=1, keepdims=True, dtype=np.float32)
             shorter = np.broadcast_to(p, (len(level) // max(1, p.size // CLASSES), *p.shape)).reshape(level.shape)
             p = np.where(level > 0, level, d * shorter) / np.maximum(n + d, 1)
             p = np.where(n > 0, p, shorter).astype(np.float32)
@@ -97,9 +97,9 @@ class Model:
     def table(self) -> np.ndarray:
         if self.name not in Model._expanded:
             size = CLASSES ** (self.order + 1)
-            counts = [np.bincount(self.code[self.language == k], self.n[self.language == k], minlength=size) for k in range(len(self.languages))]
+            counts = (np.bincount(self.code[self.language == k], self.n[self.language == k], minlength=size).astype(np.float32) for k in range(len(self.languages)))  # one at a time
             Model._expanded.clear()
-            Model._expanded[self.name] = trees(counts, self.order)
+            Model._expanded[self.name] = trees(counts, len(self.languages), self.order)
         return Model._expanded[self.name]
 
     def bits(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
