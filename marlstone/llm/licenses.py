@@ -1,11 +1,14 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with templates.
 
-A block is one line of a text; blocks and templates are sets of words. A block matches a
+A block is one line of a text, or a run of consecutive words over any number of lines, as long
+as a template's words divided by `threshold` (at most to the end of the text), so that a notice
+is found however it is wrapped. Blocks and templates are sets of words. A block matches a
 template when it holds at least `threshold` of the template's distinct words. Tokens are
 ordered by their frequency over the whole corpus, rarest first. A matching block must share a
 token of the template's prefix (prefix filter), hold enough tokens (length filter), and have
 enough tokens left in both orders from the shared one on (positional filter); what passes is
-counted exactly, so no match is lost.
+counted exactly, so no match is lost. Runs are cut down to one template's tokens first; for
+those, the positional filter says no more than the other two.
 
 Defined cases: a null text has no words and no labels; repeated rows get equal results; an
 empty table gives no rows; other columns of the input are ignored. Templates are a parameter
@@ -52,7 +55,9 @@ class Templates:
     """Templates as sets of ranks in the global order, with their prefixes."""
 
     def __init__(self, templates: Sequence[tuple[str, str]], counts: Mapping[bytes, int], threshold: float):
-        sets = [set(_split(text)) for _, text in templates]
+        texts = [_split(text) for _, text in templates]
+        sets = [set(text) for text in texts]
+        self.span = [ceil(len(text) / threshold - 1e-9) for text in texts]
         order = sorted(set().union(*sets), key=lambda w: (counts.get(w, 0), w))
         rank = {w: i for i, w in enumerate(order)}
         self.size = len(order)
@@ -68,18 +73,24 @@ class Templates:
                 self.prefix.setdefault(token, []).append((k, at))
         self.in_prefix = np.zeros(self.size + 1, dtype=bool)
         self.in_prefix[list(self.prefix)] = True
+        self.holds = np.zeros((len(sets), self.size), dtype=bool)
+        self.begins = np.zeros((len(sets), self.size), dtype=bool)
+        for k, (tokens, needed) in enumerate(zip(self.tokens, self.needed, strict=True)):
+            self.holds[k, tokens] = True
+            self.begins[k, tokens[: len(tokens) - needed + 1]] = True
 
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
         at = find(self.hashes, hashes)
         return np.where(at >= 0, self.by_hash[at], -1)
 
     def matches(self, words: Words, data: np.ndarray) -> Iterator[tuple[int, str, float]]:
-        """(text, label, containment) for each matching block and template."""
+        """(text, label, containment) for each matching block and template; of runs, each text's best."""
         ranks = self.ranks(words.hashes)
         known = np.flatnonzero(ranks >= 0)
         if not len(known):
             return
         doc = words.of_doc()[known]
+        yield from self.runs(known, ranks[known], words.bounds[doc + 1], doc)
         block = np.cumsum(data == 10)[words.starts[known]] + doc  # grows with the line and with the text
         pairs, first = np.unique(block * self.size + ranks[known], return_index=True)
         doc = doc[first]
@@ -100,6 +111,34 @@ class Templates:
                     if shared >= needed:
                         yield int(doc[begins[b]]), self.labels[k], shared / len(tokens)
 
+    def runs(self, places: np.ndarray, ranks: np.ndarray, text_ends: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, str, float]]:
+        """(text, label, containment) of each text's best run of words that matches a template.
+
+        A run that begins at a token of the template holds as many as any; a token counts where it stands first in the run.
+        """
+        for k, (span, needed) in enumerate(zip(self.span, self.needed, strict=True)):
+            mine = np.flatnonzero(self.holds[k, ranks])
+            at, token = places[mine], ranks[mine]
+            ends = np.searchsorted(at, np.minimum(at + span, text_ends[mine]))
+            starts = np.arange(len(at))
+            rare = np.concatenate([[0], np.cumsum(self.begins[k, token])])
+            starts = starts[(ends - starts >= needed) & (rare[ends] > rare[starts])]
+            if not len(starts):
+                continue
+            ends = ends[starts]
+            order = np.argsort(token, kind="stable")
+            earlier = np.full(len(at), -1)
+            again = np.flatnonzero(token[order[1:]] == token[order[:-1]])
+            earlier[order[again + 1]] = order[again]
+            shared = np.zeros(len(starts), dtype=np.int64)
+            for step in range(int((ends - starts).max())):
+                here = np.minimum(starts + step, len(at) - 1)
+                shared += (starts + step < ends) & (earlier[here] < starts)
+            good = shared >= needed
+            found, first = np.unique(docs[mine[starts[good]]], return_index=True)
+            for d, best in zip(found.tolist(), np.maximum.reduceat(shared[good], first).tolist() if len(found) else (), strict=True):
+                yield d, self.labels[k], best / len(self.tokens[k])
+
 
 def phrase_places(words: Words, phrase: list[bytes]) -> np.ndarray:
     """Word numbers at which the phrase's words stand consecutively within one text."""

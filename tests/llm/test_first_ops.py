@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import struct
+import textwrap
 import zlib
 
 import numpy as np
@@ -155,6 +158,37 @@ def test_licenses(spark, odd, small):
     assert licenses.scan(small.limit(0)).count() == 0
 
 
+def brute_runs(text):
+    found, w = {}, words(text)
+    for label, template in licenses.TEMPLATES:
+        t = words(template)
+        n = math.ceil(len(t) / licenses.THRESHOLD)
+        share = max((len(set(w[i : i + n]) & set(t)) / len(set(t)) for i in range(len(w))), default=0)
+        if share >= licenses.THRESHOLD:
+            found[label] = max(share, found.get(label, 0))
+    return found
+
+
+def test_wrapped_licenses(spark):
+    rng, texts = random.Random(5), []
+    for label, template in licenses.TEMPLATES:
+        for width in (24, 72):
+            texts.append("Lead words here.\n\n" + "\n".join(" * " + x for x in textwrap.wrap(template, width)) + "\n *\n * the rest")
+        w = template.split()
+        for share in (0.6, 0.75, 0.8, 0.85, 0.95):
+            mixed = [x if rng.random() < share else rng.choice(["the", "of", "gratis", "license"]) for x in w]
+            texts.append("\n".join(" ".join(mixed[i : i + 4]) for i in range(0, len(w), 4)))
+    half = licenses.TEMPLATES[0][1].split()
+    texts += [" ".join(half[:15]), " ".join(half[15:]), " ".join(half[:15]) + "\nlong gap\n" * 30 + " ".join(half[15:]), "\n".join(half * 3)]
+    got = {r["doc_id"]: r for r in rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)))}
+    for k, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[7 * k]["labels"].split(",") and label in got[7 * k + 1]["labels"].split(",") and got[7 * k + 1]["score"] == 1
+    for k, t in enumerate(texts):
+        base, (line, run) = brute_phrases(t)[2], (brute_templates(t), brute_runs(t))
+        assert got[k]["labels"] == ",".join(sorted(base | set(line) | set(run)))
+        assert got[k]["score"] == (1.0 if base else max([0.0, *line.values(), *run.values()]))
+
+
 def test_language_by_brute_force(small):
     model = langid.learn(small, order=2, sample=20)
     counts = {}
