@@ -5,6 +5,8 @@ each context in labelled texts. A seen symbol has probability c / (n + d) in its
 occurrences, d distinct successors); the escape d / (n + d) leads to the next shorter context,
 down to a uniform one. Statistics are frozen after learning, so the code length of a text is a
 sum of table entries; the language with the shortest code wins, the first in order on a tie.
+Above order 1 the tables hold only what occurred in the sample, so the order doesn't depend on
+how many languages there are; memory grows with the languages' sampled text.
 
 Bytes are folded to `CLASSES` classes first: letters without case, digits, white space, other
 ASCII, and the parts of longer characters.
@@ -27,13 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm._text import result, slices
+from marlstone.llm._text import find, result, slices
 
 ORDER = 3
 CLASSES = 48
 SAMPLE = 1500
-#: Bytes of tables in a worker; with many languages the order is lowered to keep to it.
-TABLE_BYTES = 128 << 20
 UNKNOWN = "und"
 #: Bits a byte of a guess without any statistics.
 BLIND = float(np.log2(CLASSES))
@@ -56,58 +56,78 @@ FOLD = _fold()
 
 def codes(data: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
     """For each byte the number of its context and itself; each text starts after white space."""
-    symbols = FOLD[data].astype(np.int32)
+    symbols = FOLD[data].astype(np.uint32 if CLASSES ** (order + 1) <= 1 << 32 else np.uint64)
     out = symbols.copy()
     begins, sizes = bounds[:-1], np.diff(bounds)
     for back in range(1, order + 1):
-        shifted = np.full(len(symbols), SPACE, dtype=np.int32)
+        shifted = np.full_like(symbols, SPACE)
         shifted[back:] = symbols[:-back] if back < len(symbols) else symbols[:0]
         for k in range(back):
             shifted[begins[sizes > k] + k] = SPACE
-        out += shifted * CLASSES**back
+        out += shifted * symbols.dtype.type(CLASSES**back)
     return out
 
 
-def trees(counts: Iterator[np.ndarray], languages: int, order: int) -> np.ndarray:
-    """Negative log2 probabilities, a row for each (context, symbol) and a column for each language."""
-    out = np.empty((CLASSES ** (order + 1), languages), dtype=np.float32)
-    for k, full in enumerate(counts):
-        levels = [full.reshape(-1, CLASSES)]
-        for _ in range(order):
-            levels.append(levels[-1].reshape(CLASSES, -1, CLASSES).sum(axis=0))
-        p = np.full(CLASSES, 1 / CLASSES, dtype=np.float32)
-        for level in reversed(levels):
-            n, d = level.sum(axis=1, keepdims=True), (level > 0).sum(axis=1, keepdims=True, dtype=np.float32)
-            shorter = np.broadcast_to(p, (len(level) // max(1, p.size // CLASSES), *p.shape)).reshape(level.shape)
-            p = np.where(level > 0, level, d * shorter) / np.maximum(n + d, 1)
-            p = np.where(n > 0, p, shorter).astype(np.float32)
-        out[:, k] = -np.log2(p).ravel()
-    return out
+class Tree:
+    """One language's code lengths: dense up to order 1, above it only the contexts and symbols that occurred."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, order: int):
+        self.order, self.low, self.levels = order, min(order, 1), []
+        lengths = np.full(1, BLIND)
+        for o in range(self.low + 1):
+            level = np.bincount(self.ending(code, o).astype(np.int64), n, minlength=CLASSES ** (o + 1)).reshape(-1, CLASSES)
+            total, distinct = level.sum(axis=1, keepdims=True), (level > 0).sum(axis=1, keepdims=True)
+            bits = np.log2(np.maximum(total + distinct, 1))
+            lengths = np.where(level > 0, bits - np.log2(np.maximum(level, 1)), bits - np.log2(np.maximum(distinct, 1)) + lengths)
+        self.dense = lengths.ravel()
+        for o in range(self.low + 1, order + 1):
+            grams, at = np.unique(self.ending(code, o), return_inverse=True)
+            seen = np.bincount(at, n)
+            contexts, first, distinct = np.unique(grams // grams.dtype.type(CLASSES), return_index=True, return_counts=True)
+            bits = np.log2((np.add.reduceat(seen, first) if len(first) else seen) + distinct)
+            self.levels.append((o, contexts, (bits - np.log2(distinct)).astype(np.float32), grams, (np.repeat(bits, distinct) - np.log2(seen)).astype(np.float32)))
+
+    def ending(self, code: np.ndarray, o: int) -> np.ndarray:
+        """The numbers of the contexts' last `o` symbols and the symbol itself."""
+        return code if o == self.order else code % code.dtype.type(CLASSES ** (o + 1))
+
+    def lengths(self, code: np.ndarray) -> np.ndarray:
+        """Negative log2 probabilities of these symbols in their contexts."""
+        out = self.dense[self.ending(code, self.low)]
+        for o, contexts, escape, grams, bits in self.levels:
+            gram = self.ending(code, o)
+            at = find(contexts, gram // gram.dtype.type(CLASSES))
+            known = np.flatnonzero(at >= 0)
+            out[known] += escape[at[known]]
+            at = find(grams, gram[known])
+            out[known[at >= 0]] = bits[at[at >= 0]]
+        return out
 
 
 class Model:
-    """Sparse counts for each language; a worker expands them once."""
+    """Sparse counts for each language; a worker makes trees of them once."""
 
-    _expanded: dict[str, np.ndarray] = {}
+    _trees: dict[str, list[Tree]] = {}
 
     def __init__(self, languages: list[str], order: int, language: np.ndarray, code: np.ndarray, n: np.ndarray, name: str):
         self.languages, self.order, self.name = languages, order, name
         self.language, self.code, self.n = language, code, n
 
-    def table(self) -> np.ndarray:
-        if self.name not in Model._expanded:
-            size = CLASSES ** (self.order + 1)
-            counts = (np.bincount(self.code[self.language == k], self.n[self.language == k], minlength=size).astype(np.float32) for k in range(len(self.languages)))  # one at a time
-            Model._expanded.clear()
-            Model._expanded[self.name] = trees(counts, len(self.languages), self.order)
-        return Model._expanded[self.name]
+    def trees(self) -> list[Tree]:
+        if self.name not in Model._trees:
+            ends = np.searchsorted(self.language, np.arange(len(self.languages) + 1))
+            Model._trees.clear()
+            Model._trees[self.name] = [Tree(self.code[a:b], self.n[a:b], self.order) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return Model._trees[self.name]
 
     def bits(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Code lengths in bits: a row for each text, a column for each language."""
         out = np.zeros((len(bounds) - 1, len(self.languages)))
         some = np.flatnonzero(np.diff(bounds) > 0)
         if len(some) and self.languages:
-            out[some] = np.add.reduceat(self.table()[codes(data, bounds, self.order)], bounds[some], axis=0, dtype=np.float64)
+            distinct, at = np.unique(codes(data, bounds, self.order), return_inverse=True)
+            for k, tree in enumerate(self.trees()):
+                out[some, k] = np.add.reduceat(tree.lengths(distinct)[at], bounds[some])
         return out
 
     def predict(self, data: np.ndarray, bounds: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -132,8 +152,6 @@ def learn(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Model:
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
-    while order and len(languages) * 4 * CLASSES ** (order + 1) > TABLE_BYTES:
-        order -= 1
     number = {k: i for i, k in enumerate(languages)}
     cut = F.lit(0)
     for language in languages:
@@ -150,12 +168,12 @@ def learn(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Model:
                     held.setdefault(int(k), []).append(code[language == k])
             for k, parts in held.items():
                 code, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"language": pa.array(np.full(len(code), k), pa.int32()), "code": pa.array(code, pa.int32()), "n": pa.array(n, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"language": pa.array(np.full(len(code), k), pa.int32()), "code": pa.array(code.astype(np.int64), pa.int64()), "n": pa.array(n, pa.int64())})
 
-    counts = drawn.mapInArrow(run, "language int, code int, n long").groupBy("language", "code").agg(F.sum("n").alias("n")).orderBy("language", "code").toArrow()
+    counts = drawn.mapInArrow(run, "language int, code long, n long").groupBy("language", "code").agg(F.sum("n").alias("n")).orderBy("language", "code").toArrow()
     language, code, n = (counts.column(c).to_numpy() for c in ("language", "code", "n"))
     name = f"{order}:{hash((tuple(languages), language.tobytes(), code.tobytes(), n.tobytes()))}"
-    return Model(languages, order, language.astype(np.int16), code, n.astype(np.int32), name)
+    return Model(languages, order, language, code.astype(np.uint32 if CLASSES ** (order + 1) <= 1 << 32 else np.uint64), n.astype(np.int32), name)
 
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])

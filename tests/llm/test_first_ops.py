@@ -216,6 +216,16 @@ def test_language_by_brute_force(small):
             assert abs(row[language] - want) < 1e-2
 
 
+def test_language_order_with_many_languages(spark):
+    texts = [(k, f"{x}ab{x}ac " * 20, f"l{k % 9}") for k, x in enumerate("qwrtypsdfghjklzxcvbnmqwrtyps")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert len(model.languages) == 9 and model.order == langid.ORDER == 3
+    text = np.frombuffer(b"qabqac", dtype=np.uint8)
+    one = langid.learn(docs.where(docs.lang == model.languages[0]))
+    assert model.bits(text, np.array([0, 6]))[0, 0] == one.bits(text, np.array([0, 6]))[0, 0]
+
+
 def test_language_held_out_accuracy_and_odd_rows(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.digest(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred != 'und'").collect()
