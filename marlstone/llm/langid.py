@@ -1,6 +1,6 @@
 """Language identification by prediction by partial matching over bytes.
 
-For each language a context tree of order up to `ORDER` holds how often each byte class followed
+For each language a context tree of order up to `ORDER` holds how often each byte followed
 each context in labelled texts. A seen symbol has probability c / (n + d) in its context (n
 occurrences, d distinct successors); the escape d / (n + d) leads to the next shorter context,
 down to a uniform one. Statistics are frozen after learning, so the code length of a text is a
@@ -8,8 +8,7 @@ sum of table entries; the language with the shortest code wins, the first in ord
 Above order 1 the tables hold only what occurred in the sample, so the order doesn't depend on
 how many languages there are; memory grows with the languages' sampled text.
 
-Bytes are folded to `CLASSES` classes first: letters without case, digits, white space, other
-ASCII, and the parts of longer characters.
+Symbols are the 256 byte values as they are, without folding.
 
 Learning takes at most about `SAMPLE` texts of each language (a documented parameter, drawn
 by a hash of the row); each text is used whole, and prediction reads every byte.
@@ -32,26 +31,15 @@ from pyspark.sql import functions as F
 from marlstone.llm._text import find, result, slices
 
 ORDER = 3
-CLASSES = 48
+CLASSES = 256
 SAMPLE = 1500
 UNKNOWN = "und"
 #: Bits a byte of a guess without any statistics.
 BLIND = float(np.log2(CLASSES))
 LETTER = re.compile(r"[^\W\d_]")
-SPACE = 27
-
-
-def _fold() -> np.ndarray:
-    fold = np.full(256, 28, dtype=np.uint8)
-    fold[65:91] = fold[97:123] = np.arange(26)
-    fold[48:58] = 26
-    fold[[9, 10, 11, 12, 13, 32]] = SPACE
-    fold[128:192] = 29 + (np.arange(64) & 15)
-    fold[192:196], fold[196:224], fold[224:] = 45, 46, 47
-    return fold
-
-
-FOLD = _fold()
+SPACE = 32
+#: The symbol of each byte: every byte is its own.
+FOLD = np.arange(CLASSES, dtype=np.uint8)
 
 
 def codes(data: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:

@@ -226,6 +226,16 @@ def test_language_order_with_many_languages(spark):
     assert model.bits(text, np.array([0, 6]))[0, 0] == one.bits(text, np.array([0, 6]))[0, 0]
 
 
+def test_language_tells_every_byte_apart(spark):
+    assert len(set(langid.FOLD.tolist())) == langid.CLASSES == 256
+    docs = spark.createDataFrame([(k, t * 30, lang) for k in range(8) for t, lang in (("casá fué ", "aa"), ("casñ fùé ", "bb"), ("дом ", "cc"), ("δομ ", "dd"))], "doc_id long, text string, lang string")
+    ask = spark.createDataFrame([(1, "á", "aa"), (2, "ñ", "bb"), (3, "д", "cc"), (4, "δ", "dd")], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    for r in ask.collect():
+        text = np.frombuffer(r.text.encode(), dtype=np.uint8)
+        assert model.predict(text, np.array([0, len(text)]))[0] == [r.lang]
+
+
 def test_language_held_out_accuracy_and_odd_rows(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.digest(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred != 'und'").collect()
