@@ -3,8 +3,13 @@
 Records are dealt into segments (WARC files) and ordered; each has an offset range in its
 segment. A leaf is the SHA-256 of a record; a node hashes its ordered children's offset ranges
 and digests, FAN to a node, up to each segment's root and on to one root of the replica. Two
-replicas are compared from the root down, level by level, and only children of nodes that
-differ are looked at, so intact branches are never read below their top.
+replicas are tables of their own, each placed and ranged by itself. They are compared from the
+root down, level by level, and only children of nodes that differ are looked at, so intact
+branches are never read below their top. Leaves that differ are aligned by record name.
+
+States: intact; moved (the same bytes at another offset range); corrupt (other bytes under the
+same name); missing (not in the replica); extra (only in the replica, without a digest, place and
+range of the original's).
 
 Defined cases: null html or URLs are empty; repeated rows are records of their own; ties in
 the order are told apart by the record's digest; an empty table has no records and equal
@@ -13,6 +18,9 @@ the order are told apart by the record's digest; an empty table has no records a
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from types import MappingProxyType
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,18 +62,14 @@ def write_segments(pages: DataFrame, path: str, segments: int) -> None:
     rows.select("segment", F.expr("substring(value, 1, length(value) - 1)").alias("value")).write.partitionBy("segment").option("lineSep", "\n").text(path)
 
 
-def tree(leaves: DataFrame) -> list[DataFrame]:
+def tree(leaves: DataFrame, last_place: int, last_segment: int) -> list[DataFrame]:
     """Levels from the leaves (segment, place, first, last, digest) up to the one root.
 
     Nodes are keyed by (segment, place); above the segments' roots, segments are grouped the
-    same way under segment -1, -2, ...
+    same way under segment -1. The last place and segment of either replica give both the same height.
     """
     levels = [leaves.select("segment", "place", "first", "last", "digest")]
-    most = leaves.agg(F.max("place").alias("p"), F.max("segment").alias("s")).first()
-    if most.p is None:
-        return levels
-    spans = [("within", most.p), ("across", most.s)]
-    for kind, width in spans:
+    for kind, width in (("within", last_place), ("across", last_segment)):
         base = levels[-1]
         if kind == "across":
             base = base.select(F.lit(-1).alias("segment"), F.col("segment").cast("long").alias("place"), "first", "last", "digest")
@@ -89,10 +93,10 @@ def differences(mine: list[DataFrame], theirs: list[DataFrame], segment_level: i
     `segment_level` is the level whose nodes are the segments' roots.
     """
     bad = None
-    for level in range(max(len(mine), len(theirs)) - 1, -1, -1):
+    for level in range(len(mine) - 1, -1, -1):
         sides = []
         for levels in (mine, theirs):
-            rows = levels[min(level, len(levels) - 1)].select("segment", "place", "digest")
+            rows = levels[level].select("segment", "place", F.struct("first", "last", "digest").alias("node"))
             if bad is not None:
                 if level == segment_level - 1:  # from segments' roots to the nodes in them
                     top = bad.select(F.col("place").cast("int").alias("segment")).distinct()
@@ -101,41 +105,85 @@ def differences(mine: list[DataFrame], theirs: list[DataFrame], segment_level: i
                     up = bad.select("segment", F.col("place").alias("up")).distinct()
                     rows = rows.withColumn("up", F.floor(F.col("place") / FAN).cast("long")).join(up, ["segment", "up"], "left_semi").drop("up")
             sides.append(rows)
-        other = sides[1].withColumnRenamed("digest", "other")
-        bad = sides[0].join(other, ["segment", "place"], "full_outer").where(~F.col("digest").eqNullSafe(F.col("other"))).select("segment", "place")
+        other = sides[1].withColumnRenamed("node", "other")
+        bad = sides[0].join(other, ["segment", "place"], "full_outer").where(~F.col("node").eqNullSafe(F.col("other"))).select("segment", "place")
         bad = cut_lineage(bad)
     return bad
 
 
-def audit(records: DataFrame) -> DataFrame:
-    """`records` (segment, page_id, digest, replica_digest, bytes) with ranges and `state`: intact or corrupt."""
-    kept = cut_lineage(placed(records))
-    leaves = kept.select("segment", "place", "first", "last", "digest")
-    copies = kept.select("segment", "place", "first", "last", F.col("replica_digest").alias("digest"))
-    mine, theirs = tree(leaves), tree(copies)
-    deepest = kept.agg(F.max("place")).first()[0] or 0
-    segment_level = 0
-    while deepest:
-        deepest //= FAN
+def aligned(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Leaves that differ, paired by name: records of equal bytes first, then what is left in order."""
+    theirs = theirs.select("segment", "name", F.col("page_id").alias("replica_page_id"), F.col("digest").alias("replica_digest"), F.col("place").alias("replica_place"), F.col("first").alias("replica_first"), F.col("last").alias("replica_last"))
+    alike = Window.partitionBy("segment", "name", "digest").orderBy("place")
+    mine = mine.withColumn("nth", F.row_number().over(alike))
+    theirs = theirs.withColumn("digest", F.col("replica_digest")).withColumn("nth", F.row_number().over(alike.orderBy("replica_place")))
+    key = ["segment", "name", "digest", "nth"]
+    same = mine.join(theirs, key).drop("nth")
+    named = Window.partitionBy("segment", "name")
+    left = mine.join(theirs.select(key), key, "left_anti").withColumn("nth", F.row_number().over(named.orderBy("place")))
+    right = theirs.join(mine.select(key), key, "left_anti").drop("digest").withColumn("nth", F.row_number().over(named.orderBy("replica_place")))
+    rest = left.join(right, ["segment", "name", "nth"], "full_outer").drop("nth")
+    moved = F.when((F.col("first") == F.col("replica_first")) & (F.col("last") == F.col("replica_last")), "intact").otherwise("moved")
+    state = F.when(F.col("replica_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").when(F.col("digest") == F.col("replica_digest"), moved).otherwise("corrupt")
+    return same.unionByName(rest).withColumn("state", state).withColumn("page_id", F.when(F.col("digest").isNull(), F.col("replica_page_id")).otherwise(F.col("page_id"))).drop("replica_page_id", "replica_place")
+
+
+def audit(records: DataFrame, replica: DataFrame | None = None) -> DataFrame:
+    """The original's and the replica's records (segment, page_id, digest, bytes, name) with ranges and `state`.
+
+    Without `replica`, its digests are those that `records` has as replica_digest; without `name`,
+    records are named by page_id.
+    """
+    if replica is None:
+        replica = records.drop("digest").withColumnRenamed("replica_digest", "digest")
+    sides = []
+    for side in (records, replica):
+        name = F.col("name") if "name" in side.columns else F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+        sides.append(cut_lineage(placed(side.select("segment", "page_id", name.alias("name"), "digest", "bytes"))))
+    most = sides[0].unionByName(sides[1]).agg(F.max("place").alias("place"), F.max("segment").alias("segment")).first()
+    last_place, last_segment = most.place or 0, most.segment or 0
+    segment_level, width = 0, last_place
+    while width:
+        width //= FAN
         segment_level += 1
+    bad = differences(*(tree(side, last_place, last_segment) for side in sides), segment_level)
     if segment_level == 0:  # one record to a segment: the leaves are the segments' roots
-        bad = differences(mine, theirs, 0).select(F.col("place").cast("int").alias("segment"), F.lit(0).cast("long").alias("place"))
-    else:
-        bad = differences(mine, theirs, segment_level)
-    return kept.join(bad.withColumn("bad", F.lit(True)), ["segment", "place"], "left").withColumn("state", F.when(F.col("bad"), "corrupt").otherwise("intact")).drop("bad")
+        bad = bad.select(F.col("place").cast("int").alias("segment"), F.lit(0).cast("long").alias("place"))
+    on = ["segment", "place"]
+    intact = sides[0].join(bad, on, "left_anti").withColumns({"replica_digest": F.col("digest"), "replica_first": F.col("first"), "replica_last": F.col("last"), "state": F.lit("intact")})
+    return intact.unionByName(aligned(*(side.join(bad, on, "left_semi") for side in sides)))
+
 
+#: Harm that the drill does, each to the records whose URL's MD5 begins with the given digits.
+HARMS = {"damage": "00"}
 
-def drill(pages: DataFrame) -> DataFrame:
-    """Audit a replica in which the last byte of every record whose URL's MD5 begins with 00 is damaged."""
-    n = pages.count()
-    segments = max(1, -(-n // SEGMENT))
+
+def records_of(pages: DataFrame, segments: int, harms: Mapping[str, str] = MappingProxyType({})) -> DataFrame:
+    """(segment, page_id, name, digest, bytes) of the pages' records: their last byte damaged, lost, lengthened, or one more added beside them."""
     url = F.coalesce(F.col("url"), F.lit(""))
-    damaged = F.when(F.md5(url).startswith("00"), F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit("X"))).otherwise(F.col("record"))
-    rows = pages.select("page_id", "url", record(F.col("url"), F.col("html"), F.col("page_id")).alias("record")).select(
-        segment(F.col("url"), F.col("page_id"), segments).alias("segment"), "page_id", F.sha2("record", 256).alias("digest"),
-        F.sha2(damaged, 256).alias("replica_digest"), F.octet_length("record").cast("long").alias("bytes"),
+    hit = {k: F.md5(url).startswith(v) for k, v in harms.items()}
+    text = F.col("record")
+    if "damage" in hit:
+        text = F.when(hit["damage"], F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit("X"))).otherwise(text)
+    if "lengthen" in hit:
+        text = F.when(hit["lengthen"], F.concat(text, F.lit("more\r\n"))).otherwise(text)
+    pages = pages.select("page_id", "url", "html")
+    if "add" in hit:
+        pages = pages.unionByName(pages.where(hit["add"]).select("page_id", F.concat(url, F.lit("#added")).alias("url"), "html"))
+    if "lose" in hit:
+        pages = pages.where(~hit["lose"])
+    rows = pages.select("page_id", "url", record(F.col("url"), F.col("html"), F.col("page_id")).alias("record")).withColumn("text", text)
+    return rows.select(
+        segment(F.col("url"), F.col("page_id"), segments).alias("segment"), "page_id", F.md5(F.concat_ws("|", F.col("page_id").cast("string"), url)).alias("name"),
+        F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("bytes"),
     )
-    return audit(rows).select("page_id", F.col("segment").cast("long").alias("segment"), "place", "first", "last", F.col("digest").alias("record_sha256"), "replica_digest", "state")
+
+
+def drill(pages: DataFrame, harms: Mapping[str, str] = HARMS) -> DataFrame:
+    """Audit a replica made from the pages by itself, with `harms` done to it."""
+    segments = max(1, -(-pages.count() // SEGMENT))
+    found = audit(records_of(pages, segments), records_of(pages, segments, harms))
+    return found.select("page_id", F.col("segment").cast("long").alias("segment"), "place", "first", "last", F.col("digest").alias("record_sha256"), "replica_digest", "state")
 
 
 DRILL_SQL = r"""

@@ -195,6 +195,31 @@ def test_warc_audit(spark, tmp_path):
     assert data.count(b"WARC/1.0\r\n") == 4 and "<p>é</p>\r\n\r\n".encode() in data and data.endswith(b"\r\n\r\n")
 
 
+def test_warc_audit_of_an_independent_replica(spark):
+    kinds = "segment int, page_id long, name string, digest string, bytes long"
+    for n, segments in ((40, 1), (257, 1), (600, 3)):
+        mine = [(i % segments, i, f"n{i}", f"d{i}", 10 + i % 7) for i in range(n)]
+        theirs = [(s, i, name, "bad" if i == 7 else d, b + 5 * (i == n - 4)) for s, i, name, d, b in mine if i != n - 9] + [(0, n - 12, "new", "x", 3)]
+        theirs = [(s, i, name, "longer" if i == n - 4 else d, b) for s, i, name, d, b in theirs]
+        spans = []
+        for side in (mine, theirs):
+            at, held = Counter(), {}
+            for s, i, name, d, b in sorted(side, key=lambda r: (r[0], r[1], r[3])):
+                held[name] = (d, at[s], at[s] + b)
+                at[s] += b
+            spans.append(held)
+        state = lambda a, b: "missing" if b is None else "extra" if a is None else "corrupt" if a[0] != b[0] else "intact" if a == b else "moved"
+        got = warc.audit(spark.createDataFrame(mine, kinds), spark.createDataFrame(theirs, kinds)).collect()
+        assert len(got) == n + 1 and {r.name: r.state for r in got} == {k: state(spans[0].get(k), spans[1].get(k)) for k in spans[0] | spans[1]}
+        assert {"missing", "extra", "corrupt", "intact", "moved"} == {r.state for r in got}
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}</p>") for i in range(300)], "page_id long, url string, html string")
+    harms = {"damage": "0", "lose": "1", "lengthen": "2", "add": "3"}
+    hit = Counter(hashlib.md5(f"http://a/{i}".encode()).hexdigest()[0] for i in range(300))
+    got = Counter(r.state for r in warc.drill(pages, harms).collect())
+    assert (got["corrupt"], got["missing"], got["extra"]) == (hit["0"] + hit["2"], hit["1"], hit["3"]) and sum(got.values()) == 300 + hit["3"]
+    assert {r.state for r in warc.audit(spark.createDataFrame([], kinds), spark.createDataFrame(mine, kinds)).collect()} == {"extra"}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from marlstone.llm import contamination, langid
