@@ -19,14 +19,15 @@ MOST_EXPANDED = 128 << 20
 FOLD = str.maketrans(WIDTH_FROM, WIDTH_TO)
 
 
-def read(path: str, kind: str, pdf_seconds: int) -> str:
+def read(path: str, kind: str, pdf_seconds: int) -> tuple[str, str | None]:
+    """The text, and what could not be read of it."""
     if kind == "docx":
-        return docx(path)
+        return docx(path), None
     if kind == "epub":
-        return epub(path)
+        return epub(path), None
     if kind == "pdf":
         return pdf(path, pdf_seconds)
-    return Path(path).read_bytes().decode("utf-8")
+    return Path(path).read_bytes().decode("utf-8"), None
 
 
 def tidy(text: str) -> str:
@@ -165,7 +166,7 @@ def epub(path: str) -> str:
     return text
 
 
-def pdf(path: str, seconds: int) -> str:
+def pdf(path: str, seconds: int) -> tuple[str, str | None]:
     """In a process of its own, which ends with the time limit."""
     try:
         done = subprocess.run([sys.executable, "-m", "marlstone.sources.pdf", path], capture_output=True, timeout=seconds, check=False, cwd=str(Path(__file__).resolve().parents[2]))
@@ -173,4 +174,5 @@ def pdf(path: str, seconds: int) -> str:
         raise TimeoutError(f"PDF extraction took more than {seconds} s") from None
     if done.returncode:
         raise ValueError(done.stderr.decode("utf-8", "replace").strip().splitlines()[-1] if done.stderr.strip() else "PDF extraction failed")
-    return tidy(done.stdout.decode("utf-8"))
+    said = done.stderr.decode("utf-8", "replace").strip()
+    return tidy(done.stdout.decode("utf-8")), said.splitlines()[-1] if said else None

@@ -115,7 +115,7 @@ def scan(spark: SparkSession, source: str, options: ScanOptions = ScanOptions())
 
 
 def documents(files: DataFrame, source: str, options: ScanOptions = ScanOptions()) -> tuple[DataFrame, DataFrame]:
-    """(documents(path, kind, text), issues(path, message)) of scanned files; kinds without an extractor give neither."""
+    """(documents(path, kind, text), issues(path, message)) of scanned files; one read in part gives both, kinds without an extractor neither."""
     top, seconds = os.path.abspath(source), options.pdf_timeout_seconds
     ensure_importable(files.sparkSession)
 
@@ -124,14 +124,14 @@ def documents(files: DataFrame, source: str, options: ScanOptions = ScanOptions(
             for path, kind in zip(batch.column("path").to_pylist(), batch.column("kind").to_pylist(), strict=True):
                 text = message = None
                 try:
-                    text = extract.read(os.path.join(top, path), kind, seconds)
+                    text, message = extract.read(os.path.join(top, path), kind, seconds)
                 except Exception as e:  # noqa: BLE001  a document that can't be read is an issue, not the end
                     message = str(e) or type(e).__name__
                 yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (path, kind, text, message)], names=["path", "kind", "text", "message"])
 
     read = files.where("kind != 'other'").select("path", "kind").mapInArrow(run, "path string, kind string, text string, message string")
     marked = F.when(F.col("kind").isin("html", "xml"), markup_text(F.col("text"))).otherwise(F.col("text"))
-    return read.where("message is null").select("path", "kind", marked.alias("text")), read.where("message is not null").select("path", "message")
+    return read.where("text is not null").select("path", "kind", marked.alias("text")), read.where("message is not null").select("path", "message")
 
 
 @dataclass

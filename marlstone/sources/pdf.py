@@ -11,19 +11,36 @@ TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>
 ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
-def streams(data: bytes) -> list[bytes]:
-    found = []
+#: Bytes that a stream may expand to.
+MOST = 64 << 20
+#: Marks of streams that hold no page text: images, fonts, cross references, object streams, metadata, color profiles, functions.
+NO_TEXT = re.compile(rb"/Subtype\s*/Image|/Length1\b|/Subtype\s*/(?:Type1C|CIDFontType0C|OpenType)\b|/Type\s*/(?:XRef|ObjStm|Metadata)\b|/Alternate\b|/FunctionType\b")
+
+
+def streams(data: bytes) -> tuple[list[bytes], int]:
+    """Streams that could be read, and how many that may hold text could not."""
+    found, skipped = [], 0
     for m in re.finditer(rb"obj\b(.*?)\bstream\r?\n(.*?)\r?\n?endstream", data, re.S):
         head, body = m.groups()
-        if b"/FlateDecode" in head:
+        text = not NO_TEXT.search(head)
+        if b"/Filter" in head:
+            if not re.search(rb"/Filter\s*(?:\[\s*)?/FlateDecode\s*(?:\]|/(?!\w+Decode)|>>)", head):
+                skipped += text
+                continue
+            held = zlib.decompressobj()
             try:
-                body = zlib.decompressobj().decompress(body, 64 << 20)
+                body = held.decompress(data[m.start(2) : m.end() - len(b"endstream")], MOST)
             except zlib.error:
+                skipped += text
+                continue
+            if held.unconsumed_tail or not held.eof and len(body) >= MOST:
+                if text:
+                    sys.exit("expanded text is too large")
                 continue
-        elif b"/Filter" in head:
-            continue
+            if not held.eof:
+                skipped += text
         found.append(body)
-    return found
+    return found, skipped
 
 
 def literal(token: bytes) -> str:
@@ -67,9 +84,12 @@ def main(path: str) -> None:
         sys.exit("not a PDF file")
     if b"/Encrypt" in data:
         sys.exit("the PDF file is encrypted")
-    text = "\n".join(t for t in map(page_text, streams(data)) if t.strip())
+    found, skipped = streams(data)
+    text = "\n".join(t for t in map(page_text, found) if t.strip())
     if not text:
         sys.exit("no text was found in the PDF file")
+    if skipped:
+        sys.stderr.write(f"{skipped} streams of the PDF file could not be read")
     sys.stdout.buffer.write(text.encode("utf-8", "replace"))
 
 

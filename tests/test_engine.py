@@ -233,3 +233,25 @@ def test_streamed_findings(spark, tmp_path):
     held = index.Index(spark, str(tmp_path / "i"))
     ingest.keep_indexed(docs, held, str(tmp_path / "c")).awaitTermination(60)
     assert held.chunks().count() == 1
+
+
+def test_pdf_streams_that_cannot_be_read(tmp_path):
+    import base64
+    import zlib
+
+    from marlstone.sources import extract
+
+    def file(name, *streams):
+        parts = [b"%d 0 obj << %s >>\nstream\n%s\nendstream endobj\n" % (k, head, body) for k, (head, body) in enumerate(streams, 1)]
+        (tmp_path / name).write_bytes(b"%PDF-1.4\n" + b"".join(parts))
+        return str(tmp_path / name)
+
+    page, flate = zlib.compress(b"BT (One page) Tj ET"), b"/Filter /FlateDecode"
+    image = (b"/Subtype /Image /Filter /DCTDecode", b"xyz")
+    assert extract.pdf(file("a.pdf", (flate, page), image), 20) == ("One page", None)
+    other = (b"/Filter [/ASCII85Decode /FlateDecode]", base64.a85encode(page) + b"~>")
+    assert extract.pdf(file("b.pdf", (flate, page), other), 20) == ("One page", "1 streams of the PDF file could not be read")
+    assert extract.pdf(file("c.pdf", (flate, page), (flate, page[:12])), 20)[1] == "1 streams of the PDF file could not be read"
+    large = zlib.compress(b"BT (first) Tj ET" + b" " * (65 << 20) + b"BT (last) Tj ET")
+    with pytest.raises(ValueError, match="too large"):
+        extract.pdf(file("d.pdf", (flate, page), (flate, large)), 20)
