@@ -18,17 +18,27 @@ def ensure_importable(spark: SparkSession) -> None:
     known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in known.split(":"):
         env["PYTHONPATH"] = f"{ROOT}:{known}" if known else ROOT
+    if spark.conf.get(BATCH_OPTION, None) == BATCH_DEFAULT:  # a caller's own setting stays
+        spark.conf.set(BATCH_OPTION, str(BATCH_BYTES))
 
 
 #: Tables of texts, whose rows cost far more to work on than to move.
 TEXTS = ("documents", "pages", "conversations")
+#: Bytes of a table up to which it is dealt out, and of what a task then gets at least.
+SMALL_TABLE, LEAST_SHARE = 256 << 20, 256 << 10
+BATCH_OPTION, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: Bytes of an Arrow batch to and from Python workers, which bounds what both sides hold.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the driver's; texts in fewer pieces than half the cores are dealt out to all of them."""
+    """A table of the driver's; a small one of texts in fewer pieces than half the cores is dealt out to more of them."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in TEXTS and 2 * df.rdd.getNumPartitions() <= cores else df
+    if name not in TEXTS:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    pieces = min(spark.sparkContext.defaultParallelism, -(-size // LEAST_SHARE))
+    return df.repartition(pieces) if size <= SMALL_TABLE and 2 * df.rdd.getNumPartitions() <= pieces else df
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,7 +52,9 @@ def shared_folder(spark: SparkSession) -> str:
     return named or UNSET
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the shared folder."""
+def cut_lineage(df: DataFrame, rows: int | None = None, rows_a_file: int = 500_000) -> DataFrame:
+    """An eager checkpoint in the shared folder; about `rows` narrow rows, if told, go into no more files than they need."""
     shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // rows_a_file)))
     return df.checkpoint(eager=True)
