@@ -26,17 +26,29 @@ def ensure_importable(spark: SparkSession) -> None:
 TEXTS = ("documents", "pages", "conversations")
 #: Bytes of a table up to which it is dealt out, and of what a task then gets at least.
 SMALL_TABLE, LEAST_SHARE = 256 << 20, 256 << 10
+#: Bytes of input that a task of many small files or partitions gets, so that it doesn't write as many small files again.
+FILE_BYTES = 4 << 20
 BATCH_OPTION, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Bytes of an Arrow batch to and from Python workers, which bounds what both sides hold.
 BATCH_BYTES = 8 << 20
 
 
+def size_of(df: DataFrame) -> int:
+    """The planner's estimate of a DataFrame's bytes; for a table on disk, those of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def files_for(df: DataFrame) -> int:
+    """How many pieces of FILE_BYTES a table has, as many as cores at least; without bound where the size isn't known."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size_of(df) // FILE_BYTES), 1 << 30))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver's; a small one of texts in fewer pieces than half the cores is dealt out to more of them."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name not in TEXTS:
         return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size_of(df)
     pieces = min(spark.sparkContext.defaultParallelism, -(-size // LEAST_SHARE))
     return df.repartition(pieces) if size <= SMALL_TABLE and 2 * df.rdd.getNumPartitions() <= pieces else df
 
@@ -52,9 +64,7 @@ def shared_folder(spark: SparkSession) -> str:
     return named or UNSET
 
 
-def cut_lineage(df: DataFrame, rows: int | None = None, rows_a_file: int = 500_000) -> DataFrame:
-    """An eager checkpoint in the shared folder; about `rows` narrow rows, if told, go into no more files than they need."""
+def cut_lineage(df: DataFrame, files: int | None = None) -> DataFrame:
+    """An eager checkpoint in the shared folder, in no more than `files` files if that is given."""
     shared_folder(df.sparkSession)
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // rows_a_file)))
-    return df.checkpoint(eager=True)
+    return (df.coalesce(max(1, files)) if files is not None else df).checkpoint(eager=True)
