@@ -9,33 +9,52 @@ stage with a brute-force version.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import contamination, jaccard, langid, pieces, suffixes
-from marlstone.session import ensure_importable, shared_folder, table
+from marlstone.session import ensure_importable, files_for, shared_folder, table
 
 
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose input and result are packed into pieces of a few megabytes, so that small files don't multiply."""
+
+    @wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ensure_importable(spark)
+        files = files_for(docs)
+        return work(spark, docs.coalesce(files), sf_dir).coalesce(files)
+
+    return run
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or that no learned language explains, go."""
     return langid.keep_known(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the least id."""
     return jaccard.keep_one(docs)
 
 
+@_stage
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that also start elsewhere are cut out of every text."""
     return suffixes.cut(docs)
 
 
+@_stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold enough of a benchmark item go."""
     return contamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_pieces, ids and round_trip of every document left."""
     return pieces.digest(docs)

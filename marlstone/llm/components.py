@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from marlstone.session import cut_lineage
 
+#: Edges in a file between rounds; small graphs then don't cost a file for each shuffle partition in every round.
+EDGES_A_FILE = 500_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link each node's greater (or not greater) neighbours to the least of its neighbourhood."""
@@ -28,12 +31,15 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b); the root is the least node of its component."""
-    now = cut_lineage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
+    """(node, root) for every node of the edges (a, b); the root is the least node of its component.
+
+    The first round's edges go into no more than `files` files, if that is given.
+    """
+    now = cut_lineage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), files)
     mark = _mark(now)
     while mark[0]:
-        now = cut_lineage(_star(_star(now, True), False))
+        now = cut_lineage(_star(_star(now, True), False), -(-mark[0] // EDGES_A_FILE))
         before, mark = mark, _mark(now)
         if mark == before:
             break

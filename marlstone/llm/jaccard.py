@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 
 from marlstone.llm._text import U64, Words, mix, slices
 from marlstone.llm.components import components
-from marlstone.session import cut_lineage
+from marlstone.session import cut_lineage, files_for
 
 WIDTH, THRESHOLD = 5, 0.8
 TOKENS, RUNS = 64, 16
-#: Buckets of up to SMALL sets are compared at once; up to LARGE in one task; groups are exact in blocks of BLOCK.
-SMALL, LARGE, BLOCK = 64, 4096, 2048
+#: Buckets of up to SMALL sets are compared at once; up to LARGE in one task; groups are exact in blocks of BLOCK sets and of BLOCK_GRAMS n-grams.
+SMALL, LARGE, BLOCK, BLOCK_GRAMS = 64, 4096, 2048, 1 << 20
 DEPTH = 3
 MARGIN = 0.2
 _seeds = np.random.default_rng(5).integers(1, 1 << 63, TOKENS, dtype=np.uint64) | U64(1)
@@ -81,20 +81,22 @@ def _distinct(words: Words, width: int) -> Iterator[np.ndarray]:
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, row_key, set_key, sig) for each document; set_key is null without words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary())])
+    """(doc_id, row_key, set_key, sig, grams) for each document; set_key is null without words, grams counts distinct n-grams."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.binary()), ("set_key", pa.binary()), ("sig", pa.binary()), ("grams", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, bounds in slices(batch, "text"):
-                found = [(_key(g), signature(g).tobytes()) if len(g) else (None, None) for g in _distinct(Words(data, bounds), width)]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("row_key"), pa.array([k for k, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], schema=schema)
+                found = [(_key(g), signature(g).tobytes(), len(g)) if len(g) else (None, None, 0) for g in _distinct(Words(data, bounds), width)]
+                made = [pa.array([f[k] for f in found], schema.types[k + 2]) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("row_key"), *made], schema=schema)
 
-    return docs.select("doc_id", "text", _row_key().alias("row_key")).mapInArrow(run, "doc_id long, row_key long, set_key binary, sig binary")
+    return docs.select("doc_id", "text", _row_key().alias("row_key")).mapInArrow(run, "doc_id long, row_key binary, set_key binary, sig binary, grams long")
 
 
 def _row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
+    """128 bits of a row's id and text, nulls told apart from empty texts."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("|"), F.col("text")), F.lit("")))))
 
 
 def _chosen(path: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -170,10 +172,9 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _blocked(rows: DataFrame, size: str, most: int, id_column: str) -> DataFrame:
-    """Add `part`: one part for a group of up to `most` rows, else one for each pair of blocks."""
-    blocks = F.ceil(F.col(size) / F.lit(most)).cast("int")
-    spread = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(id_column), F.col("blocks")).cast("int"))
+def _blocked(rows: DataFrame, blocks: Column, id_column: str) -> DataFrame:
+    """Add `part`: one part for a group of one block, else one for each pair of blocks."""
+    spread = rows.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64(id_column), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return spread.withColumn("part", F.struct(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))).drop("other")
 
@@ -184,7 +185,7 @@ def candidates(found: DataFrame, threshold: float, runs: int) -> DataFrame:
     walked = paths(found, threshold, runs)
     sizes = walked.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = walked.join(sizes, "path").join(found.select("set_key", "sig"), "set_key")
-    parts = _blocked(members, "n", LARGE, "set_key")
+    parts = _blocked(members, F.ceil(F.col("n") / F.lit(LARGE)), "set_key")
     dealt = parts.withColumn("bucket", F.xxhash64("path", "part.i", "part.j")).select("bucket", "path", "set_key", "sig")
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
 
@@ -250,14 +251,15 @@ def _exact(keys: list[bytes], grams: list[np.ndarray], own: np.ndarray, weights:
 
 def links(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
     """(doc_id, class_id, n_links, row_key, root) for each document; root names the class, null without words."""
-    rows = cut_lineage(sets(docs, width))
-    distinct = rows.where("set_key is not null").groupBy("set_key").agg(F.first("sig").alias("sig"), F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"))
-    distinct = cut_lineage(distinct)
-    grouped = components(candidates(distinct, threshold, runs))
-    sized = grouped.join(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
-    wanted = sized.withColumnRenamed("node", "set_key").join(distinct.select("set_key", "row_key", "weight"), "set_key")
-    texts = docs.select("text", _row_key().alias("row_key")).join(wanted, "row_key").select("root", "n", "set_key", "weight", "text")
-    dealt = _blocked(texts, "n", BLOCK, "set_key").withColumn("bucket", F.xxhash64("root", "part.i", "part.j"))
+    files = files_for(docs)
+    rows = cut_lineage(sets(docs, width), files)
+    distinct = rows.where("set_key is not null").groupBy("set_key").agg(F.first("sig").alias("sig"), F.first("grams").alias("grams"), F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"))
+    distinct = cut_lineage(distinct, files)
+    grouped = components(candidates(distinct, threshold, runs), files)
+    wanted = grouped.withColumnRenamed("node", "set_key").join(distinct.select("set_key", "row_key", "weight", "grams"), "set_key")
+    wanted = wanted.join(wanted.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("held")), "root")
+    texts = docs.select("text", _row_key().alias("row_key")).join(wanted, "row_key").select("root", "n", "held", "set_key", "weight", "text")
+    dealt = _blocked(texts, F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("held") / F.lit(BLOCK_GRAMS))), "set_key").withColumn("bucket", F.xxhash64("root", "part.i", "part.j"))
     dealt = dealt.select("bucket", "set_key", "weight", "blocks", "own", F.col("part.i").alias("i"), F.col("part.j").alias("j"), "text").repartition("bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,9 +279,9 @@ def links(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, run
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([keys[a] for a, _ in edges], pa.binary()), pa.array([keys[b] for _, b in edges], pa.binary()), pa.array(np.zeros(len(edges), dtype=np.int64))], names=["a", "b", "n"])
 
-    verified = cut_lineage(dealt.mapInArrow(run, "a binary, b binary, n long"))
+    verified = cut_lineage(dealt.mapInArrow(run, "a binary, b binary, n long"), files)
     counted = verified.where("b is null").groupBy(F.col("a").alias("set_key")).agg(F.sum("n").alias("n"))
-    joined = components(verified.where("b is not null").select("a", "b")).withColumnRenamed("node", "set_key")
+    joined = components(verified.where("b is not null").select("a", "b"), files).withColumnRenamed("node", "set_key")
     named = distinct.select("set_key", "weight", "least_id").join(joined, "set_key", "left").join(counted, "set_key", "left")
     named = named.withColumn("root", F.coalesce("root", "set_key"))
     classes = named.groupBy("root").agg(F.min("least_id").alias("class_id"))

@@ -93,20 +93,21 @@ class Tree:
 
 
 class Model:
-    """Sparse counts for each language; a worker makes trees of them once."""
+    """Sparse counts for each language. A worker makes trees of them once; they go with the broadcast that holds the model."""
 
-    _trees: dict[str, list[Tree]] = {}
-
-    def __init__(self, languages: list[str], order: int, language: np.ndarray, code: np.ndarray, n: np.ndarray, name: str):
-        self.languages, self.order, self.name = languages, order, name
+    def __init__(self, languages: list[str], order: int, language: np.ndarray, code: np.ndarray, n: np.ndarray):
+        self.languages, self.order = languages, order
         self.language, self.code, self.n = language, code, n
+        self._trees: list[Tree] = []
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_trees": []}
 
     def trees(self) -> list[Tree]:
-        if self.name not in Model._trees:
+        if not self._trees:
             ends = np.searchsorted(self.language, np.arange(len(self.languages) + 1))
-            Model._trees.clear()
-            Model._trees[self.name] = [Tree(self.code[a:b], self.n[a:b], self.order) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return Model._trees[self.name]
+            self._trees = [Tree(self.code[a:b], self.n[a:b], self.order) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return self._trees
 
     def bits(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Code lengths in bits: a row for each text, a column for each language."""
@@ -160,8 +161,7 @@ def learn(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Model:
 
     counts = drawn.mapInArrow(run, "language int, code long, n long").groupBy("language", "code").agg(F.sum("n").alias("n")).orderBy("language", "code").toArrow()
     language, code, n = (counts.column(c).to_numpy() for c in ("language", "code", "n"))
-    name = f"{order}:{hash((tuple(languages), language.tobytes(), code.tobytes(), n.tobytes()))}"
-    return Model(languages, order, language, code.astype(np.uint32 if CLASSES ** (order + 1) <= 1 << 32 else np.uint64), n.astype(np.int32), name)
+    return Model(languages, order, language, code.astype(np.uint32 if CLASSES ** (order + 1) <= 1 << 32 else np.uint64), n.astype(np.int32))
 
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])

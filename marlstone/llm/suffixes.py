@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm._text import BASE, U64, mix, powers, prefix_hashes, range_hashes, result, slices, utf8
-from marlstone.session import cut_lineage
+from marlstone.session import cut_lineage, files_for
 
 LENGTH, GRAM = 200, 48
 WINDOW = LENGTH - GRAM + 1
