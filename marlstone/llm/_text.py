@@ -15,6 +15,8 @@ _trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+#: Longer rows of powers are made anew when they are needed.
+POWERS_KEPT = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -30,10 +32,11 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** n, modulo 2 ** 64."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
-        size = max(n + 1, 1 << 16, 2 * len(have) if have is not None else 0)
-        steps = np.full(size, base, dtype=U64)
+        steps = np.full(max(n + 1, 1 << 16, 2 * len(have) if have is not None else 0), base, dtype=U64)
         steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=U64)
+        have = np.cumprod(steps, dtype=U64)
+        if n < POWERS_KEPT:
+            _powers[base] = have
     return have[: n + 1]
 
 
