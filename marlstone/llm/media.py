@@ -5,6 +5,8 @@ the canvas (RGB), the colour indices, its delay and its colour histogram.
 
 Defined cases: a null text is empty and becomes one frame of padding; a long text becomes more
 frames; equal texts give equal bytes; an empty table gives no rows; other columns are ignored.
+The payload is read back from the composed canvas, so palettes, disposal and transparency all
+have to be right for it to come back.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +27,14 @@ from marlstone.llm._text import result, slices
 SIDE = 24
 SQUARE = SIDE * SIDE
 #: Squares to a frame at most.
-BLOCKS = 16
+BLOCKS = 4
 GREYS = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
-#: Codes between two clear codes: the table then stays below 512 entries, and codes at 9 bits.
-RUN = 254
+#: Table entries, and bits of a code, at most.
+ENTRIES, MOST_BITS = 4096, 12
+#: Hundredths of a second for each square of a frame.
 DELAY = 4
-EIGHT = np.arange(8, dtype=np.uint16)
+#: Frames stay, are put back to what was before them, and are cleared to the background, in turn.
+DISPOSALS = (1, 3, 2)
 
 
 @dataclass
@@ -41,100 +46,153 @@ class Frame:
     histogram: np.ndarray  # of the canvas: 64 bins, two bits of each of red, green and blue
 
 
-def lzw_pack(samples: np.ndarray) -> np.ndarray:
-    """Rows of 8-bit samples as LZW streams of 9-bit codes, one row of bytes for each.
-
-    Each sample is its own code and a clear code comes before the table could need ten bits.
-    That is a valid stream for any decoder, and is made without a loop over samples.
-    """
-    rows, n = samples.shape
-    runs = -(-n // RUN)
-    codes = np.full((rows, n + runs + 1), 256, dtype=np.uint16)
-    at = np.arange(n)
-    codes[:, at + at // RUN + 1] = samples
-    codes[:, -1] = 257
-    width = codes.shape[1]
-    codes = np.pad(codes, ((0, 0), (0, -width % 8))).reshape(rows, -1, 8)
-    packed = np.zeros((rows, codes.shape[1], 9), dtype=np.uint8)  # eight codes fill nine bytes
-    packed[..., :8] = codes << EIGHT
-    packed[..., 1:] |= (codes >> (8 - EIGHT)).astype(np.uint8)
-    return packed.reshape(rows, -1)[:, : -(-width * 9 // 8)]
+@cache
+def _widths(code_size: int) -> np.ndarray:
+    """Bits of the first ENTRIES codes after a clear code; every code but the first adds a table entry."""
+    size = np.arange(ENTRIES) + (1 << code_size) + 1
+    return np.minimum(np.maximum(np.frexp(size.astype(np.float64))[1], code_size + 1), MOST_BITS)
+
+
+def lzw_codes(samples: bytes) -> tuple[list[int], list[int]]:
+    """The codes of 8-bit samples by a growing table, cleared whenever it is full, and where the clear codes stand."""
+    codes, clears = [256], [0]
+    put, left = codes.append, iter(samples)
+    word = next(left, None)
+    while word is not None:
+        table: dict[int, int] = {}
+        find, following = table.get, 258
+        for sample in left:
+            longer = find(word << 8 | sample)
+            if longer is not None:
+                word = longer
+                continue
+            put(word)
+            table[word << 8 | sample] = following
+            following += 1
+            word = sample
+            if following == ENTRIES:  # the word just begun starts the next table
+                clears.append(len(codes))
+                put(256)
+                break
+        else:
+            put(word)
+            word = None
+    return codes, clears
+
+
+def lzw_pack(samples: bytes) -> bytes:
+    """An LZW stream of 8-bit samples with codes of 9 to 12 bits."""
+    codes, clears = lzw_codes(samples)
+    codes.append(257)
+    runs = np.diff(np.append(clears, len(codes)))
+    # a clear code is as wide as the codes of the table that it ends
+    since = np.arange(len(codes)) - np.repeat(np.array(clears), runs) - 1
+    since[clears[1:]] = runs[:-1] - 1
+    since[0] = 0
+    width = _widths(8)[since]
+    places = np.arange(MOST_BITS)
+    bits = (np.array(codes, dtype=np.uint16)[:, None] >> places.astype(np.uint16)) & 1
+    return np.packbits(bits.astype(bool)[places < width[:, None]], bitorder="little").tobytes()
 
 
 def lzw_unpack(stream: bytes, code_size: int, n: int) -> np.ndarray:
-    """The first n samples of an LZW code stream."""
+    """The first n samples of an LZW code stream.
+
+    Codes are cut out of the stream a run at a time, for their widths follow from their number
+    since the last clear code. A table entry is a piece of what was already put out: that of the
+    code which added it, and the sample after it. So the table is an array of places in the
+    output, and samples are fetched from there by following such places to their literals.
+    """
     clear = 1 << code_size
-    if code_size == 8:  # a stream that never leaves nine bits and holds samples only needs no table
-        held = np.frombuffer(stream + bytes(-len(stream) % 9), dtype=np.uint8).reshape(-1, 9).astype(np.uint16)
-        codes = (((held[:, :8] | (held[:, 1:] << 8)) >> EIGHT) & 511).ravel()[: len(stream) * 8 // 9]
-        ends = np.flatnonzero(codes == 257)
-        codes = codes[: ends[0]] if len(ends) else codes
-        clears = np.flatnonzero(codes == 256)
-        gaps = np.diff(np.append(clears, len(codes))) - 1
-        if len(clears) and clears[0] == 0 and gaps.max() <= RUN and codes.max() <= 256:
-            return codes[codes != 256][:n].astype(np.uint8)
-    out = bytearray()
-    width, table, last = code_size + 1, [bytes([i]) for i in range(clear)] + [b"", b""], b""
-    held = bits_held = 0
-    for byte in stream:
-        held |= byte << bits_held
-        bits_held += 8
-        while bits_held >= width:
-            code = held & ((1 << width) - 1)
-            held >>= width
-            bits_held -= width
-            if code == clear:
-                width, last = code_size + 1, b""
-                del table[clear + 2 :]
-                continue
-            if code == clear + 1 or len(out) >= n:
-                return np.frombuffer(bytes(out[:n]), dtype=np.uint8)
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table) and last:
-                entry = last + last[:1]
-            else:
-                raise ValueError("LZW code outside the table")
-            out += entry
-            if last and len(table) < 4096:
-                table.append(last + entry[:1])
-                if len(table) == 1 << width and width < 12:
-                    width += 1
-            last = entry
-    return np.frombuffer(bytes(out[:n]), dtype=np.uint8)
-
-
-def _image(samples: np.ndarray, delay: int) -> np.ndarray:
-    """For each row of samples a graphic control block, an image descriptor and the code stream."""
-    streams = lzw_pack(samples)
-    length = streams.shape[1]
-    head = struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay, 0, 0) + struct.pack("<BHHHHBB", 0x2C, 0, 0, SIDE, samples.shape[1] // SIDE, 0, 8)
-    starts = range(0, length, 255)
-    frame = np.empty((len(samples), len(head) + length + len(starts) + 1), dtype=np.uint8)
-    frame[:, : len(head)] = np.frombuffer(head, dtype=np.uint8)
-    at = len(head)
-    for s in starts:
-        m = min(255, length - s)
-        frame[:, at] = m
-        frame[:, at + 1 : at + 1 + m] = streams[:, s : s + m]
-        at += m + 1
-    frame[:, at] = 0
-    return frame
-
-
-def encode(payload: bytes, delay: int = DELAY) -> bytes:
-    """A grey-palette animation whose frames' indices are the payload's bytes in order.
-
-    The picture is SIDE wide and as high as the payload needs, up to BLOCKS squares; a longer
-    payload takes more frames, the last of which may cover only the upper rows.
+    held = np.frombuffer(stream + bytes(4), dtype=np.uint8).astype(np.uint32)
+    bit, most, out, size = 0, len(stream) * 8, [], 0
+    run: list[np.ndarray] = []  # codes since the last clear code
+    while bit < most and size < n:
+        since = sum(map(len, run))
+        fit = (most - bit) // (code_size + 1) + 1
+        width = _widths(code_size)[:fit] if not since else np.full(min(fit, ENTRIES), MOST_BITS)
+        ends = bit + np.cumsum(width)
+        width = width[ends <= most]
+        if not len(width):
+            break
+        starts = ends[: len(width)] - width
+        byte = starts >> 3
+        codes = ((held[byte] | held[byte + 1] << 8 | held[byte + 2] << 16) >> (starts & 7).astype(np.uint32)) & ((1 << width) - 1).astype(np.uint32)
+        stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        taken = int(stop[0]) if len(stop) else len(codes)
+        run.append(codes[:taken])
+        bit = int(ends[min(taken, len(codes) - 1)])
+        if len(stop) or bit + code_size >= most:
+            out.append(_samples(np.concatenate(run).astype(np.int64), clear))
+            size += len(out[-1])
+            run = []
+        if len(stop) and codes[taken] == clear + 1:
+            break
+    if run:
+        out.append(_samples(np.concatenate(run).astype(np.int64), clear))
+    return np.concatenate([*out, np.zeros(0, dtype=np.uint8)])[:n].astype(np.uint8)
+
+
+def _samples(codes: np.ndarray, clear: int) -> np.ndarray:
+    """What codes between two clear codes stand for."""
+    number = np.arange(len(codes))
+    literal = codes < clear
+    entry = np.where(literal, -1, codes - clear - 2)  # the code that added the entry
+    if (entry >= number).any():
+        raise ValueError("LZW code outside the table")
+    length, above = np.ones(len(codes), dtype=np.int64), entry.copy()
+    while True:  # a code is one sample longer than the one that its entry comes from
+        deeper = np.flatnonzero(above >= 0)
+        if not len(deeper):
+            break
+        length[deeper], above[deeper] = length[deeper] + length[above[deeper]], above[above[deeper]]
+    first = np.cumsum(length) - length
+    total = int(length.sum())
+    place = np.arange(total)
+    source = np.repeat(np.where(literal, first, first[entry]) - first, length) + place
+    while True:
+        further = source[source]
+        if (further == source).all():
+            break
+        source = further
+    out = np.zeros(total, dtype=np.uint8)
+    out[first[literal]] = codes[literal]
+    return out[source]
+
+
+def _image(samples: np.ndarray, disposal: int, transparent: int | None) -> bytes:
+    """A graphic control block, an image descriptor and the code stream in blocks of up to 255 bytes."""
+    rows = len(samples) // SIDE
+    stream = lzw_pack(samples.tobytes())
+    head = struct.pack("<BBBBHBB", 0x21, 0xF9, 4, disposal << 2 | (transparent is not None), DELAY * (rows // SIDE), transparent or 0, 0)
+    parts = [head, struct.pack("<BHHHHBB", 0x2C, 0, 0, SIDE, rows, 0, 8)]
+    for s in range(0, len(stream), 255):
+        block = stream[s : s + 255]
+        parts += [bytes([len(block)]), block]
+    return b"".join(parts) + b"\0"
+
+
+def encode(payload: bytes) -> bytes:
+    """A grey animation that shows the payload's bytes in order, SIDE wide and up to BLOCKS squares high.
+
+    Frames are kept, put back and cleared in turn (DISPOSALS). In a frame that has a value to
+    spare, samples equal to what the canvas shows already are written as that transparent index.
+    Each square counts DELAY hundredths of a second.
     """
     samples = np.frombuffer(payload, dtype=np.uint8)
     most = min(len(samples), BLOCKS * SQUARE)
-    full = len(samples) // most
-    head = b"GIF89a" + struct.pack("<HHBBB", SIDE, most // SIDE, 0xF7, 0, 0) + GREYS
-    parts = [head, _image(samples[: full * most].reshape(full, most), delay).tobytes()]
-    if len(samples) % most:
-        parts.append(_image(samples[None, full * most :], delay).tobytes())
+    canvas = np.zeros(most, dtype=np.uint8)
+    parts = [b"GIF89a" + struct.pack("<HHBBB", SIDE, most // SIDE, 0xF7, 0, 0) + GREYS]
+    for k, first in enumerate(range(0, len(samples), most)):
+        part, disposal = samples[first : first + most], DISPOSALS[k % len(DISPOSALS)]
+        spare = np.flatnonzero(np.bincount(part, minlength=256) == 0)
+        transparent = int(spare[-1]) if len(spare) else None
+        indices = part if transparent is None else np.where(part == canvas[: len(part)], np.uint8(transparent), part)
+        parts.append(_image(indices, disposal, transparent))
+        if disposal == 1:
+            canvas[: len(part)] = part
+        elif disposal == 2:
+            canvas[: len(part)] = 0
     return b"".join(parts) + b"\x3b"
 
 

@@ -102,6 +102,77 @@ def test_lzw_with_a_table(code_size):
     assert (media.lzw_unpack(compress(samples.tolist(), code_size), code_size, len(samples)) == samples).all()
 
 
+def expand(stream, code_size):
+    """A plain LZW decoder that reads bit by bit."""
+    bits, at, clear, out = [b >> i & 1 for b in stream for i in range(8)], 0, 1 << code_size, b""
+    table, last, width = None, None, code_size + 1
+    while True:
+        code = sum(bits[at + i] << i for i in range(width))
+        at += width
+        if code == clear:
+            table, last, width = [bytes([i]) for i in range(clear)] + [None, None], None, code_size + 1
+            continue
+        if code == clear + 1:
+            return out, len(table)
+        entry = table[code] if code < len(table) else last + last[:1]
+        if last is not None and len(table) < 4096:
+            table.append(last + entry[:1])
+        width = min(12, max(code_size + 1, len(table).bit_length()))
+        out, last = out + entry, entry
+
+
+def plain_gif(media):
+    """Composed grey frames by the rules of the format, read without the library."""
+    width, height = struct.unpack_from("<HH", media, 6)
+    at, canvas, frames, grew = 13 + 768, [0] * (width * height), [], 0
+    assert media[10] & 0x87 == 0x87 and media[13 : 13 + 768] == bytes(v for v in range(256) for _ in range(3))
+    while media[at] != 0x3B:
+        assert media[at : at + 3] == b"\x21\xf9\x04"
+        packed, delay, index = struct.unpack_from("<BHB", media, at + 3)
+        left, top, w, h, flags, size = struct.unpack_from("<HHHHBB", media, at + 9)
+        assert (left, top, w, flags, size) == (0, 0, width, 0, 8)
+        at, stream = at + 19, b""
+        while media[at]:
+            stream += media[at + 1 : at + 1 + media[at]]
+            at += media[at] + 1
+        at += 1
+        samples, entries = expand(stream, 8)
+        grew += entries > 258
+        before = list(canvas)
+        for k, v in enumerate(samples):
+            if not (packed & 1 and v == index):
+                canvas[k] = v
+        frames.append((bytes(canvas), w * h, delay))
+        disposal = packed >> 2 & 7
+        canvas = before if disposal == 3 else [0] * (w * h) + canvas[w * h :] if disposal == 2 else canvas
+    return frames, grew
+
+
+def test_stored_media_by_a_plain_decoder(odd, small):
+    for df in (odd, small.limit(40)):
+        stored = {(str(r.doc_id), hashlib.sha256(bytes(r.media)).hexdigest(), len(r.media)): r for r in media.media_columns(df).collect()}
+        got = rows(media.digest(df))
+        assert {(str(r["doc_id"]), r["media_sha256"], r["media_bytes"]) for r in got} == set(stored)
+        for r in got:
+            frames, grew = plain_gif(bytes(stored[str(r["doc_id"]), r["media_sha256"], r["media_bytes"]].media))
+            back = b"".join(c[:n] for c, n, _ in frames)
+            assert hashlib.sha256(back).hexdigest() == r["payload_sha256"] and grew == len(frames)
+            bins = np.bincount([(v >> 6) * 21 for c, _, _ in frames for v in c], minlength=64)
+            assert r["feature"] == f"{len(frames)}x24:{sum(d for *_, d in frames) * 10}ms:" + ",".join(f"{i}={n}" for i, n in enumerate(bins) if n)
+
+
+def test_lzw_streams_of_any_samples():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 576, 5000, 40_000):
+        for most in (1, 2, 7, 256):
+            samples = rng.integers(0, most, n).astype(np.uint8)
+            stream = media.lzw_pack(samples.tobytes())
+            assert expand(stream, 8)[0] == samples.tobytes() if n <= 5000 else True
+            assert (media.lzw_unpack(stream, 8, n) == samples).all() and len(media.lzw_unpack(stream, 8, n // 2)) == n // 2
+    with pytest.raises(ValueError):
+        media.lzw_unpack(np.packbits(np.array([c >> i & 1 for c in (256, 65, 300, 257) for i in range(9)], dtype=bool), bitorder="little").tobytes(), 8, 9)
+
+
 def picture(frames, width=4, height=4):
     out = b"GIF89a" + struct.pack("<HHBBB", width, height, 0x81, 0, 0) + bytes([9, 9, 9, 255, 0, 0, 0, 255, 0, 0, 0, 255])
     for disposal, transparent, (left, top, w, h), samples, flags in frames:
