@@ -6,12 +6,15 @@ two equal strings share a chosen anchor at the same place, and it is enough to s
 suffixes (and reversed prefixes) that start at chosen anchors with equal hashes.
 
 Each anchor has the bytes around it that any such string can hold: WINDOW - 1 before it and
-LENGTH from it on. Anchors whose group has one context only are settled by two independent
-64-bit hashes of it. In the other groups the contexts themselves are sorted: prefix polynomial
-hashes and binary search give the common extension of two suffixes, a bottom-up mergesort
-orders all groups of a batch at once, and neighbours' extensions tell, for each offset, which
-anchors share the whole string. What is found is confirmed byte by byte. Groups too large for
-one task are settled by grouping their whole strings instead, which needs no group in one place.
+LENGTH from it on. Anchors of one hash form a group. Members with the very same bytes around
+them share every string there; what differs is sorted: prefix polynomial hashes and binary
+search give the common extension of two suffixes, a bottom-up mergesort orders all groups of a
+batch at once, and neighbours' extensions tell, for each offset, which anchors share the whole
+string. What is found is confirmed byte by byte; if two strings collide in their hashes, the
+batch is sorted again under another base. Groups of one context only (many copies of one text)
+are dealt out in parts, for each part's bytes confirm each other. Other groups too large for one
+task are settled by grouping their whole strings by two hashes of together 192 bits, which needs
+no group in one place.
 
 Defined cases: a null text is empty; a text shorter than LENGTH loses nothing; equal texts (also
 repeated rows) of at least LENGTH bytes lose everything; an empty table gives no rows; strings
@@ -36,10 +39,16 @@ LENGTH, GRAM = 200, 48
 WINDOW = LENGTH - GRAM + 1
 #: Anchor groups above this many rows are settled by whole strings; one task sorts as many in about 250 MB.
 LARGE = 100_000
+#: Rows of a part of a group that has one context only, and of a group that the join by anchor hash takes as one.
+PART, HOT = 20_000, 10_000
+#: Groups that are split in that join at most.
+MOST_HOT = 2_000
 #: Rows that one vectorised sort takes.
 BATCH = 6_000
 LEFT, RIGHT = WINDOW - 1, LENGTH
 _PLACE = 1 << 20
+#: Bases of the prefix hashes; a batch goes on to the next one when strings collide.
+BASES = (BASE, 0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -111,7 +120,8 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 class Contexts:
     """Anchors' surroundings as rows of a matrix, the anchor at column LEFT, with prefix hashes."""
 
-    def __init__(self, left: pa.ChunkedArray, right: pa.ChunkedArray):
+    def __init__(self, left: pa.ChunkedArray | pa.Array, right: pa.ChunkedArray | pa.Array, base: int = BASE):
+        self.base = base
         (before, b), (after, a) = utf8(left), utf8(right)
         self.before, self.after = np.diff(b), np.diff(a)
         self.bytes = np.zeros((len(left), LEFT + RIGHT), dtype=np.uint8)
@@ -131,7 +141,7 @@ class Contexts:
             n, width = columns.shape
             self._side, self._held = backward, np.zeros((n, width + 1), dtype=U64)
             for k in range(0, n, 4096):
-                np.cumsum((columns[k : k + 4096].astype(U64) + U64(1)) * powers(BASE, width)[:width], axis=1, out=self._held[k : k + 4096, 1:])
+                np.cumsum((columns[k : k + 4096].astype(U64) + U64(1)) * powers(self.base, width)[:width], axis=1, out=self._held[k : k + 4096, 1:])
         return self._held
 
     def extension(self, i: np.ndarray, j: np.ndarray, backward: bool) -> np.ndarray:
@@ -156,6 +166,10 @@ class Contexts:
         return less | equal if or_equal else less
 
 
+class Collision(ArithmeticError):
+    """Different strings with equal hashes."""
+
+
 def mergesort(contexts: Contexts, begins: np.ndarray, sizes: np.ndarray, backward: bool) -> np.ndarray:
     """Rows of every group in suffix order; all groups are merged level by level together."""
     n = int(sizes.sum())
@@ -224,7 +238,7 @@ def covered(contexts: Contexts, begins: np.ndarray, sizes: np.ndarray) -> tuple[
         for c in range(0, len(hit), 4096):  # byte for byte, what the hashes say
             i, j, columns = hit[c : c + 4096, None], twin[c : c + 4096, None], LEFT - first[c : c + 4096, None] + np.arange(LENGTH)
             if not (contexts.bytes[i, columns] == contexts.bytes[j, columns]).all():
-                raise ArithmeticError("two strings collide in their hashes")
+                raise Collision
     return before, after
 
 
@@ -233,8 +247,8 @@ SPANS_DDL = "row_key long, crc long, first long, last long"
 
 
 def _extract(joined: DataFrame) -> DataFrame:
-    """(gram, row_key, crc, at, left, right): the bytes around each listed anchor."""
-    schema = pa.schema([("gram", pa.int64()), ("row_key", pa.int64()), ("crc", pa.int64()), ("at", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
+    """(gram, part, row_key, crc, at, left, right): the bytes around each listed anchor."""
+    schema = pa.schema([("gram", pa.int64()), ("part", pa.int32()), ("row_key", pa.int64()), ("crc", pa.int64()), ("at", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,21 +257,44 @@ def _extract(joined: DataFrame) -> DataFrame:
                 for key, crc, wanted, a, b in zip(rows.column("row_key").to_pylist(), rows.column("crc").to_pylist(), rows.column("wanted").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     for w in wanted:
                         p = a + w["at"]
-                        out.append((w["gram"], key, crc, w["at"], raw[max(a, p - LEFT) : p], raw[p : min(b, p + RIGHT)]))
+                        out.append((w["gram"], w["part"], key, crc, w["at"], raw[max(a, p - LEFT) : p], raw[p : min(b, p + RIGHT)]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return joined.mapInArrow(run, "gram long, row_key long, crc long, at long, left binary, right binary")
+    return joined.mapInArrow(run, "gram long, part int, row_key long, crc long, at long, left binary, right binary")
+
+
+def settled(left: pa.ChunkedArray, right: pa.ChunkedArray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far before and after each anchor bytes lie in strings that another row of its group shares."""
+    group = np.repeat(np.arange(len(sizes)), sizes).tolist()
+    number: dict[tuple, int] = {}
+    of_row = np.array([number.setdefault(k, len(number)) for k in zip(group, left.to_pylist(), right.to_pylist(), strict=True)], dtype=np.int64)
+    n, first = np.unique(of_row, return_index=True, return_counts=True)[1:][::-1]
+    take = pa.array(first)
+    kinds_of_group = np.bincount(np.array(group)[first], minlength=len(sizes))
+    for k, base in enumerate(BASES):
+        contexts = Contexts(left.take(take), right.take(take), base)
+        try:
+            before, after = covered(contexts, np.cumsum(kinds_of_group) - kinds_of_group, kinds_of_group)
+            break
+        except Collision:
+            if k == len(BASES) - 1:
+                raise
+    # copies of one context share all its strings, which take the whole of it if there is any
+    copied = (n > 1) & (contexts.before + contexts.after >= LENGTH)
+    before[copied], after[copied] = contexts.before[copied], contexts.after[copied]
+    return before[of_row], after[of_row]
 
 
 def _sorted_spans(contexts: DataFrame) -> DataFrame:
-    """Spans from contexts that are partitioned and sorted by gram."""
+    """Spans from contexts that are partitioned and sorted by gram and part."""
+
+    def group_key(rows: pa.Table) -> np.ndarray:
+        return np.flatnonzero(np.any([(k := rows.column(c).to_numpy())[1:] != k[:-1] for c in ("gram", "part")], axis=0)) + 1
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
-        gram = rows.column("gram").to_numpy()
-        begins = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-        sizes = np.diff(np.append(begins, len(gram)))
-        before, after = covered(Contexts(rows.column("left"), rows.column("right")), begins, sizes)
+        begins = np.append(0, group_key(rows))
+        before, after = settled(rows.column("left"), rows.column("right"), begins, np.diff(np.append(begins, rows.num_rows)))
         at, hit = rows.column("at").to_numpy(), after > 0
         return pa.RecordBatch.from_arrays([pa.array(rows.column(c).to_numpy()[hit]) for c in ("row_key", "crc")] + [pa.array((at - before)[hit]), pa.array((at + after)[hit])], schema=SPANS)
 
@@ -266,8 +303,7 @@ def _sorted_spans(contexts: DataFrame) -> DataFrame:
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             while held.num_rows > BATCH:
-                gram = held.column("gram").to_numpy()
-                ends = np.flatnonzero(gram[1:] != gram[:-1]) + 1
+                ends = group_key(held)
                 if not len(ends):
                     break
                 fit = ends[ends <= BATCH]
@@ -280,9 +316,10 @@ def _sorted_spans(contexts: DataFrame) -> DataFrame:
     return contexts.mapInArrow(run, SPANS_DDL)
 
 
-def _string_spans(contexts: DataFrame) -> DataFrame:
-    """Spans of anchors in large groups: every whole string around them is grouped by a 128-bit hash."""
+def _string_spans(contexts: DataFrame, files: int) -> DataFrame:
+    """Spans of anchors in large groups: every whole string around them is grouped by two hashes of together 192 bits."""
     schema = pa.schema([("string", pa.binary()), ("row_key", pa.int64()), ("crc", pa.int64()), ("first", pa.int64())])
+    second = 0x5BD1E995
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,33 +333,48 @@ def _string_spans(contexts: DataFrame) -> DataFrame:
                     text = np.searchsorted(bounds[1:], starts, side="right")
                     own = chosen == bounds[text] + left[text]
                     starts, text = starts[own], text[own]
-                    strings = [xxhash.xxh3_128_digest(raw[k : k + LENGTH]) for k in starts.tolist()]
+                    strings = [xxhash.xxh3_128_digest(raw[k : k + LENGTH]) + xxhash.xxh64_digest(raw[k : k + LENGTH], second) for k in starts.tolist()]
                     first = part.column("at").to_numpy()[text] - left[text] + starts - bounds[text]
                     take = pa.array(text)
                     yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), part.column("row_key").take(take), part.column("crc").take(take), pa.array(first)], schema=schema)
 
     strings = contexts.mapInArrow(run, "string binary, row_key long, crc long, first long")
-    twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string")
-    return strings.join(twice, "string", "left_semi").select("row_key", "crc", "first", (F.col("first") + LENGTH).alias("last"))
+    twice = cut_lineage(strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), files)
+    return _meet(strings, twice, "string", F.hash("row_key", "first")).select("row_key", "crc", "first", (F.col("first") + LENGTH).alias("last"))
+
+
+def _meet(rows: DataFrame, groups: DataFrame, key: str, spread: Column) -> DataFrame:
+    """Rows with what `groups` (key, n, ..) says of their key; the rows of large groups are dealt out to many tasks."""
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    # at most MOST_HOT groups hold more than this, so that they can be told to every task
+    hot = max(HOT, -(-total // MOST_HOT))
+    large = groups.where(F.col("n") > hot).select(key, F.ceil(F.col("n") / hot).cast("int").alias("slices"))
+    dealt = rows.join(F.broadcast(large), key, "left").withColumn("slice", F.coalesce(F.pmod(spread, F.col("slices")), F.lit(0))).drop("slices")
+    each = F.sequence(F.lit(0), F.when(F.col("n") > hot, F.ceil(F.col("n") / hot).cast("int") - 1).otherwise(0))
+    return dealt.join(groups.withColumn("slice", F.explode(each)), [key, "slice"])
+
+
+def _shared(found: DataFrame, files: int) -> DataFrame:
+    """The anchors whose hash stands elsewhere too, with their group's size `n`, whether it has one context, and their part of it."""
+    groups = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1")
+    groups = cut_lineage(groups.select("gram", "n", (F.col("a") == F.col("b")).alias("alike")), files)
+    part = F.when(F.col("alike"), F.pmod(F.hash("at", "row_key"), F.ceil(F.col("n") / PART).cast("int"))).otherwise(F.lit(0))
+    return _meet(found, groups, "gram", F.hash("row_key", "at")).withColumn("part", part)
 
 
 def spans(keyed: DataFrame) -> DataFrame:
     """(row_key, crc, spans): for each text with any, spans of bytes to remove; they may overlap or pass the text's ends."""
-    found = anchor_rows(keyed)
-    groups = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1")
-    shared = found.join(groups.select("gram", "n", (F.col("a") == F.col("b")).alias("alike")), "gram")
-    listed = cut_lineage(shared.groupBy("row_key", "crc").agg(F.collect_set(F.struct("at", "gram", "n", "alike")).alias("wanted")))
+    files = files_for(keyed)
+    shared = _shared(anchor_rows(keyed), files).withColumn("large", ~F.col("alike") & (F.col("n") > LARGE))
+    listed = cut_lineage(shared.groupBy("row_key", "crc").agg(F.collect_set(F.struct("at", "gram", "part", "large")).alias("wanted")), files)
 
     def extracted(large: bool) -> DataFrame:
-        wanted = F.filter("wanted", lambda w: ~w["alike"] & ((w["n"] > LARGE) == F.lit(large))).alias("wanted")
+        wanted = F.filter("wanted", lambda w: w["large"] == F.lit(large)).alias("wanted")
         return _extract(keyed.join(listed.select("row_key", "crc", wanted).where(F.size("wanted") > 0), ["row_key", "crc"]))
 
-    # where a group has one context, every string in it stands elsewhere too
-    alike = listed.select("row_key", "crc", F.explode(F.filter("wanted", lambda w: w["alike"])).alias("w"))
-    out = alike.select("row_key", "crc", (F.col("w.at") - LEFT).alias("first"), (F.col("w.at") + RIGHT).alias("last"))
-    out = out.union(_sorted_spans(extracted(False).repartition("gram").sortWithinPartitions("gram")))
-    if listed.where(F.exists("wanted", lambda w: ~w["alike"] & (w["n"] > LARGE))).limit(1).count():
-        out = out.union(_string_spans(extracted(True)))
+    out = _sorted_spans(extracted(False).repartition("gram", "part").sortWithinPartitions("gram", "part"))
+    if listed.where(F.exists("wanted", lambda w: w["large"])).limit(1).count():
+        out = out.union(_string_spans(extracted(True), files))
     return out.groupBy("row_key", "crc").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
