@@ -27,7 +27,7 @@ from marlstone.llm._text import result, slices
 SIDE = 24
 SQUARE = SIDE * SIDE
 #: Squares to a frame at most.
-BLOCKS = 4
+BLOCKS = 8
 GREYS = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 #: Table entries, and bits of a code, at most.
 ENTRIES, MOST_BITS = 4096, 12
@@ -59,17 +59,15 @@ def lzw_codes(samples: bytes) -> tuple[list[int], list[int]]:
     put, left = codes.append, iter(samples)
     word = next(left, None)
     while word is not None:
-        table: dict[int, int] = {}
-        find, following = table.get, 258
+        find, following = dict[int, int]().setdefault, 258
         for sample in left:
-            longer = find(word << 8 | sample)
-            if longer is not None:
+            longer = find(word << 8 | sample, following)
+            if longer != following:
                 word = longer
                 continue
             put(word)
-            table[word << 8 | sample] = following
-            following += 1
             word = sample
+            following += 1
             if following == ENTRIES:  # the word just begun starts the next table
                 clears.append(len(codes))
                 put(256)
@@ -90,9 +88,13 @@ def lzw_pack(samples: bytes) -> bytes:
     since[clears[1:]] = runs[:-1] - 1
     since[0] = 0
     width = _widths(8)[since]
-    places = np.arange(MOST_BITS)
-    bits = (np.array(codes, dtype=np.uint16)[:, None] >> places.astype(np.uint16)) & 1
-    return np.packbits(bits.astype(bool)[places < width[:, None]], bitorder="little").tobytes()
+    end = np.cumsum(width)
+    start = end - width
+    shifted = np.array(codes, dtype=np.int64) << (start & 7)
+    out = np.zeros((int(end[-1]) + 7 >> 3) + 2, dtype=np.uint8)
+    for k in range(3):  # a code touches three bytes at most; with over eight bits to a code, no two begin in one byte
+        out[(start >> 3) + k] |= (shifted >> 8 * k & 255).astype(np.uint8)
+    return out[:-2].tobytes()
 
 
 def lzw_unpack(stream: bytes, code_size: int, n: int) -> np.ndarray:
