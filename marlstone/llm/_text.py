@@ -15,8 +15,7 @@ _trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
-#: Longer rows of powers are made anew when they are needed.
-POWERS_KEPT = 1 << 19
+STEP = 1 << 16
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -32,14 +31,19 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** n, modulo 2 ** 64."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
-        steps = np.full(max(n + 1, 1 << 16, 2 * len(have) if have is not None else 0), base, dtype=U64)
+        steps = np.full(max(n + 1, STEP), base, dtype=U64)
         steps[0] = 1
-        have = np.cumprod(steps, dtype=U64)
-        if n < POWERS_KEPT:
-            _powers[base] = have
+        have = _powers[base] = np.cumprod(steps, dtype=U64)
     return have[: n + 1]
 
 
+def power_at(base: int, exponents: np.ndarray) -> np.ndarray:
+    """base ** exponents, modulo 2 ** 64, from a table of STEP powers and one of powers of the STEP-th."""
+    low = powers(base, STEP - 1)[exponents & (STEP - 1)]
+    most = int(exponents.max(initial=0)) // STEP
+    return low * powers(pow(base, STEP, 1 << 64), most)[exponents // STEP] if most else low
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = x ^ U64(seed)
@@ -51,13 +55,22 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 def prefix_hashes(data: np.ndarray, base: int = BASE) -> np.ndarray:
     """sums[i] = sum over j < i of (data[j] + 1) * base ** j."""
     sums = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum((data.astype(U64) + U64(1)) * powers(base, len(data))[: len(data)], out=sums[1:])
+    ahead = U64(1)
+    for k in range(0, len(data), STEP):  # a part at a time, so that a long text takes eight bytes a byte
+        part = data[k : k + STEP].astype(U64)
+        part += U64(1)
+        part *= powers(base, STEP - 1)[: len(part)]
+        part *= ahead
+        np.cumsum(part, out=sums[k + 1 : k + 1 + len(part)])
+        sums[k + 1 : k + 1 + len(part)] += sums[k]
+        with np.errstate(over="ignore"):
+            ahead *= U64(pow(base, STEP, 1 << 64))
     return sums
 
 
 def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, inverse: int = BASE_INVERSE) -> np.ndarray:
     """Polynomial hashes of data[start:end], alike wherever the bytes stand."""
-    return (sums[ends] - sums[starts]) * powers(inverse, len(sums))[starts]
+    return (sums[ends] - sums[starts]) * power_at(inverse, starts)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

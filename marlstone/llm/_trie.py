@@ -5,26 +5,44 @@ has no probabilities, so piece r counts 1 / (r + 2) under Zipf's law, and all we
 to sum to 1; scores of a unigram file are used as they are. White space is written as a blank
 here. Characters without a piece are spelled in byte pieces.
 
+The language model starts from these weights and re-estimates them by expected counts
+(`Walker.expected`, `Pieces.estimated`); the coder uses them as they are.
+
 Words are sorted, which lays their trie out in depth-first order: a word keeps the state of
 every node that it shares with the word before, and only its own nodes are computed. A state
-holds the node's best (or summed) score and the pieces that are still open there.
+holds the node's best (or summed) score and the pieces that are still open there. A word of
+over LONG characters shares nothing: its scores lie in arrays, about 12 bytes a character, and
+only the pieces open at the present character are held.
 """
 
 from __future__ import annotations
 
 import math
 import os
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 DEFAULT_MODEL = os.environ.get("MARLSTONE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+#: Characters of a word that is walked by itself.
+LONG = 256
+#: Words' worth of the vocabulary's own weights that estimated ones are mixed with.
+PRIOR = 1000.0
+
+
 class Pieces:
     def __init__(self, texts: list[bytes], scores: list[float], bytes_at: list[int], ordinary: list[int], end: float):
         """texts: each id's bytes; scores: natural logarithms; bytes_at: the ids of bytes 0 to 255; end: the score of a text's end."""
         self.end = end
         self.texts, self.scores, self.bytes_at, self.ordinary = texts, scores, bytes_at, ordinary
 
+    def estimated(self, counts: Sequence[float], ends: int) -> Pieces:
+        """The same pieces weighted by expected counts and the number of text ends, with PRIOR of the own weights."""
+        total = sum(counts) + ends + PRIOR
+        scores = [math.log((n + PRIOR * math.exp(s)) / total) for n, s in zip(counts, self.scores, strict=True)]
+        return Pieces(self.texts, scores, self.bytes_at, self.ordinary, math.log((ends + PRIOR * math.exp(self.end)) / total))
+
     def trie(self) -> dict:
         """Nested characters; a node's "" holds (score, id)."""
         top: dict = {}
@@ -86,12 +104,68 @@ class Walker:
             found = self.spelled[c] = sum(self.pieces.scores[self.pieces.bytes_at[b]] for b in c.encode())
         return found
 
-    def segment(self, words: list[str]) -> Iterator[list[int]]:
+    def _arcs(self, open_: list, i: int, c: str) -> tuple[list, list[tuple[int, float, int]]]:
+        """The pieces open after character i, and (start, score, id) of those that end with it; id -1 is bytes."""
+        now, ends = [], []
+        node = self.trie.get(c)
+        if node is not None:
+            now.append((i, node))
+        for start, held in open_:
+            held = held.get(c)
+            if held is not None:
+                now.append((start, held))
+        for start, held in now:
+            end = held.get("")
+            if end is not None:
+                ends.append((start, *end))
+        if node is None or "" not in node:
+            ends.insert(0, (i, self._byte_score(c), -1))
+        return now, ends
+
+    def _long_ids(self, word: str) -> array:
+        """The ids of a long word's best segmentation."""
+        best, back, open_ = array("d", [0.0]), array("i", [0]), []
+        sizes: dict[int, int] = {}
+        for i, c in enumerate(word):
+            open_, ends = self._arcs(open_, i, c)
+            score, link = -math.inf, 0
+            for start, s, piece in ends:
+                if best[start] + s > score:
+                    score, link = best[start] + s, piece
+                    sizes.setdefault(piece, i + 1 - start)
+            best.append(score)
+            back.append(link)
+        ids, i = array("i"), len(word)
+        while i:
+            piece = back[i]
+            if piece >= 0:
+                ids.append(piece)
+                i -= sizes[piece]
+            else:
+                ids.extend(self.pieces.bytes_at[b] for b in reversed(word[i - 1].encode()))
+                i -= 1
+        ids.reverse()
+        return ids
+
+    def _long_totals(self, word: str) -> array:
+        """The log probability of every beginning of a long word."""
+        total, open_ = array("d", [0.0]), []
+        for i, c in enumerate(word):
+            open_, ends = self._arcs(open_, i, c)
+            parts = [total[start] + s for start, s, _ in ends]
+            most = max(parts)
+            total.append(most + math.log(sum([math.exp(p - most) for p in parts])))
+        return total
+
+    def segment(self, words: list[str]) -> Iterator[Sequence[int]]:
         """The ids of each sorted word's best segmentation; the shorter last piece wins a tie."""
         trie, bytes_at = self.trie, self.pieces.bytes_at
         best, back, opened = [0.0], [(0, -1)], [()]
         before = ""
         for word in words:
+            if len(word) > LONG:
+                yield self._long_ids(word)
+                continue
             keep = _shared(before, word)
             del best[keep + 1 :], back[keep + 1 :], opened[keep + 1 :]
             for i in range(keep, len(word)):
@@ -130,10 +204,48 @@ class Walker:
 
     def likelihood(self, words: list[str]) -> Iterator[float]:
         """Natural logarithm of each sorted word's probability, summed over all segmentations."""
+        return (total[-1] for total in self._totals(words))
+
+    def expected(self, words: list[str], counts: Sequence[int], into: list[float]) -> None:
+        """Add to `into` how often each piece is expected in sorted words that occur `counts` times.
+
+        What passes each place goes back to the pieces that end there in proportion to what they
+        brought to its sum; going back by beginnings, every place is complete when it is reached.
+        """
+        trie, exp, bytes_at = self.trie, math.exp, self.pieces.bytes_at
+        for word, total, n in zip(words, self._totals(words), counts, strict=True):
+            size = len(word)
+            passing = array("d", bytes(8 * size + 8))
+            passing[size] = n
+            for i in range(size - 1, -1, -1):
+                node, through, whole = trie, 0.0, False
+                for e in range(i, size):
+                    node = node.get(word[e])
+                    if node is None:
+                        break
+                    end = node.get("")
+                    if end is not None:
+                        whole |= e == i
+                        if passing[e + 1]:
+                            share = passing[e + 1] * exp(total[i] + end[0] - total[e + 1])
+                            into[end[1]] += share
+                            through += share
+                if not whole and passing[i + 1]:
+                    share = passing[i + 1] * exp(total[i] + self._byte_score(word[i]) - total[i + 1])
+                    for b in word[i].encode():
+                        into[bytes_at[b]] += share
+                    through += share
+                passing[i] = through
+
+    def _totals(self, words: list[str]) -> Iterator[Sequence[float]]:
+        """The log probabilities of every beginning of each sorted word; the next step may change them."""
         trie, exp, log = self.trie, math.exp, math.log
         total, opened = [0.0], [()]
         before = ""
         for word in words:
+            if len(word) > LONG:
+                yield self._long_totals(word)
+                continue
             keep = _shared(before, word)
             del total[keep + 1 :], opened[keep + 1 :]
             for i in range(keep, len(word)):
@@ -159,5 +271,5 @@ class Walker:
                     most = max(parts)
                     total.append(most + log(sum([exp(p - most) for p in parts])))
                 opened.append(now)
-            yield total[-1]
+            yield total
             before = word

@@ -1,33 +1,40 @@
 """Language-model scores: the probability of a text summed over all its segmentations into pieces.
 
 A text is its tokens (A-Z lower-cased, cut at ASCII white space), each a blank and the token,
-and one end. A vocabulary's unigram weights score every way to spell a token in pieces; a
-log-space forward recursion over the token's lattice sums them. Pieces never cross a blank, so a
-text's log probability is the sum over its tokens and the end.
+and one end. Unigram weights score every way to spell a token in pieces; a log-space forward
+recursion over the token's lattice sums them. Pieces never cross a blank, so a text's log
+probability is the sum over its tokens and the end. The weights begin as the vocabulary's and are
+estimated from the texts that are not held out: each of `rounds` passes over their distinct tokens
+takes every piece's expected count (forward and backward), and the new weights are then frozen.
 
 Beside it stands a word model with add-half smoothing, whose counts come from the texts that
-are not held out. Texts are dealt into blocks of bounded size. Each block lists its distinct
-tokens once; tokens meet by key to be counted and scored once for the whole corpus, and what
-was found goes back to the blocks that listed them. So no row stands for a single occurrence.
+are not held out. Tokens are counted in each task first, then by key, and scored once for the
+whole corpus. Texts are dealt into blocks of bounded size; each block lists its distinct tokens
+once, and what was found goes back to the blocks that listed them. So no row stands for a single
+occurrence, and a common token has a row for each block.
 
 Defined cases: a null text is empty and has the end only; equal texts get equal scores; a null
 id counts as an empty one when texts are held out; without any training text all counts are 0,
-and base_score is 0; an empty table gives no rows; other columns are ignored.
+base_score is 0 and the weights stay the vocabulary's; an empty table gives no rows; other
+columns are ignored. Tokens are told apart by 64-bit hashes whose equality is confirmed by bytes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import _trie
-from marlstone.llm._text import IS_TOKEN, U64, Words, find, result, slices, word_hashes
+from marlstone.llm._text import IS_TOKEN, Words, find, result, slices, word_hashes
+from marlstone.session import cut_lineage, files_for
 
 #: Bytes of text in a block on average.
 BLOCK_BYTES = 20 << 20
@@ -35,6 +42,8 @@ BLOCK_BYTES = 20 << 20
 PARTITIONS = 20_000
 #: Distinct tokens that a task holds before it lists them.
 HELD = 400_000
+#: Passes that estimate the weights, and parts of a count that are told apart in them.
+ROUNDS, SHARES = 2, 1 << 20
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -49,6 +58,26 @@ def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(flat)])
 
 
+def _distinct(hashes: np.ndarray, tokens: pa.Array | None, bytes_of) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, number) of distinct tokens: by their hashes, and by themselves where `bytes_of` finds a collision."""
+    first, inverse = np.unique(hashes, return_index=True, return_inverse=True)[1:]
+    if bytes_of(first, inverse):
+        return first, inverse
+    number: dict[bytes, int] = {}
+    inverse = np.array([number.setdefault(t, len(number)) for t in (tokens() if callable(tokens) else tokens.to_pylist())], dtype=np.int64)
+    return np.unique(inverse, return_index=True)[1], inverse
+
+
+def _same_bytes(words: Words, first: np.ndarray, inverse: np.ndarray) -> bool:
+    """Whether every word is the one that stands for it."""
+    sizes, twin = words.ends - words.starts, first[inverse]
+    if (sizes != sizes[twin]).any():
+        return False
+    begin = np.cumsum(sizes) - sizes
+    at = np.arange(int(sizes.sum()))
+    return bool((words.low[at + np.repeat(words.starts - begin, sizes)] == words.low[at + np.repeat(words.starts[twin] - begin, sizes)]).all())
+
+
 def _listed(dealt: DataFrame) -> DataFrame:
     """(block, token, n): distinct tokens of each block (or of a part of it) and their places in training texts."""
     schema = pa.schema([("block", pa.int32()), ("token", pa.binary()), ("n", pa.int64())])
@@ -57,11 +86,10 @@ def _listed(dealt: DataFrame) -> DataFrame:
         block, held, size = None, [], 0
 
         def out() -> pa.RecordBatch:
-            hashes = np.concatenate([h for h, _, _ in held])
-            first, inverse = np.unique(hashes, return_index=True, return_inverse=True)[1:]
+            tokens = pa.concat_arrays([t for _, _, t in held])
+            first, inverse = _distinct(np.concatenate([h for h, _, _ in held]), tokens, lambda f, i: pc.all(pc.equal(tokens.take(pa.array(f[i])), tokens)).as_py())
             n = np.bincount(inverse, np.concatenate([c for _, c, _ in held])).astype(np.int64)
-            tokens = pa.concat_arrays([t for _, _, t in held]).take(pa.array(first))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block, dtype=np.int32)), tokens, pa.array(n)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block, dtype=np.int32)), tokens.take(pa.array(first)), pa.array(n)], schema=schema)
 
         for batch in batches:
             blocks = batch.column("block").to_numpy()
@@ -69,7 +97,7 @@ def _listed(dealt: DataFrame) -> DataFrame:
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                if held and (blocks[a] != block or size > HELD):
+                if held and blocks[a] != block:
                     yield out()
                     held, size = [], 0
                 block = int(blocks[a])
@@ -78,28 +106,57 @@ def _listed(dealt: DataFrame) -> DataFrame:
                     if not len(words):
                         continue
                     train = np.repeat(rows.column("train").to_numpy(zero_copy_only=False), np.diff(words.bounds))
-                    hashes, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-                    held.append((hashes, np.bincount(inverse, train), _gather(words.low, words.starts[first], words.ends[first])))
-                    size += len(hashes)
+                    first, inverse = _distinct(words.hashes, lambda w=words: [w.word(i) for i in range(len(w))], lambda f, i, w=words: _same_bytes(w, f, i))
+                    held.append((words.hashes[first], np.bincount(inverse, train), _gather(words.low, words.starts[first], words.ends[first])))
+                    size += len(first)
+                    if size > HELD:
+                        yield out()
+                        held, size = [], 0
         if held:
             yield out()
 
     return dealt.mapInArrow(run, "block int, token binary, n long")
 
 
-def _scored(counted: DataFrame, pieces) -> DataFrame:
-    """Add `logp`, the natural logarithm of each token's probability; rows come sorted by token."""
+def _marked(batch: pa.RecordBatch) -> list[str]:
+    return [" " + t.decode("utf-8", "replace") for t in batch.column("token").to_pylist()]
+
+
+def _scored(counted: DataFrame, pieces: Broadcast) -> DataFrame:
+    """Add `logp`, the natural logarithm of each token's probability."""
     schema = pa.schema([("token", pa.binary()), ("c", pa.int64()), ("logp", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walker = _trie.Walker(pieces.value)
         for batch in batches:
-            words = [" " + t.decode("utf-8", "replace") for t in batch.column("token").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("c"), pa.array(list(walker.likelihood(words)), pa.float64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("c"), pa.array(list(walker.likelihood(_marked(batch))), pa.float64())], schema=schema)
 
     return counted.sortWithinPartitions("token").mapInArrow(run, "token binary, c long, logp double")
 
 
+def estimated(counted: DataFrame, pieces: _trie.Pieces, ends: int, rounds: int = ROUNDS) -> _trie.Pieces:
+    """Weights from the pieces' expected counts in all training tokens; what comes to the driver is one number a piece."""
+    schema = pa.schema([("piece", pa.int32()), ("n", pa.int64())])
+    for _ in range(rounds):
+        sent = counted.sparkSession.sparkContext.broadcast(pieces)  # as large as the vocabulary
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            walker = _trie.Walker(sent.value)
+            into = [0.0] * len(sent.value.texts)
+            for batch in batches:
+                walker.expected(_marked(batch), batch.column("c").to_pylist(), into)
+            n = np.rint(np.array(into) * SHARES).astype(np.int64)  # whole numbers, whose sum doesn't depend on the order
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n), pa.int32()), pa.array(n[n > 0])], schema=schema)
+
+        found = counted.where("c > 0").sortWithinPartitions("token").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        counts = [0.0] * len(pieces.texts)
+        for r in found:
+            counts[r.piece] = r.n / SHARES
+        pieces = pieces.estimated(counts, ends)
+        sent.unpersist()
+    return pieces
+
+
 SCORES = pa.schema([
     ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
     ("base_score", pa.float64()), ("score", pa.float64()),
@@ -107,67 +164,57 @@ SCORES = pa.schema([
 SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score_block(docs: pa.Table, known: pa.Table, end_logp: float) -> pa.Table:
-    tokens = known.column("token").combine_chunks()
-    tokens = tokens if isinstance(tokens, pa.Array) else pa.concat_arrays(tokens.chunks)
-    c, logp = known.column("c").to_numpy(), known.column("logp").to_numpy()
-    totals = np.flatnonzero(tokens.is_null().to_numpy(zero_copy_only=False))
-    n, v = (int(logp[totals[0]]), int(c[totals[0]])) if len(totals) else (0, 0)
-    sizes = pc.fill_null(pc.binary_length(tokens), -1).to_numpy(zero_copy_only=False)
-    ends = int(c[sizes == 0].sum())  # the empty token stands for the end
-    rows = np.flatnonzero(sizes > 0)
-    words = tokens.take(pa.array(rows)).to_pylist()
-    hashes = word_hashes(words)
-    hashes, first = np.unique(hashes, return_index=True)
-    c, logp = np.append(c[rows][first], ends), np.append(logp[rows][first], end_logp) / math.log(10)
-    base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-    if not n:
-        base = np.zeros(len(c))
+class Totals(NamedTuple):
+    """Training tokens, distinct ones, ends among them, and the end's natural log probability."""
+
+    tokens: int
+    distinct: int
+    ends: int
+    end_logp: float
+
+
+def _score_block(docs: pa.Table, known: pa.Table, totals: Totals) -> pa.Table:
+    words = known.column("token").to_pylist()
+    hashes, first = np.unique(word_hashes(words), return_index=True)
+    exact = {w: i for i, w in enumerate(words)} if len(first) < len(words) else None  # two tokens collide
+    if exact is not None:
+        first = np.arange(len(words))
+    c = np.append(known.column("c").to_numpy()[first], totals.ends).astype(np.int64)
+    logp = np.append(known.column("logp").to_numpy()[first], totals.end_logp) / math.log(10)
+    base = np.log10((c + 0.5) / (totals.tokens + 0.5 * (totals.distinct + 1))) if totals.tokens else np.zeros(len(c))
     out = []
     for batch in docs.to_batches():
         for part, data, bounds in slices(batch, "text"):
             found = Words(data, bounds, IS_TOKEN)
-            at = find(hashes, found.hashes)
+            at = find(hashes, found.hashes) if exact is None else np.array([exact.get(found.word(i), -1) for i in range(len(found))], dtype=np.int64)
             if (at < 0).any():
                 raise LookupError("a token is missing from its block's list")
-            sums = []
-            for values in ((c > 0).astype(np.int64), base, logp):
-                running = np.concatenate([[0], np.cumsum(values[at])]) if values.dtype.kind == "i" else None
-                if running is not None:
-                    sums.append(np.diff(running[found.bounds]) + values[-1])
-                else:  # summed text by text, so that equal texts get equal sums
-                    sums.append(np.array([math.fsum(values[at[a:b]]) + values[-1] for a, b in zip(found.bounds[:-1], found.bounds[1:], strict=True)]))
+            n_known = np.diff(np.concatenate([[0], np.cumsum(c[at] > 0)])[found.bounds]) + (c[-1] > 0)
+            # summed text by text, so that equal texts get equal sums
+            sums = [np.array([math.fsum(values[at[a:b]]) + values[-1] for a, b in zip(found.bounds[:-1], found.bounds[1:], strict=True)]) for values in (base, logp)]
             out.append(result(SCORES, {
-                "doc_id": part.column("doc_id").cast(pa.int64()), "held_out": part.column("held"), "n_tokens": np.diff(found.bounds) + 1, "n_known": sums[0],
-                "train_tokens": np.full(part.num_rows, n), "base_score": sums[1], "score": sums[2],
+                "doc_id": part.column("doc_id").cast(pa.int64()), "held_out": part.column("held"), "n_tokens": np.diff(found.bounds) + 1, "n_known": n_known,
+                "train_tokens": np.full(part.num_rows, totals.tokens), "base_score": sums[0], "score": sums[1],
             }))
     return pa.Table.from_batches(out, SCORES)
 
 
-def digest(docs: DataFrame, model: str = _trie.DEFAULT_MODEL) -> DataFrame:
+def digest(docs: DataFrame, model: str = _trie.DEFAULT_MODEL, rounds: int = ROUNDS) -> DataFrame:
     spark = docs.sparkSession
-    pieces = _trie.load(model)
-    sent = spark.sparkContext.broadcast(pieces)  # as large as the vocabulary
-    end_logp = pieces.end
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    n_blocks = max(1, -(-size // BLOCK_BYTES))
+    texts = docs.select("doc_id", "text", held_out().alias("held"), (~held_out()).alias("train"))
+    counted = _listed(texts.select(F.lit(0).alias("block"), "text", "train")).groupBy("token").agg(F.sum("n").alias("c"))
+    counted = cut_lineage(counted, files_for(docs))
+    seen = counted.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    sizes = texts.agg(F.sum(F.octet_length("text")).alias("n"), F.count(F.when(F.col("train"), 1)).alias("ends")).first()
+    pieces = estimated(counted, _trie.load(model), sizes.ends, rounds if seen.n else 0)
+    totals = Totals((seen.n or 0) + sizes.ends, seen.v + (sizes.ends > 0), sizes.ends, pieces.end)
+    n_blocks = max(1, -(-(sizes.n or 0) // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block")
-    dealt = docs.select("doc_id", "text", held_out().alias("held"), (~held_out()).alias("train"), block).repartition(min(n_blocks, PARTITIONS), "block")
-    by_token = _listed(dealt.sortWithinPartitions("block")).repartition("token")
-    counted = by_token.groupBy("token").agg(F.sum("n").alias("c"))
-    back = by_token.select("block", "token").join(_scored(counted, sent), "token")
-    ends = docs.where(~held_out()).agg(F.count(F.lit(1)).alias("ends"))
-    totals = counted.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).crossJoin(F.broadcast(ends))  # one row each
-    c, blocks = F.col, F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
-    # for each block, under no token V and N, and under the empty one the places of the end
-    more = F.array(
-        F.struct(F.lit(None).cast("binary").alias("token"), (c("v") + F.when(c("ends") > 0, 1).otherwise(0)).alias("c"), (F.coalesce("n", F.lit(0)) + c("ends")).cast("double").alias("logp")),
-        F.struct(F.lit(b"").alias("token"), c("ends").alias("c"), F.lit(0.0).alias("logp")),
-    )
-    totals = totals.select(F.explode(more).alias("t")).select(blocks, "t.token", "t.c", "t.logp")
-    known = back.select("block", "token", "c", "logp").union(totals)
+    dealt = texts.withColumn("block", block).repartition(min(n_blocks, PARTITIONS), "block")
+    listed = _listed(dealt.sortWithinPartitions("block").select("block", "text", "train")).select("block", "token")
+    known = listed.join(_scored(counted, spark.sparkContext.broadcast(pieces)), "token")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _score_block(left, right, end_logp)
+        return _score_block(left, right, totals)
 
     return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, SCORES_DDL)

@@ -27,8 +27,8 @@ from marlstone.llm import _trie
 from marlstone.llm._text import slices
 
 MARKED = re.compile(r"\n| +[^ \n]*|[^ \n]+")
-#: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 100_000
+#: Words, and characters of words, whose ids a task remembers before it starts anew.
+REMEMBERED, REMEMBERED_CHARS = 100_000, 4 << 20
 
 
 class Encoder:
@@ -36,16 +36,18 @@ class Encoder:
         self.walker = _trie.Walker(pieces)
         self.known: dict[str, int] = {}
         self.ids: list[bytes] = []  # of 32-bit numbers
+        self.chars = 0
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each text's bounds in them."""
         words = [MARKED.findall(" " + t) for t in texts]
-        if len(self.ids) > REMEMBERED:
-            self.known, self.ids = {}, []
+        if len(self.ids) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.known, self.ids, self.chars = {}, [], 0
         new = sorted({w for ws in words for w in ws}.difference(self.known))
         for w, ids in zip(new, self.walker.segment(new), strict=True):
             self.known[w] = len(self.ids)
-            self.ids.append(array("i", ids).tobytes())
+            self.ids.append((ids if isinstance(ids, array) else array("i", ids)).tobytes())
+            self.chars += len(w)
         known = self.known
         at = np.array([known[w] for ws in words for w in ws], dtype=np.int64)
         used, at = np.unique(at, return_inverse=True)
@@ -77,7 +79,8 @@ class Decoder:
 def encode(docs: DataFrame, model: str = _trie.DEFAULT_MODEL, check: bool = False) -> DataFrame:
     """`docs` with `ids` (array of int), and with `round_trip`: whether decoding gives the text back."""
     sent = docs.sparkSession.sparkContext.broadcast(_trie.load(model))  # as large as the vocabulary
-    kept = [c for c in docs.columns if c.lower() not in ("ids", "round_trip")]
+    made = ("ids", "round_trip") if check else ("ids",)
+    kept = [c for c in docs.columns if c.lower() not in made]
     base = docs.select(*kept)
     fields = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     if check:
@@ -90,8 +93,8 @@ def encode(docs: DataFrame, model: str = _trie.DEFAULT_MODEL, check: bool = Fals
                 texts = rows.column("text").to_pylist()
                 null = np.array([t is None for t in texts])
                 ids, of_text = encoder.encode([t or "" for t in texts])
-                made = pa.ListArray.from_arrays(pa.array(of_text.astype(np.int32)), pa.array(ids), mask=pa.array(null))
-                columns = [*rows.columns, made]
+                coded = pa.ListArray.from_arrays(pa.array(of_text.astype(np.int32)), pa.array(ids), mask=pa.array(null))
+                columns = [*rows.columns, coded]
                 if check:
                     back, ends = decoder.decode(ids, of_text)
                     same = [a == b for a, b in zip(_bodies(back, ends), _bodies(data, bounds, 0), strict=True)]

@@ -170,6 +170,68 @@ def test_encoding(spark, odd, small):
         best = brute_lattice(set(pieces.MARKED.findall(" " + t)), vocabulary, True)
         assert sum(vocabulary.scores[i] for i in ids[bounds[k] : bounds[k + 1]]) == pytest.approx(sum(best[w] for w in pieces.MARKED.findall(" " + t)))
     assert pieces.digest(odd.limit(0)).count() == 0 and pieces.encode(odd).columns == [*odd.columns, "ids"]
+    assert pieces.encode(odd.withColumn("round_trip", F.lit(1))).columns == [*odd.columns, "round_trip", "ids"]
+
+
+def brute_training(counts, vocabulary):
+    """Two rounds of expected piece counts by going through every arc of every token's lattice, in numbers and not logarithms."""
+    by_text = {vocabulary.texts[i].decode(): i for i in vocabulary.ordinary}
+    pieces, ends = vocabulary, counts[None]
+    for _ in range(2 if any(counts[w] for w in counts if w is not None) else 0):
+        found = [0.0] * len(pieces.texts)
+        p = [math.exp(x) for x in pieces.scores]
+        for w, n in counts.items():
+            if w is None or not n:
+                continue
+            w = " " + w
+            arcs = []
+            for a in range(len(w)):
+                for b in range(a + 1, min(len(w), a + 20) + 1):
+                    if w[a:b] in by_text:
+                        arcs.append((a, b, [by_text[w[a:b]]]))
+                    elif b == a + 1:
+                        arcs.append((a, b, [pieces.bytes_at[x] for x in w[a].encode()]))
+            scale = 2.0**20  # a character, so that long tokens don't vanish
+            weight = [math.prod(p[i] for i in ids) * scale ** (b - a) for a, b, ids in arcs]
+            ahead, behind = [1.0] + [0.0] * len(w), [0.0] * len(w) + [1.0]
+            for (a, b, _), x in zip(arcs, weight, strict=True):
+                ahead[b] += ahead[a] * x
+            for (a, b, _), x in sorted(zip(arcs, weight, strict=True), key=lambda k: -k[0][0]):
+                behind[a] += behind[b] * x
+            if not 1e-290 < ahead[-1] < 1e290:
+                continue
+            for (a, b, ids), x in zip(arcs, weight, strict=True):
+                for i in ids:
+                    found[i] += n * ahead[a] * x * behind[b] / ahead[-1]
+        pieces = pieces.estimated(found, ends)
+    return pieces
+
+
+def test_long_words(spark):
+    import re as _re
+    from pathlib import Path
+
+    vocabulary = _trie.load()
+    rng = random.Random(6)
+    long = ["".join(rng.choice("abcdeé日x") for _ in range(n)) for n in (255, 256, 257, 300, 900)]
+    walker, short = _trie.Walker(vocabulary), []
+    best, total = brute_lattice(set(long), vocabulary, True), brute_lattice(set(long), vocabulary, False)
+    for w in long:
+        ids = list(next(walker.segment([w])))
+        assert b"".join(vocabulary.texts[i] for i in ids) == w.encode() and sum(vocabulary.scores[i] for i in ids) == pytest.approx(best[w])
+        assert next(walker.likelihood([w])) == pytest.approx(total[w])
+        into = [0.0] * len(vocabulary.texts)
+        walker.expected([w], [3], into)
+        assert sum(n * len(t) for n, t in zip(into, vocabulary.texts, strict=True)) == pytest.approx(3 * len(w.encode()))
+    mixed = sorted([*long, "ab", "abc", long[0][:40], long[3][:200]])
+    assert [next(walker.segment([w])) for w in mixed] == [list(x) if isinstance(x, list) else x for x in walker.segment(mixed)]
+    resident = lambda: sum(map(int, _re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+    text, before = "abcdefgh" * 250_000, resident()
+    ids, bounds = pieces.Encoder(vocabulary).encode([text])
+    back, ends = pieces.Decoder(vocabulary).decode(ids, bounds)
+    assert back[1:].tobytes() == text.encode() and resident() - before < 150
+    docs = spark.createDataFrame([(1, text[:400_000]), (2, "x " + text[:3])], "doc_id long, text string")
+    assert {r.n_tokens for r in lattice.digest(docs).collect()} == {2, 3}
 
 
 def test_lattice(spark, odd, small):
@@ -181,15 +243,20 @@ def test_lattice(spark, odd, small):
         out = [zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 1 for r in rows]
         counts = Counter(w for t, o in zip(tokens, out, strict=True) if not o for w in [*t, None])
         n, v = sum(counts.values()), len(counts)
-        logp = brute_lattice({" " + w for t in tokens for w in t}, vocabulary, False)
+        trained = brute_training(counts, vocabulary)
+        logp = brute_lattice({" " + w for t in tokens for w in t}, trained, False)
         want = []
         for r, t, o in zip(rows, tokens, out, strict=True):
             base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*t, None])
-            want.append((str(r.doc_id), o, len(t) + 1, sum(counts[w] > 0 for w in [*t, None]), n, base, (sum(logp[" " + w] for w in t) + vocabulary.end) / math.log(10)))
+            want.append((str(r.doc_id), o, len(t) + 1, sum(counts[w] > 0 for w in [*t, None]), n, base, (sum(logp[" " + w] for w in t) + trained.end) / math.log(10)))
         got = [(str(r.doc_id), *tuple(r)[1:]) for r in lattice.digest(df).collect()]
         key = lambda x: (x[0], x[2], round(x[6], 3))
         for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
-            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-4)
+    plain = {r.doc_id: r for r in lattice.digest(small, rounds=0).collect()}
+    fitted = {r.doc_id: r for r in lattice.digest(small).collect()}
+    for held in (True, False):  # learning raises the probability of training texts, and of those held out
+        assert sum(r.score for r in fitted.values() if r.held_out == held) > sum(r.score for r in plain.values() if r.held_out == held)
     assert lattice.digest(odd.limit(0)).count() == 0
     assert {(r.train_tokens, r.base_score) for r in lattice.digest(odd.where("doc_id = 4").withColumn("doc_id", F.lit(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)).cast("long"))).collect()} == {(0, 0.0)}
 
