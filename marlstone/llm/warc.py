@@ -13,38 +13,51 @@ range of the original's).
 
 Defined cases: null html or URLs are empty; repeated rows are records of their own; ties in
 the order are told apart by the record's digest; an empty table has no records and equal
-(absent) roots; other columns are ignored.
+(absent) roots; other columns are ignored. The reader takes a record to the end that its header
+states; where no record follows there, to the next record's first line, so that damage stays in
+its record.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from types import MappingProxyType
+import hashlib
+import re
+import uuid
+import zlib
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.session import cut_lineage
+from marlstone.session import cut_lineage, shared_folder
 
 FAN = 16
 #: Records in a segment on average.
 SEGMENT = 1000
 
 
+MARK = b"WARC/1.0\r\n"
+FIELD = re.compile(rb"\r\n(WARC-Record-ID: <urn:md5:(?P<name>[^>]*)>|WARC-Page: (?P<page>-?\d+)|Content-Length: (?P<size>\d+))(?=\r\n)")
+
+
 def record(url: Column, html: Column, page_id: Column) -> Column:
     """A WARC/1.0 resource record as text."""
     url, html = F.coalesce(url, F.lit("")), F.coalesce(html, F.lit(""))
-    name = F.md5(F.concat_ws("|", page_id.cast("string"), url))
+    page = F.coalesce(F.concat(F.lit("\r\nWARC-Page: "), page_id.cast("string")), F.lit(""))
     return F.concat(
-        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), url, F.lit("\r\nWARC-Record-ID: <urn:md5:"), name,
-        F.lit(">\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"),
+        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), F.regexp_replace(url, "[\r\n]", " "), F.lit("\r\nWARC-Record-ID: <urn:md5:"), name_of(url, page_id), F.lit(">"), page,
+        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"),
     )
 
 
+def name_of(url: Column, page_id: Column) -> Column:
+    return F.md5(F.concat_ws("|", page_id.cast("string"), F.coalesce(url, F.lit(""))))
+
+
 def segment(url: Column, page_id: Column, segments: int) -> Column:
-    name = F.md5(F.concat_ws("|", page_id.cast("string"), F.coalesce(url, F.lit(""))))
-    return (F.conv(F.substring(name, 1, 8), 16, 10).cast("long") % F.lit(segments)).cast("int")
+    return (F.conv(F.substring(name_of(url, page_id), 1, 8), 16, 10).cast("long") % F.lit(segments)).cast("int")
 
 
 def placed(records: DataFrame) -> DataFrame:
@@ -55,11 +68,58 @@ def placed(records: DataFrame) -> DataFrame:
 
 
 def write_segments(pages: DataFrame, path: str, segments: int) -> None:
-    """Store the records as WARC files, a folder for each segment, in order."""
+    """Store the pages' records as compressed WARC files, a folder for each segment, in the order of page_id."""
     rows = pages.select(segment(F.col("url"), F.col("page_id"), segments).alias("segment"), "page_id", record(F.col("url"), F.col("html"), F.col("page_id")).alias("value"))
-    rows = rows.repartition("segment").sortWithinPartitions("segment", F.col("page_id").asc_nulls_first(), F.sha2("value", 256))
+    _store(rows.repartition("segment").sortWithinPartitions("segment", F.col("page_id").asc_nulls_first(), F.sha2("value", 256)), path)
+
+
+def _store(rows: DataFrame, path: str) -> None:
+    """Write (segment, value), each segment's rows in one partition and in order; every value ends with a line end."""
     # the writer ends each record with the last byte of its closing line ends
-    rows.select("segment", F.expr("substring(value, 1, length(value) - 1)").alias("value")).write.partitionBy("segment").option("lineSep", "\n").text(path)
+    rows.select("segment", F.expr("substring(value, 1, length(value) - 1)").alias("value")).write.partitionBy("segment").option("lineSep", "\n").option("compression", "gzip").text(path)
+
+
+def records_in(data: bytes) -> Iterator[tuple[int, int, str | None, int | None]]:
+    """(first, last, name, page id) of each record in a WARC file."""
+    at = 0
+    while at < len(data):
+        head = data.find(b"\r\n\r\n", at)
+        fields: dict[str, bytes] = {}
+        for m in FIELD.finditer(data, at, head + 2) if head >= 0 else ():
+            fields |= {k: v for k, v in m.groupdict().items() if v is not None and k not in fields}
+        end = head + 8 + int(fields["size"]) if "size" in fields else at
+        if end != len(data) and not (end > at and data.startswith(MARK, end)):
+            # a record whose bytes are fewer than stated ends before that, one with more after it
+            following = data.find(b"\r\n" + MARK, max(at, head))
+            end = following + 2 if following >= 0 else len(data)
+        yield at, end, fields["name"].decode("utf-8", "replace") if "name" in fields else None, int(fields["page"]) if "page" in fields else None
+        at = end
+
+
+RECORDS = pa.schema([
+    ("segment", pa.int32()), ("place", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("name", pa.string()), ("page_id", pa.int64()),
+    ("digest", pa.string()), ("bytes", pa.int64()), ("record", pa.binary()),
+])
+RECORDS_DDL = "segment int, place long, first long, last long, name string, page_id long, digest string, bytes long, record binary"
+
+
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """Every record of stored WARC files with its place, byte range and digest; a file is read by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, content in zip(batch.column("segment").to_pylist(), batch.column("content"), strict=True):
+                packed = zlib.decompressobj(47)
+                data = packed.decompress(content.as_buffer())
+                while packed.unused_data:  # one member for each record is usual
+                    left, packed = packed.unused_data, zlib.decompressobj(47)
+                    data += packed.decompress(left)
+                found = [(number, k, a, b, name, page, hashlib.sha256(data[a:b]).hexdigest(), b - a, data[a:b]) for k, (a, b, name, page) in enumerate(records_in(data))]
+                for k in range(0, len(found), 500):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found[k : k + 500], strict=True), RECORDS, strict=True)], schema=RECORDS)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.regexp_extract("path", r"segment=(-?\d+)", 1).cast("int").alias("segment"), "content").mapInArrow(run, RECORDS_DDL)
 
 
 def tree(leaves: DataFrame, last_place: int, last_segment: int) -> list[DataFrame]:
@@ -131,15 +191,20 @@ def aligned(mine: DataFrame, theirs: DataFrame) -> DataFrame:
 def audit(records: DataFrame, replica: DataFrame | None = None) -> DataFrame:
     """The original's and the replica's records (segment, page_id, digest, bytes, name) with ranges and `state`.
 
-    Without `replica`, its digests are those that `records` has as replica_digest; without `name`,
-    records are named by page_id.
+    Records that come with place, first and last, as the reader gives them, keep these; others are
+    placed by page_id. Without `replica`, its digests are those that `records` has as
+    replica_digest; without `name`, records are named by page_id.
     """
     if replica is None:
         replica = records.drop("digest").withColumnRenamed("replica_digest", "digest")
     sides = []
     for side in (records, replica):
         name = F.col("name") if "name" in side.columns else F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-        sides.append(cut_lineage(placed(side.select("segment", "page_id", name.alias("name"), "digest", "bytes"))))
+        columns = ["segment", "page_id", name.alias("name"), "digest", "bytes"]
+        if "place" in side.columns:
+            sides.append(cut_lineage(side.select(*columns, "place", "last", "first")))
+        else:
+            sides.append(cut_lineage(placed(side.select(*columns))))
     most = sides[0].unionByName(sides[1]).agg(F.max("place").alias("place"), F.max("segment").alias("segment")).first()
     last_place, last_segment = most.place or 0, most.segment or 0
     segment_level, width = 0, last_place
@@ -154,47 +219,50 @@ def audit(records: DataFrame, replica: DataFrame | None = None) -> DataFrame:
     return intact.unionByName(aligned(*(side.join(bad, on, "left_semi") for side in sides)))
 
 
-#: Harm that the drill does, each to the records whose URL's MD5 begins with the given digits.
-HARMS = {"damage": "00"}
+#: Harm that the drill does, each to the records whose names begin with the given digits.
+HARMS = {"damage": "0", "lose": "11", "lengthen": "12", "add": "20"}
 
 
-def records_of(pages: DataFrame, segments: int, harms: Mapping[str, str] = MappingProxyType({})) -> DataFrame:
-    """(segment, page_id, name, digest, bytes) of the pages' records: their last byte damaged, lost, lengthened, or one more added beside them."""
-    url = F.coalesce(F.col("url"), F.lit(""))
-    hit = {k: F.md5(url).startswith(v) for k, v in harms.items()}
-    text = F.col("record")
+def harmed(records: DataFrame, harms: Mapping[str, str]) -> DataFrame:
+    """(segment, value) of stored records as a bad copy has them: one byte damaged, lost, lengthened, or followed by one more."""
+    value, name = F.col("record").cast("string"), F.coalesce(F.col("name"), F.lit(""))
+    hit = {k: name.startswith(v) for k, v in harms.items()}
     if "damage" in hit:
-        text = F.when(hit["damage"], F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit("X"))).otherwise(text)
+        value = F.when(hit["damage"], F.concat(F.expr("substring(cast(record as string), 1, length(cast(record as string)) - 2)"), F.lit("X\n"))).otherwise(value)
     if "lengthen" in hit:
-        text = F.when(hit["lengthen"], F.concat(text, F.lit("more\r\n"))).otherwise(text)
-    pages = pages.select("page_id", "url", "html")
+        value = F.when(hit["lengthen"], F.concat(value, F.lit("more\r\n"))).otherwise(value)
+    copies = F.array(value)
     if "add" in hit:
-        pages = pages.unionByName(pages.where(hit["add"]).select("page_id", F.concat(url, F.lit("#added")).alias("url"), "html"))
+        copies = F.when(hit["add"], F.array(value, F.replace(value, name, F.md5(F.concat(name, F.lit("added")))))).otherwise(copies)
     if "lose" in hit:
-        pages = pages.where(~hit["lose"])
-    rows = pages.select("page_id", "url", record(F.col("url"), F.col("html"), F.col("page_id")).alias("record")).withColumn("text", text)
-    return rows.select(
-        segment(F.col("url"), F.col("page_id"), segments).alias("segment"), "page_id", F.md5(F.concat_ws("|", F.col("page_id").cast("string"), url)).alias("name"),
-        F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("bytes"),
-    )
+        copies = F.when(hit["lose"], F.array().cast("array<string>")).otherwise(copies)
+    return records.select("segment", "place", F.posexplode(copies).alias("nth", "value")).sortWithinPartitions("segment", "place", "nth").select("segment", "value")
 
 
 def drill(pages: DataFrame, harms: Mapping[str, str] = HARMS) -> DataFrame:
-    """Audit a replica made from the pages by itself, with `harms` done to it."""
+    """Store the pages as WARC files, store a copy of those with `harms` done to it, read both and audit them."""
+    spark = pages.sparkSession
     segments = max(1, -(-pages.count() // SEGMENT))
-    found = audit(records_of(pages, segments), records_of(pages, segments, harms))
-    return found.select("page_id", F.col("segment").cast("long").alias("segment"), "place", "first", "last", F.col("digest").alias("record_sha256"), "replica_digest", "state")
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_segments(pages, f"{folder}/original", segments)
+    _store(harmed(read_segments(spark, f"{folder}/original"), harms), f"{folder}/replica")
+    found = audit(*(read_segments(spark, f"{folder}/{side}").drop("record") for side in ("original", "replica")))
+    stored = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    stored.getFileSystem(spark._jsc.hadoopConfiguration()).delete(stored, True)  # the audit holds checkpoints of its own
+    return found.select("page_id", F.col("segment").cast("long").alias("segment"), "place", "first", "last", F.col("digest").alias("record_sha256"), "replica_digest", "replica_first", "replica_last", "state")
 
 
 DRILL_SQL = r"""
 WITH n AS (SELECT greatest(1, CAST(ceil(count(*) / 1000.0) AS BIGINT)) AS s FROM pages),
 r AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h, md5(concat_ws('|', CAST(page_id AS VARCHAR), coalesce(url, ''))) AS name FROM pages),
-t AS (SELECT page_id, u, name, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u || chr(13) || chr(10) || 'WARC-Record-ID: <urn:md5:' || name || '>' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(octet_length(encode(h)) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || h || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM r),
-d AS (SELECT page_id, CAST(('0x' || substr(name, 1, 8)) AS BIGINT) % (SELECT s FROM n) AS segment, sha256(record) AS digest, starts_with(md5(u), '00') AS damaged,
-  CASE WHEN starts_with(md5(u), '00') THEN sha256(substr(record, 1, length(record) - 1) || 'X') ELSE sha256(record) END AS replica_digest, CAST(octet_length(encode(record)) AS BIGINT) AS bytes FROM t)
-SELECT page_id, segment, CAST(row_number() OVER w - 1 AS BIGINT) AS place,
-  CAST(sum(bytes) OVER (PARTITION BY segment ORDER BY page_id NULLS FIRST, digest ROWS UNBOUNDED PRECEDING) - bytes AS BIGINT) AS first,
-  CAST(sum(bytes) OVER (PARTITION BY segment ORDER BY page_id NULLS FIRST, digest ROWS UNBOUNDED PRECEDING) AS BIGINT) AS last,
-  digest AS record_sha256, replica_digest, CASE WHEN digest = replica_digest THEN 'intact' ELSE 'corrupt' END AS state
-FROM d WINDOW w AS (PARTITION BY segment ORDER BY page_id NULLS FIRST, digest)
+t AS (SELECT page_id, name, CAST(('0x' || substr(name, 1, 8)) AS BIGINT) % (SELECT s FROM n) AS segment, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u || chr(13) || chr(10) || 'WARC-Record-ID: <urn:md5:' || name || '>' || coalesce(chr(13) || chr(10) || 'WARC-Page: ' || CAST(page_id AS VARCHAR), '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(octet_length(encode(h)) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || h || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM r),
+o AS (SELECT page_id, name, segment, record, sha256(record) AS digest, row_number() OVER (PARTITION BY segment ORDER BY page_id NULLS FIRST, sha256(record)) - 1 AS place FROM t),
+copied AS (SELECT page_id, name, segment, place, 0 AS nth, CASE WHEN starts_with(name, '0') THEN substr(record, 1, length(record) - 2) || 'X' || chr(10) WHEN starts_with(name, '12') THEN record || 'more' || chr(13) || chr(10) ELSE record END AS record FROM o WHERE NOT starts_with(name, '11')
+  UNION ALL SELECT page_id, md5(name || 'added'), segment, place, 1, replace(record, name, md5(name || 'added')) FROM o WHERE starts_with(name, '20')),
+a AS (SELECT page_id, name, segment, place, digest, sum(octet_length(encode(record))) OVER (PARTITION BY segment ORDER BY place ROWS UNBOUNDED PRECEDING) AS last, octet_length(encode(record)) AS bytes FROM o),
+b AS (SELECT page_id, name, segment, sha256(record) AS digest, sum(octet_length(encode(record))) OVER (PARTITION BY segment ORDER BY place, nth ROWS UNBOUNDED PRECEDING) AS last, octet_length(encode(record)) AS bytes FROM copied)
+SELECT coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.segment, b.segment) AS segment, a.place, CAST(a.last - a.bytes AS BIGINT) AS first, CAST(a.last AS BIGINT) AS last, a.digest AS record_sha256, b.digest AS replica_digest,
+  CAST(b.last - b.bytes AS BIGINT) AS replica_first, CAST(b.last AS BIGINT) AS replica_last,
+  CASE WHEN b.name IS NULL THEN 'missing' WHEN a.name IS NULL THEN 'extra' WHEN a.digest <> b.digest THEN 'corrupt' WHEN a.last = b.last AND a.bytes = b.bytes THEN 'intact' ELSE 'moved' END AS state
+FROM a FULL OUTER JOIN b ON a.segment = b.segment AND a.name = b.name
 """

@@ -271,11 +271,23 @@ def test_warc_audit(spark, tmp_path):
         found = warc.audit(spark.createDataFrame(rows, "segment int, page_id long, digest string, replica_digest string, bytes long")).collect()
         assert len(found) == n and {r.page_id for r in found if r.state == "corrupt"} == {r[1] for r in rows if r[2] != r[3]}
         assert all(r.last - r.first == r.bytes for r in found)
-    pages = spark.createDataFrame([(1, "http://a/", "<p>é</p>"), (1, "http://a/", "<p>é</p>"), (None, None, None), (2, "http://b/", "")], "page_id long, url string, html string")
-    assert [r.state for r in warc.drill(pages).collect()].count("intact") >= 3 and warc.drill(pages.limit(0)).count() == 0
-    warc.write_segments(pages, str(tmp_path / "w"), 1)
-    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").rglob("part-*")))
-    assert data.count(b"WARC/1.0\r\n") == 4 and "<p>é</p>\r\n\r\n".encode() in data and data.endswith(b"\r\n\r\n")
+    kinds = "page_id long, url string, html string, state string, first long, record string"
+    pages = spark.createDataFrame([(1, "http://a/", "<p>é</p>", "", 1, ""), (1, "http://a/", "<p>é</p>", "", 1, ""), (1, "http://a/", "<p>other</p>", "", 1, ""), (None, None, None, "", 1, ""), (2, "http://b/", "", "", 1, ""), (3, "http://c/\r\nx", "WARC/1.0\r\n" * 9, "", 1, ""), (4, "d", "long " * 200_000, "", 1, "")], kinds)
+    assert [r.state for r in warc.drill(pages, {}).collect()] == ["intact"] * 7 and warc.drill(pages.limit(0)).count() == 0
+    warc.write_segments(pages, str(tmp_path / "w"), 2)
+    held = warc.read_segments(spark, str(tmp_path / "w")).collect()
+    want = Counter(r[0] for r in pages.select(warc.record(F.col("url"), F.col("html"), F.col("page_id"))).collect())
+    assert Counter(bytes(r.record).decode() for r in held) == want and sorted(str(r.page_id) for r in held) == ["1", "1", "1", "2", "3", "4", "None"]
+    assert all(r.digest == hashlib.sha256(bytes(r.record)).hexdigest() and r.last - r.first == r.bytes == len(r.record) for r in held)
+
+
+def test_warc_reader_keeps_damage_in_its_record():
+    make = lambda n, body: b"WARC/1.0\r\nWARC-Record-ID: <urn:md5:n%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (n, len(body), body)
+    parts = [make(1, b"abc"), make(2, b"x" * 50), make(3, b""), make(4, b"\r\n\r\n")]
+    for bad in (parts[1] + b"more\r\n", parts[1][:-30] + b"\r\n", parts[1].replace(b"Content-Length", b"Content-Lxngth"), parts[1].replace(b": 50", b": 5000"), parts[1][:-2] + b"X\n"):
+        data = b"".join([parts[0], bad, *parts[2:]])
+        found = [data[a:b] for a, b, _, _ in warc.records_in(data)]
+        assert found == [parts[0], bad, *parts[2:]] and [n for *_, n, _ in warc.records_in(data)] == ["n1", "n2", "n3", "n4"]
 
 
 def test_warc_audit_of_an_independent_replica(spark):
@@ -297,9 +309,9 @@ def test_warc_audit_of_an_independent_replica(spark):
         assert {"missing", "extra", "corrupt", "intact", "moved"} == {r.state for r in got}
     pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}</p>") for i in range(300)], "page_id long, url string, html string")
     harms = {"damage": "0", "lose": "1", "lengthen": "2", "add": "3"}
-    hit = Counter(hashlib.md5(f"http://a/{i}".encode()).hexdigest()[0] for i in range(300))
+    hit = Counter(hashlib.md5(f"{i}|http://a/{i}".encode()).hexdigest()[0] for i in range(300))
     got = Counter(r.state for r in warc.drill(pages, harms).collect())
-    assert (got["corrupt"], got["missing"], got["extra"]) == (hit["0"] + hit["2"], hit["1"], hit["3"]) and sum(got.values()) == 300 + hit["3"]
+    assert (got["corrupt"], got["missing"], got["extra"]) == (hit["0"] + hit["2"], hit["1"], hit["3"]) and sum(got.values()) == 300 + hit["3"] and got["moved"]
     assert {r.state for r in warc.audit(spark.createDataFrame([], kinds), spark.createDataFrame(mine, kinds)).collect()} == {"extra"}
 
 
