@@ -40,10 +40,10 @@ from marlstone.session import cut_lineage, files_for
 BLOCK_BYTES = 20 << 20
 #: Partitions that the blocks are dealt to at most; beyond it a partition has several blocks, one after the other.
 PARTITIONS = 20_000
-#: Distinct tokens that a task holds before it lists them.
-HELD = 400_000
+#: Distinct tokens that a task holds before it lists them; twice as many before it merges what its slices hold.
+HELD = 500_000
 #: Passes that estimate the weights, and parts of a count that are told apart in them.
-ROUNDS, SHARES = 2, 1 << 20
+ROUNDS, SHARES = 1, 1 << 20
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -85,11 +85,14 @@ def _listed(dealt: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, size = None, [], 0
 
+        def merged() -> tuple[np.ndarray, np.ndarray, pa.Array]:
+            hashes, tokens = np.concatenate([h for h, _, _ in held]), pa.concat_arrays([t for _, _, t in held])
+            first, inverse = _distinct(hashes, tokens, lambda f, i: pc.all(pc.equal(tokens.take(pa.array(f[i])), tokens), min_count=0).as_py())
+            return hashes[first], np.bincount(inverse, np.concatenate([c for _, c, _ in held])), tokens.take(pa.array(first))
+
         def out() -> pa.RecordBatch:
-            tokens = pa.concat_arrays([t for _, _, t in held])
-            first, inverse = _distinct(np.concatenate([h for h, _, _ in held]), tokens, lambda f, i: pc.all(pc.equal(tokens.take(pa.array(f[i])), tokens)).as_py())
-            n = np.bincount(inverse, np.concatenate([c for _, c, _ in held])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block, dtype=np.int32)), tokens.take(pa.array(first)), pa.array(n)], schema=schema)
+            hashes, n, tokens = merged()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), block, dtype=np.int32)), tokens, pa.array(n.astype(np.int64))], schema=schema)
 
         for batch in batches:
             blocks = batch.column("block").to_numpy()
@@ -109,9 +112,12 @@ def _listed(dealt: DataFrame) -> DataFrame:
                     first, inverse = _distinct(words.hashes, lambda w=words: [w.word(i) for i in range(len(w))], lambda f, i, w=words: _same_bytes(w, f, i))
                     held.append((words.hashes[first], np.bincount(inverse, train), _gather(words.low, words.starts[first], words.ends[first])))
                     size += len(first)
-                    if size > HELD:
-                        yield out()
-                        held, size = [], 0
+                    if size > 2 * HELD:
+                        held = [merged()]
+                        size = len(held[0][0])
+                        if size > HELD:
+                            yield out()
+                            held, size = [], 0
         if held:
             yield out()
 
@@ -174,11 +180,12 @@ class Totals(NamedTuple):
 
 
 def _score_block(docs: pa.Table, known: pa.Table, totals: Totals) -> pa.Table:
-    words = known.column("token").to_pylist()
-    hashes, first = np.unique(word_hashes(words), return_index=True)
-    exact = {w: i for i, w in enumerate(words)} if len(first) < len(words) else None  # two tokens collide
-    if exact is not None:
-        first = np.arange(len(words))
+    tokens = known.column("token").combine_chunks()
+    tokens = tokens if isinstance(tokens, pa.Array) else pa.concat_arrays([*tokens.chunks, pa.array([], pa.binary())])
+    hashes, first, inverse = np.unique(word_hashes(tokens.to_pylist()), return_index=True, return_inverse=True)
+    exact = None
+    if not pc.all(pc.equal(tokens.take(pa.array(first[inverse])), tokens), min_count=0).as_py():  # two tokens collide
+        exact, first = {w: i for i, w in enumerate(tokens.to_pylist())}, np.arange(len(tokens))
     c = np.append(known.column("c").to_numpy()[first], totals.ends).astype(np.int64)
     logp = np.append(known.column("logp").to_numpy()[first], totals.end_logp) / math.log(10)
     base = np.log10((c + 0.5) / (totals.tokens + 0.5 * (totals.distinct + 1))) if totals.tokens else np.zeros(len(c))

@@ -36,6 +36,8 @@ from marlstone.session import cut_lineage, shared_folder
 FAN = 16
 #: Records in a segment on average.
 SEGMENT = 1000
+#: Partitions that segments are dealt to at most; beyond it a task writes several, one after the other.
+PARTITIONS = 20_000
 
 
 MARK = b"WARC/1.0\r\n"
@@ -70,13 +72,13 @@ def placed(records: DataFrame) -> DataFrame:
 def write_segments(pages: DataFrame, path: str, segments: int) -> None:
     """Store the pages' records as compressed WARC files, a folder for each segment, in the order of page_id."""
     rows = pages.select(segment(F.col("url"), F.col("page_id"), segments).alias("segment"), "page_id", record(F.col("url"), F.col("html"), F.col("page_id")).alias("value"))
-    _store(rows.repartition("segment").sortWithinPartitions("segment", F.col("page_id").asc_nulls_first(), F.sha2("value", 256)), path)
+    _store(rows.repartition(min(segments, PARTITIONS), "segment").sortWithinPartitions("segment", F.col("page_id").asc_nulls_first(), F.sha2("value", 256)), path)
 
 
 def _store(rows: DataFrame, path: str) -> None:
     """Write (segment, value), each segment's rows in one partition and in order; every value ends with a line end."""
     # the writer ends each record with the last byte of its closing line ends
-    rows.select("segment", F.expr("substring(value, 1, length(value) - 1)").alias("value")).write.partitionBy("segment").option("lineSep", "\n").option("compression", "gzip").text(path)
+    rows.select("segment", F.expr("substring(value, 1, length(value) - 1)").alias("value")).write.partitionBy("segment").option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def records_in(data: bytes) -> Iterator[tuple[int, int, str | None, int | None]]:

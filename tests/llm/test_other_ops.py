@@ -174,10 +174,10 @@ def test_encoding(spark, odd, small):
 
 
 def brute_training(counts, vocabulary):
-    """Two rounds of expected piece counts by going through every arc of every token's lattice, in numbers and not logarithms."""
+    """Rounds of expected piece counts by going through every arc of every token's lattice, in numbers and not logarithms."""
     by_text = {vocabulary.texts[i].decode(): i for i in vocabulary.ordinary}
     pieces, ends = vocabulary, counts[None]
-    for _ in range(2 if any(counts[w] for w in counts if w is not None) else 0):
+    for _ in range(lattice.ROUNDS if any(counts[w] for w in counts if w is not None) else 0):
         found = [0.0] * len(pieces.texts)
         p = [math.exp(x) for x in pieces.scores]
         for w, n in counts.items():
@@ -234,7 +234,7 @@ def test_long_words(spark):
     assert {r.n_tokens for r in lattice.digest(docs).collect()} == {2, 3}
 
 
-def test_lattice(spark, odd, small):
+def test_lattice(spark, odd, small, monkeypatch):
     vocabulary = _trie.load()
     assert sum(math.exp(vocabulary.scores[i]) for i in vocabulary.ordinary) + 256 * math.exp(vocabulary.scores[vocabulary.bytes_at[0]]) + math.exp(vocabulary.end) == pytest.approx(1)
     for df in (odd, small):
@@ -253,6 +253,13 @@ def test_lattice(spark, odd, small):
         key = lambda x: (x[0], x[2], round(x[6], 3))
         for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
             assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-4)
+    first = {r.doc_id: tuple(r) for r in lattice.digest(small).collect()}
+    monkeypatch.setattr(lattice, "HELD", 50)  # lists are given out in parts
+    assert {r.doc_id: tuple(r) for r in lattice.digest(small).collect()} == first
+    monkeypatch.setattr(lattice, "word_hashes", lambda words: np.array([len(w) % 3 for w in words], dtype=np.uint64))  # all tokens collide
+    monkeypatch.setattr(lattice, "_same_bytes", lambda *_: False)
+    assert {r.doc_id: tuple(r) for r in lattice.digest(small).collect()} == first
+    monkeypatch.undo()
     plain = {r.doc_id: r for r in lattice.digest(small, rounds=0).collect()}
     fitted = {r.doc_id: r for r in lattice.digest(small).collect()}
     for held in (True, False):  # learning raises the probability of training texts, and of those held out
