@@ -218,7 +218,8 @@ def digest(docs: DataFrame, model: str = _trie.DEFAULT_MODEL, rounds: int = ROUN
     n_blocks = max(1, -(-(sizes.n or 0) // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block")
     dealt = texts.withColumn("block", block).repartition(min(n_blocks, PARTITIONS), "block")
-    listed = _listed(dealt.sortWithinPartitions("block").select("block", "text", "train")).select("block", "token")
+    # with all columns, as the scoring needs them, so that both read one exchange
+    listed = _listed(dealt.sortWithinPartitions("block")).select("block", "token")
     known = listed.join(_scored(counted, spark.sparkContext.broadcast(pieces)), "token")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
