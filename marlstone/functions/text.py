@@ -63,7 +63,7 @@ def search_form(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Runs of CJK or of word characters; a CJK run is followed by its 2-, 3- and 4-grams."""
-    runs = F.regexp_extract_all(search_form(text), F.lit(rf"([{CJK}]+|[\p{{IsAlphabetic}}\p{{N}}_&&[^{CJK}]]+)"), F.lit(1))
+    runs = F.regexp_extract_all(search_form(text), F.lit(rf"([{CJK}]+|[a-z0-9_[\p{{IsAlphabetic}}\p{{N}}&&[^{CJK}]]]+)"), F.lit(1))
 
     def grams(run: Column, n: int) -> Column:
         return F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.length(run) - (n - 1)), lambda i: F.substring(run, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
@@ -71,7 +71,8 @@ def tokens(text: Column) -> Column:
     def with_grams(run: Column) -> Column:
         return F.when(run.rlike(rf"\A[{CJK}]"), F.concat(F.array(run), grams(run, 2), grams(run, 3), grams(run, 4))).otherwise(F.array(run))
 
-    return F.flatten(F.transform(runs, with_grams))
+    # most texts have no CJK character, and their runs are their tokens
+    return F.transform(F.array(runs), lambda found: F.when(text.rlike(rf"[{CJK}{RADICALS}]"), F.flatten(F.transform(found, with_grams))).otherwise(found))[0]
 
 
 def token_estimate(text: Column) -> Column:

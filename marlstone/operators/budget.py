@@ -8,11 +8,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as St
 from pyspark.sql.window import Window
 
 from marlstone.functions import text as T
 from marlstone.operators.rank import order
+from marlstone.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -51,55 +51,55 @@ def with_rendering_cost(chunks: DataFrame) -> DataFrame:
 def select(ranked: DataFrame, policy: Policy = Policy(), query_column: str | None = None) -> DataFrame:
     """`ranked` with `decision` (selected, global, per-file), `reason` and `position` in rank order.
 
-    Each query's candidates pass one task in rank order; it holds the tokens used by each file
-    and the passages put off, and decides on those at the end. Queries run side by side.
+    Each query's candidates pass one task in rank order, without their texts; it holds the tokens
+    used by each file and the passages put off, and decides on those at the end. Queries run side
+    by side, and the decisions meet the passages by a row number.
     """
-    keyed = ranked.withColumn("_query", F.col(query_column).cast("string") if query_column else F.lit(""))
-    dealt = keyed.repartition("_query").sortWithinPartitions("_query", *order())
-    fields = [f for f in keyed.schema.fields if f.name not in ("decision", "reason", "position")]
-    names = [f.name for f in fields]
-    schema = St.StructType([*fields, St.StructField("decision", St.StringType()), St.StructField("reason", St.StringType()), St.StructField("position", St.LongType())])
+    held = ranked.drop("decision", "reason", "position").withColumn("_row", F.monotonically_increasing_id())
+    held = cut_lineage(held)  # row numbers stay as they are
+    query = F.coalesce(F.col(query_column).cast("string"), F.lit("")) if query_column else F.lit("")
+    narrow = held.select(query.alias("_query"), "_row", "path", "start_line", "score", "token_estimate")
+    dealt = narrow.repartition("_query").sortWithinPartitions("_query", *order()).select("_query", "_row", "path", "token_estimate")
     most, per_file = policy.max_tokens, policy.per_file
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, used, by_file, put_off, position = None, 0, {}, [], 0
+        decided: list[tuple] = []
 
-        def marked(rows: pa.RecordBatch, decisions: list[tuple]) -> pa.RecordBatch:
-            added = [pa.array(c, t) for c, t in zip(zip(*decisions, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)]
-            return pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), *added], names=[*names, "decision", "reason", "position"])
-
-        def second() -> Iterator[pa.RecordBatch]:
+        def second() -> None:
             nonlocal used
             for row, cost, had, at in put_off:
                 if cost > most - used:
-                    yield marked(row, [("per-file", f"per-file budget limit: current {had}, candidate {cost}, limit {per_file}", at)])
+                    decided.append((row, "per-file", f"per-file budget limit: current {had}, candidate {cost}, limit {per_file}", at))
                 else:
                     used += cost
-                    yield marked(row, [("selected", None, at)])
+                    decided.append((row, "selected", None, at))
+
+        def out() -> pa.RecordBatch:
+            made = [pa.array(c, k) for c, k in zip(zip(*decided, strict=True), kinds, strict=True)]
+            decided.clear()
+            return pa.RecordBatch.from_arrays(made, names=["_row", "decision", "reason", "position"])
 
         for batch in batches:
-            taken, decisions = [], []
-            for i, (key, path, cost) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_query", "path", "token_estimate")), strict=True)):
+            for key, row, path, cost in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != query:
-                    if taken:
-                        yield marked(batch.take(pa.array(taken)), decisions)
-                        taken, decisions = [], []
-                    yield from second()
+                    second()
                     query, used, by_file, put_off, position = key, 0, {}, [], 0
                 position += 1
                 had = by_file.get(path, 0)
                 if cost > most - used:
-                    taken.append(i)
-                    decisions.append(("global", f"global budget limit: current {used}, candidate {cost}, limit {most}", position))
+                    decided.append((row, "global", f"global budget limit: current {used}, candidate {cost}, limit {most}", position))
                 elif had and had + cost > per_file:
-                    put_off.append((batch.slice(i, 1), cost, had, position))
+                    put_off.append((row, cost, had, position))
                 else:
                     used += cost
                     by_file[path] = had + cost
-                    taken.append(i)
-                    decisions.append(("selected", None, position))
-            if taken:
-                yield marked(batch.take(pa.array(taken)), decisions)
-        yield from second()
-
-    return dealt.mapInArrow(run, schema).drop("_query")
+                    decided.append((row, "selected", None, position))
+            if decided:
+                yield out()
+        second()
+        if decided:
+            yield out()
+
+    return held.join(dealt.mapInArrow(run, "_row long, decision string, reason string, position long"), "_row").drop("_row")

@@ -6,11 +6,11 @@ src_lines), src_lines being the line of the document that each line of the passa
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marlstone.functions import text as T
 
@@ -19,77 +19,100 @@ TARGET_CHARS, MOST_CHARS = 700, 1200
 COLUMNS = ["path", "kind", "chunk_kind", "title", "start_line", "end_line", "text", "token_estimate", "src_lines"]
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select("path", "kind", F.posexplode(T.lines(F.col("text"))).alias("at", "content")).withColumn("line", (F.col("at") + 1).cast("long")).drop("at")
+def _lines(text: Column) -> Column:
+    """A text's lines with their numbers."""
+    return F.transform(T.lines(text), lambda line, i: F.struct((i + 1).cast("long").alias("line"), line.alias("content")))
 
 
-def _by_line() -> Window:
-    return Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+def _places(of: Column) -> Column:
+    return F.when(F.size(of) > 0, F.sequence(F.lit(0), F.size(of) - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _finished(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("token_estimate", T.token_estimate(F.col("text"))).select(*COLUMNS)
+def parts(cuts: Column, of: Column) -> Column:
+    """The pieces of an array from each cut to the next."""
+    return F.transform(cuts, lambda c, i: F.slice(of, c + 1, F.coalesce(F.get(cuts, i + 1), F.size(of)) - c))
 
 
-def _gathered(numbered: DataFrame, chunk_kind: Column, title: Column) -> DataFrame:
-    """One passage for each (path, part): its lines in order; chunk_kind and title may use `lines`."""
-    grouped = numbered.groupBy("path", "kind", "part").agg(F.array_sort(F.collect_list(F.struct("line", "content"))).alias("lines"))
-    return grouped.select(
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _cut(docs: DataFrame, kept: Column, cuts: Callable[[Column], Column]) -> DataFrame:
+    """(path, kind, part, lines) of each document: its kept lines, cut without a shuffle at the places that `cuts` tells.
+
+    The pieces are exploded, not the places, so that no row holds more than its own lines.
+    """
+    held = docs.select("path", "kind", once(kept, lambda of: once(cuts(of), lambda c: parts(c, of))).alias("parts"))
+    return held.select("path", "kind", F.posexplode("parts").alias("part", "lines"))
+
+
+def _chunks(parts: DataFrame, chunk_kind: Column, title: Column) -> DataFrame:
+    """One passage for each row of lines; chunk_kind and title may use `part` and `lines`."""
+    made = parts.select(
         "path", "kind", chunk_kind.alias("chunk_kind"), title.alias("title"), F.col("lines")[0]["line"].alias("start_line"), F.element_at("lines", -1)["line"].alias("end_line"),
         F.array_join(F.transform("lines", lambda x: x["content"]), "\n").alias("text"), F.transform("lines", lambda x: x["line"]).alias("src_lines"),
     )
+    return made.where(~T.blank(F.col("text"))).withColumn("token_estimate", T.token_estimate(F.col("text"))).select(*COLUMNS)
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """Islands of lines that aren't blank."""
-    parted = _numbered(docs).withColumn("part", F.sum(T.blank(F.col("content")).cast("int")).over(_by_line())).where(~T.blank(F.col("content")))
-    return _finished(_gathered(parted, F.lit("paragraph"), F.lit(None).cast("string")))
+    filled = F.filter(_lines(F.col("text")), lambda x: ~T.blank(x["content"]))
+    gaps = lambda of: F.filter(_places(of), lambda i: (i == 0) | (F.get(of, i)["line"] != F.get(of, i - 1)["line"] + 1))
+    return _chunks(_cut(docs, filled, gaps), F.lit("paragraph"), F.lit(None).cast("string"))
 
 
 def markdown_sections(docs: DataFrame) -> DataFrame:
     """Sections from heading to heading; a document without a heading is cut into paragraphs."""
     headed = F.exists(T.lines(F.col("text")), lambda line: line.rlike(T.HEADING))
-    parted = _numbered(docs.where(headed)).withColumn("part", F.sum(F.col("content").rlike(T.HEADING).cast("int")).over(_by_line()))
-    sections = _gathered(parted, F.lit("markdown section"), T.heading_title(F.col("lines")[0]["content"])).where(~T.blank(F.col("text")))
-    return _finished(sections).unionByName(paragraphs(docs.where(~headed)))
+    starts = lambda of: F.filter(_places(of), lambda i: (i == 0) | F.get(of, i)["content"].rlike(T.HEADING))
+    sections = _cut(docs.where(headed), _lines(F.col("text")), starts)
+    return _chunks(sections, F.lit("markdown section"), T.heading_title(F.col("lines")[0]["content"])).unionByName(paragraphs(docs.where(~headed)))
+
+
+def _item(item: str, title_of: Callable[[Column], Column]) -> tuple[Column, Column]:
+    """The kind and title of a piece that begins with an item, or of what precedes the first one."""
+    title = title_of(F.col("lines")[0]["content"])
+    begins = title.isNotNull()
+    return F.when(begins, item).otherwise("paragraph"), F.when(begins, title)
 
 
 def rust_items(docs: DataFrame) -> DataFrame:
-    """Items that start outside of all braces; what precedes the first is a paragraph."""
-    w, line = _by_line(), F.col("content")
-    opened = F.length(F.regexp_replace(line, r"[^{]", "")) - F.length(F.regexp_replace(line, r"[^}]", ""))
-    numbered = _numbered(docs).withColumn("total", F.sum(opened).over(w))
-    numbered = numbered.withColumn("depth", F.col("total") - F.least(F.lit(0), F.min("total").over(w)))
-    before = F.coalesce(F.lag("depth").over(Window.partitionBy("path").orderBy("line")), F.lit(0))
-    numbered = numbered.withColumn("starts", (before == 0) & T.rust_title(line).isNotNull())
-    return _titled(numbered, "rust item", T.rust_title)
+    """Items that start outside of all braces; what precedes the first is a paragraph.
 
+    One fold over the lines keeps the depth of braces, which doesn't fall below 0, and the places of the cuts.
+    """
+    count = lambda x, brace: F.length(x) - F.length(F.replace(x, F.lit(brace), F.lit("")))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
 
-def code_items(docs: DataFrame) -> DataFrame:
-    """Items cut at lines that start one; blank lines at the document's beginning are left out."""
-    numbered = _numbered(docs).withColumn("starts", T.code_title(F.col("content")).isNotNull())
-    seen = F.max((~T.blank(F.col("content"))).cast("int")).over(_by_line())
-    return _titled(numbered.withColumn("seen", seen).where("seen = 1"), "code item", T.code_title)
+    def step(s: Column, x: Column) -> Column:
+        begins = (s["at"] == 0) | ((s["depth"] == 0) & T.rust_title(x["content"]).isNotNull())
+        depth = F.greatest(F.lit(0), s["depth"] + count(x["content"], "{") - count(x["content"], "}"))
+        return F.struct(depth.alias("depth"), (s["at"] + 1).alias("at"), F.when(begins, F.concat(s["cuts"], F.array(s["at"]))).otherwise(s["cuts"]).alias("cuts"))
 
+    parts = _cut(docs, _lines(F.col("text")), lambda of: F.aggregate(of, start, step, lambda s: s["cuts"]))
+    return _chunks(parts, *_item("rust item", T.rust_title))
 
-def _titled(numbered: DataFrame, item: str, title_of) -> DataFrame:
-    parted = numbered.withColumn("part", F.sum(F.col("starts").cast("int")).over(_by_line()))
-    chunks = _gathered(parted, F.when(F.col("part") > 0, item).otherwise("paragraph"), F.when(F.col("part") > 0, title_of(F.col("lines")[0]["content"])))
-    return _finished(chunks.where(~T.blank(F.col("text"))))
+
+def code_items(docs: DataFrame) -> DataFrame:
+    """Items cut at lines that start one; blank lines at the document's beginning are left out."""
+    text = F.regexp_replace("text", rf"\A({T.SPACE}*\n)+", "")
+    skipped = F.size(T.lines(F.col("text"))) - F.size(T.lines(text))
+    kept = F.transform(T.lines(text), lambda line, i: F.struct((i + 1 + skipped).cast("long").alias("line"), line.alias("content")))
+    starts = lambda of: F.filter(_places(of), lambda i: (i == 0) | T.code_title(F.get(of, i)["content"]).isNotNull())
+    return _chunks(_cut(docs, kept, starts), *_item("code item", T.code_title))
 
 
 def table_rows(docs: DataFrame) -> DataFrame:
     """The header and 25 rows to a passage."""
-    filled = _numbered(docs).where(~T.blank(F.col("content")))
-    order = Window.partitionBy("path").orderBy("line")
-    ranked = filled.withColumn("n", F.row_number().over(order)).withColumn("header", F.first(F.struct("line", "content")).over(order)).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("path")))
-    parted = ranked.where("n > 1 or rows = 1").withColumn("part", F.floor((F.col("n") - 2) / ROWS))
-    grouped = parted.groupBy("path", "kind", "part").agg(F.first("header").alias("header"), F.first("rows").alias("rows"), F.array_sort(F.collect_list(F.struct("line", "content"))).alias("lines"))
-    held = F.when(F.col("rows") == 1, F.col("lines")).otherwise(F.concat(F.array("header"), F.col("lines")))
-    return _finished(grouped.select(
-        "path", "kind", F.lit("table rows").alias("chunk_kind"), F.col("header.content").alias("title"), F.col("lines")[0]["line"].alias("start_line"), F.element_at("lines", -1)["line"].alias("end_line"),
-        F.array_join(F.transform(held, lambda x: x["content"]), "\n").alias("text"), F.transform(held, lambda x: x["line"]).alias("src_lines"),
-    ))
+    filled = F.filter(_lines(F.col("text")), lambda x: ~T.blank(x["content"]))
+    rows = lambda of: F.when(F.size(of) > 1, F.sequence(F.lit(1), F.size(of) - 1, F.lit(ROWS))).otherwise(_places(of))
+    held = docs.select("path", "kind", once(filled, lambda of: F.struct(F.get(of, F.lit(0)).alias("header"), once(rows(of), lambda c: parts(c, of)).alias("parts"))).alias("h"))
+    # the header is part of every passage's text, but its line isn't where the passage begins
+    held = held.select("path", "kind", "h.header", F.explode("h.parts").alias("rows"))
+    made = _chunks(held.withColumn("lines", F.when(F.col("rows")[0]["line"] == F.col("header.line"), F.col("rows")).otherwise(F.concat(F.array("header"), "rows"))), F.lit("table rows"), F.col("header.content"))
+    return made.withColumn("start_line", F.coalesce(F.get("src_lines", F.lit(1)), F.col("start_line")))
 
 
 def extracted(docs: DataFrame) -> DataFrame:
@@ -109,15 +132,9 @@ def extracted(docs: DataFrame) -> DataFrame:
             F.when(fresh, F.concat(s["cuts"], F.array(s["at"]))).otherwise(s["cuts"]).alias("cuts"),
         )
 
-    held = docs.select("path", "kind", marked.alias("all")).withColumn("cuts", F.aggregate("all", start, step, lambda s: s["cuts"]))
-    held = held.select("path", "kind", "all", F.posexplode("cuts").alias("i", "cut"), "cuts")
-    upto = F.coalesce(F.get("cuts", F.col("i") + 1), F.size("all"))
-    held = held.withColumn("lines", F.slice("all", F.col("cut") + 1, upto - F.col("cut")))
+    parts = _cut(docs, marked, lambda of: F.aggregate(of, start, step, lambda s: s["cuts"]))
     first = F.col("lines")[0]
-    return _finished(held.select(
-        "path", "kind", F.lit("paragraph").alias("chunk_kind"), F.when(first["heading"], first["content"]).alias("title"), first["line"].alias("start_line"), F.element_at("lines", -1)["line"].alias("end_line"),
-        F.array_join(F.transform("lines", lambda x: x["content"]), "\n").alias("text"), F.transform("lines", lambda x: x["line"]).alias("src_lines"),
-    ))
+    return _chunks(parts, F.lit("paragraph"), F.when(first["heading"], first["content"]))
 
 
 CHUNKERS = (

@@ -6,10 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marlstone.functions import text as T
-from marlstone.operators import audit, budget, rank
+from marlstone.operators import audit, budget, chunk, rank
 
 DETAILS = 50
 
@@ -24,8 +23,8 @@ def overhead_text(goal: str) -> str:
 
 def selected_findings(findings: DataFrame, chunks: DataFrame) -> DataFrame:
     """Findings on a line of a passage."""
-    inside = (findings["path"] == chunks["path"]) & findings["line"].between(chunks["start_line"], chunks["end_line"])
-    return findings.join(chunks, inside, "left_semi")
+    inside = (F.col("f.path") == F.col("c.path")) & F.col("f.line").between(F.col("c.start_line"), F.col("c.end_line"))
+    return findings.alias("f").join(chunks.select("path", "start_line", "end_line").alias("c"), inside, "left_semi")
 
 
 def gate_count(findings: DataFrame, threshold: str) -> DataFrame:
@@ -51,14 +50,26 @@ def redact(chunks: DataFrame, findings: DataFrame, strict_compat: bool = False)
 
 
 def spans(chunks: DataFrame) -> DataFrame:
-    """Passages of a file that follow each other within two lines, as one: (path, start_line, end_line, text, redacted)."""
-    w = Window.partitionBy("path").orderBy("start_line", "end_line")
-    reach = F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    follows = (F.col("start_line") > reach) & (F.col("start_line") <= reach + 2)
-    parted = chunks.withColumn("_new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).withColumn("_span", F.sum("_new").over(w))
-    held = F.array_sort(F.collect_list(F.struct("start_line", "end_line", "text")))
-    grouped = parted.groupBy("path", "_span").agg(held.alias("h"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.max("redacted").alias("redacted"))
-    return grouped.select("path", "start_line", "end_line", F.array_join(F.transform("h", lambda x: x["text"]), "\n\n").alias("text"), "redacted")
+    """Passages of a file that follow the span before them within two lines, as one: (path, start_line, end_line, text, redacted).
+
+    A fold over a file's passages in order keeps the end of the last span; a passage that overlaps it starts a span of its own.
+    """
+    held = chunks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "text", "redacted"))).alias("all"))
+    start = F.struct(F.lit(None).cast("long").alias("end"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
+
+    def step(s: Column, x: Column) -> Column:
+        follows = F.coalesce((x["start_line"] > s["end"]) & (x["start_line"] <= s["end"] + 2), F.lit(False))
+        return F.struct(
+            F.when(follows, F.greatest(s["end"], x["end_line"])).otherwise(x["end_line"]).cast("long").alias("end"), (s["at"] + 1).alias("at"),
+            F.when(follows, s["cuts"]).otherwise(F.concat(s["cuts"], F.array(s["at"]))).alias("cuts"),
+        )
+
+    parts = chunk.once(F.col("all"), lambda of: chunk.once(F.aggregate(of, start, step, lambda s: s["cuts"]), lambda c: chunk.parts(c, of)))
+    part = held.select("path", F.explode(parts).alias("p"))
+    return part.select(
+        "path", F.col("p")[0]["start_line"].alias("start_line"), F.array_max(F.transform("p", lambda x: x["end_line"])).alias("end_line"),
+        F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"), F.exists("p", lambda x: x["redacted"]).alias("redacted"),
+    )
 
 
 def label_counts(df: DataFrame, column: str) -> DataFrame:
@@ -94,7 +105,7 @@ class Packed:
         return files.agg(F.concat(F.lit(overhead_text(self.goal)), F.when(F.count(F.lit(1)) == 0, "No matching context was selected.\n\n").otherwise(F.array_join(texts, ""))).alias("value"))
 
     def manifest(self) -> dict:
-        listed = lambda df, columns, order, n=None: [r.asDict(True) for r in (df.orderBy(*order).limit(n) if n else df.orderBy(*order)).select(*columns).collect()]
+        listed = lambda df, columns, order, n=None: [r.asDict(True) for r in (df.orderBy(*order).limit(n) if n else df.orderBy(*order)).select(*columns).toLocalIterator()]
         found = ["path", "line", "kind", "severity", "evidence"]
         by_place = [F.split("path", "/"), "line", "kind"]
         return {

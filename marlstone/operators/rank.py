@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import kinds
 from marlstone.functions import text as T
+from marlstone.session import cut_lineage
 
 K1, B = 1.2, 0.75
+#: Terms of a batch of queries, with repeats, up to which every task is told them.
+TOLD_TERMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -36,16 +39,17 @@ def parse_terms(spark: SparkSession, query: str) -> list[str]:
     return list(spark.range(1).select(F.array_distinct(T.tokens(F.lit(query)))).first()[0])
 
 
-def frequencies(text: Column, terms: Column) -> Column:
+def frequencies(text: Column, terms: list[str]) -> Column:
     """(tf of each term, number of tokens) of a text; one transform holds the tokens, so they are made once."""
-    made = F.transform(F.array(T.tokens(text)), lambda w: F.struct(F.transform(terms, lambda q: F.size(F.filter(w, lambda x: x == q))).alias("tf"), F.size(w).cast("long").alias("dl")))
-    return made[0]
+    wanted = F.array(*map(F.lit, terms))
+    counted = lambda w, hits: F.struct(F.transform(wanted, lambda q: F.size(F.filter(hits, lambda x: x == q))).alias("tf"), F.size(w).cast("long").alias("dl"))
+    return F.transform(F.array(T.tokens(text)), lambda w: F.transform(F.array(F.filter(w, lambda x: x.isin(terms))), lambda hits: counted(w, hits))[0])[0]
 
 
-def statistics(counted: DataFrame, n_terms: int) -> DataFrame:
-    """One row: number of passages, mean length (1 at least) and document frequency of each term."""
-    hits = [F.sum((F.col("tf")[i] > 0).cast("long")) for i in range(n_terms)]
-    return counted.agg(F.count(F.lit(1)).alias("n_chunks"), F.greatest(F.lit(1.0), F.coalesce(F.avg("dl"), F.lit(0.0))).alias("mean_length"), F.array(*[F.coalesce(h, F.lit(0)) for h in hits]).alias("df"))
+def statistics(n_terms: int) -> list[Column]:
+    """Number of passages, mean length (1 at least) and document frequency of each term, over columns tf and dl."""
+    hits = [F.coalesce(F.sum((F.col("tf")[i] > 0).cast("long")), F.lit(0)).alias(f"df{i}") for i in range(n_terms)]
+    return [F.count(F.lit(1)).alias("n_chunks"), F.greatest(F.lit(1.0), F.coalesce(F.avg("dl"), F.lit(0.0))).alias("mean_length"), *hits]
 
 
 def vocabulary(chunks: DataFrame) -> DataFrame:
@@ -67,16 +71,19 @@ def bm25(tf: Column, dl: Column, df: Column, n: Column, mean: Column) -> Column:
 def score(chunks: DataFrame, terms: list[str], profile: Profile = Profile(), path_prefix: str = "") -> DataFrame:
     """`chunks` with the score's parts, `score` and `reasons`; passages without any match go.
 
-    Paths count without the source folder's own name; `path_prefix` puts it back.
+    Paths count without the source folder's own name; `path_prefix` puts it back. Every text is
+    read once: the statistics of all passages are observed while those that match are stored.
     """
     if not terms:
-        return score(chunks, ["_"], profile, path_prefix).where(F.lit(False))
+        return score(chunks.limit(0), ["_"], profile, path_prefix)
     wanted, n_terms = F.array(*map(F.lit, terms)), len(terms)
-    counted = chunks.withColumn("_f", frequencies(F.col("text"), wanted)).withColumns({"tf": F.col("_f.tf"), "dl": F.col("_f.dl")}).drop("_f")
-    stats = statistics(chunks.select(frequencies(F.col("text"), wanted).alias("_f")).select("_f.tf", "_f.dl"), n_terms)
-    joined = counted.crossJoin(F.broadcast(stats))  # one row
     names = {"_path": T.search_form(F.concat(F.lit(path_prefix), F.col("path"))), "_title": F.coalesce(T.search_form(F.col("title")), F.lit("")), "_name": T.search_form(kinds.file_name(F.col("path")))}
-    joined = joined.withColumns(names)
+    counted = chunks.withColumn("_f", frequencies(F.col("text"), terms)).withColumns({"tf": F.col("_f.tf"), "dl": F.col("_f.dl")} | names).drop("_f")
+    seen = Observation()
+    somewhere = F.exists(wanted, lambda q: F.col("_path").contains(q) | F.col("_title").contains(q) | F.col("_name").contains(q))
+    joined = cut_lineage(counted.observe(seen, *statistics(n_terms)).where(F.exists("tf", lambda f: f > 0) | somewhere))
+    stats = seen.get
+    df = F.array(*[F.lit(stats[f"df{i}"]) for i in range(n_terms)])
 
     def matches(column: str) -> Column:
         return F.aggregate(wanted, F.lit(0).cast("long"), lambda n, q: n + T.substring_count(F.col(column), q))
@@ -88,7 +95,7 @@ def score(chunks: DataFrame, terms: list[str], profile: Profile = Profile(), pat
         "path_matches": matches("_path"), "title_matches": matches("_title"), "name_matches": matches("_name"),
     }).where("text_matches + path_matches + title_matches + name_matches > 0")
     parts = {
-        "lexical_score": F.round(bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_chunks").cast("double"), F.col("mean_length")) * profile.bm25).cast("long"),
+        "lexical_score": F.round(bm25(F.col("tf"), F.col("dl"), df, F.lit(float(stats["n_chunks"])), F.lit(float(stats["mean_length"]))) * profile.bm25).cast("long"),
         "text_match_score": F.col("matched_terms") * profile.text,
         "term_coverage_score": F.col("covered") * profile.coverage,
         "full_coverage_score": F.when((F.lit(n_terms) > 1) & (F.col("covered") == n_terms), profile.full).otherwise(0).cast("long"),
@@ -113,7 +120,7 @@ def score(chunks: DataFrame, terms: list[str], profile: Profile = Profile(), pat
         said(c("density_score") > 0, "term density bonus: %d", c("density_score")),
     )
     joined = joined.withColumn("reasons", F.filter(reasons, lambda r: r.isNotNull())).withColumn("preview", T.preview(c("text")))
-    return joined.drop("_path", "_title", "_name", "n_chunks", "mean_length", "df")
+    return joined.drop("_path", "_title", "_name")
 
 
 def score_with(chunks: DataFrame, terms: list[str], scorer: Scorer) -> DataFrame:
@@ -134,15 +141,19 @@ def rank(chunks: DataFrame, query: str, profile: Profile = Profile(), path_prefi
 def rank_batch(chunks: DataFrame, queries: DataFrame, id_column: str = "query_id", query_column: str = "query") -> DataFrame:
     """(id, path, start_line, bm25) of every passage that holds a term of a query, for many queries at once.
 
-    Terms meet postings by key; lengths and frequencies are counted once for all queries.
+    Texts are read once: tokens that no query has are left out where they are made, as long as the
+    queries' terms are few enough to be told to every task, and what is left is stored as postings.
     """
-    tokens = chunks.select("path", "start_line", T.tokens(F.col("text")).alias("w"))
-    lengths = tokens.agg(F.count(F.lit(1)).cast("double").alias("n"), F.greatest(F.lit(1.0), F.avg(F.size("w"))).alias("mean"))
-    terms = queries.select(F.col(id_column), F.posexplode(F.array_distinct(T.tokens(F.col(query_column)))).alias("at", "term"))
-    postings = tokens.select("path", "start_line", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    postings = postings.join(terms.select("term").distinct(), "term", "left_semi").groupBy("path", "start_line", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    terms = cut_lineage(queries.select(F.col(id_column), F.posexplode(F.array_distinct(T.tokens(F.col(query_column)))).alias("at", "term")))
+    wanted = terms.select("term").distinct()
+    known = F.broadcast(wanted) if terms.count() <= TOLD_TERMS else wanted
+    seen = Observation()
+    tokens = chunks.select("path", "start_line", T.tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
+    tokens = tokens.observe(seen, F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.avg("dl"), F.lit(0.0))).alias("mean"))
+    postings = tokens.select("path", "start_line", "dl", F.explode("w").alias("term")).join(known, "term", "left_semi")
+    postings = cut_lineage(postings.groupBy("path", "start_line", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf")))
+    n, mean = F.lit(float(seen.get["n"])), F.lit(float(seen.get["mean"]))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    hits = postings.join(df, "term").join(terms, "term").groupBy(id_column, "path", "start_line", "dl").agg(F.array_sort(F.collect_list(F.struct("at", "tf", "df"))).alias("h"))
-    joined = hits.crossJoin(F.broadcast(lengths))
-    value = bm25(F.transform("h", lambda x: x["tf"]), F.col("dl"), F.transform("h", lambda x: x["df"]), F.col("n"), F.col("mean"))
-    return joined.select(id_column, "path", "start_line", value.alias("bm25"))
+    hits = postings.join(df.join(terms, "term"), "term").groupBy(id_column, "path", "start_line", "dl").agg(F.array_sort(F.collect_list(F.struct("at", "tf", "df"))).alias("h"))
+    value = bm25(F.transform("h", lambda x: x["tf"]), F.col("dl"), F.transform("h", lambda x: x["df"]), n, mean)
+    return hits.select(id_column, "path", "start_line", value.alias("bm25"))

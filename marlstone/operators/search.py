@@ -68,8 +68,10 @@ def totals(hits: DataFrame) -> DataFrame:
 
 def as_json(hits: DataFrame, explain: bool = False) -> DataFrame:
     """One JSON object for each file, its hits in rank order; files in the order of their best hits."""
-    columns = ["start_line", "end_line", "title", "preview", *(["score", "chunk_kind", "reasons"] if explain else [])]
+    hit = ["start_line", "end_line", "title", "preview"]
+    if explain:
+        hit += ["score", F.col("chunk_kind").alias("kind"), F.concat_ws("; ", "reasons").alias("reason")]
     best = F.struct((-F.col("score")).alias("s"), F.split("path", "/").alias("p"), F.col("start_line").alias("l"))
-    listed = hits.groupBy("path", "kind").agg(F.array_sort(F.collect_list(F.struct(best.alias("o"), F.struct(*columns).alias("hit")))).alias("h"))
+    listed = hits.groupBy("path", "kind").agg(F.array_sort(F.collect_list(F.struct(best.alias("o"), F.struct(*hit).alias("hit")))).alias("h"))
     ordered = listed.orderBy(F.col("h")[0]["o"])
-    return ordered.select(F.to_json(F.struct("path", F.col("kind").alias("file_kind"), F.transform("h", lambda x: x["hit"]).alias("hits"))).alias("json"))
+    return ordered.select(F.to_json(F.struct("path", kinds.label(F.col("kind")).alias("file_type"), F.transform("h", lambda x: x["hit"]).alias("hits"))).alias("json"))

@@ -128,8 +128,12 @@ walk AS (SELECT path, i, CAST(1 AS BIGINT) AS part, CAST(CASE WHEN len >= 700 AN
 chunks AS (SELECT f.path, min(f.line) AS start_line, max(f.line) AS end_line, string_agg(t, {NL} ORDER BY f.line) AS text FROM filled f JOIN walk w ON f.path = w.path AND f.i = w.i GROUP BY f.path, w.part)"""
 
 
-def titled(rows: list[tuple], starts: str, title: str, item: str, extra: str = "", seen: str = "TRUE") -> str:
-    return f"""WITH docs AS (SELECT * FROM (VALUES {literals.values(rows)}) AS v(path, text)), {numbered('docs')}, bare AS (SELECT *, {trim('content')} AS t, {blank('content')} AS b FROM numbered){extra},
+def listed(rows: list[tuple]) -> str:
+    return f"SELECT * FROM (VALUES {literals.values(rows)}) AS v(path, text)"
+
+
+def titled(rows: str, starts: str, title: str, item: str, extra: str = "", seen: str = "TRUE") -> str:
+    return f"""WITH docs AS ({rows}), {numbered('docs')}, bare AS (SELECT *, {trim('content')} AS t, {blank('content')} AS b FROM numbered){extra},
 flagged AS (SELECT *, {starts} AS starts FROM {'depths' if extra else 'bare'} ),
 parted AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS part, max(CASE WHEN b THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY line) AS seen FROM flagged),
 grouped AS (SELECT path, part, min(line) AS start_line, max(line) AS end_line, string_agg(content, {NL} ORDER BY line) AS text, arg_min(t, line) AS t, arg_min(content, line) AS content FROM parted WHERE {seen} GROUP BY path, part)
@@ -172,18 +176,23 @@ floors AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY path ORDER BY line))
     rust_title = trim("regexp_replace(regexp_replace(t, '\\{+$', ''), ';+$', '')")
     code_title = trim("regexp_replace(regexp_replace(regexp_replace(t, '\\{+$', ''), ':+$', ''), ';+$', '')")
     heading_title = trim(f"regexp_replace({trim(f'''regexp_replace(content, '^[{WS}]*#{{1,6}}', '')''')}, '^#+|#+$', '', 'g')")
-    markdown = f"""WITH all_docs AS (SELECT * FROM (VALUES {literals.values(literals.MARKDOWN)}) AS v(path, text)), {numbered('all_docs', 'every')},
+    markdown = lambda rows: f"""WITH all_docs AS ({rows}), {numbered('all_docs', 'every')},
 headed AS (SELECT DISTINCT path FROM every WHERE regexp_matches(content, '{HEADING}')),
 sections AS (SELECT path, part, min(line) AS start_line, max(line) AS end_line, string_agg(content, {NL} ORDER BY line) AS text, arg_min(content, line) AS content FROM (SELECT *, sum(CASE WHEN regexp_matches(content, '{HEADING}') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS part FROM every WHERE path IN (FROM headed)) GROUP BY path, part),
 docs AS (SELECT * FROM all_docs WHERE path NOT IN (FROM headed)), {paragraphs('docs')}
 SELECT path, 'markdown section' AS chunk_kind, CASE WHEN part > 0 THEN {heading_title} END AS title, start_line, end_line, text FROM sections WHERE NOT ({blank('text')})
-UNION ALL SELECT path, 'paragraph', NULL, start_line, end_line, text FROM chunks"""
+UNION ALL SELECT path, 'paragraph', NULL, start_line, end_line, text FROM chunks"""
     summary = f"""concat_ws('; ', CASE WHEN lexical_score > 0 THEN 'BM25 lexical score: ' || lexical_score END, CASE WHEN text_matches > 0 THEN 'exact text matches: ' || text_matches || ', unique terms ' || matched || '/{len(terms)} x 3' END, CASE WHEN covered > 0 THEN 'term coverage: ' || covered || '/{len(terms)} x 6' END,
 CASE WHEN full_coverage_score > 0 THEN 'full query coverage bonus: ' || full_coverage_score END, CASE WHEN path_match_score > 0 THEN 'path matches: ' || path_match_score // 2 || ' x 2' END, CASE WHEN file_name_match_score > 0 THEN 'file name matches: ' || file_name_match_score // 3 || ' x 3' END, CASE WHEN file_kind_score > 0 THEN 'file kind bonus: ' || file_kind_score END, CASE WHEN density_score > 0 THEN 'term density bonus: ' || density_score END)"""
     reason = "CASE WHEN NOT kept THEN 'automatic relevance floor: score ' || score || ', file best ' || best || ', file minimum ' || least || ', dominant minimum ' || dominant || ', metadata match ' || named || ', local minimum ' || local END"
-    spans = f"""WITH RECURSIVE {DOCS}, {extracted('docs')}, held AS (SELECT *, max(end_line) OVER (PARTITION BY path ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM chunks WHERE start_line % 3 <> 0),
-marked AS (SELECT *, sum(CASE WHEN start_line > reach AND start_line <= reach + 2 THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY start_line, end_line) AS span FROM held)
-SELECT path, min(start_line) AS start_line, max(end_line) AS end_line, md5(string_agg(text, chr(10) || chr(10) ORDER BY start_line, end_line)) AS text_md5 FROM marked GROUP BY path, span"""
+    spans = f"""WITH RECURSIVE {DOCS}, {extracted('docs')}, {paragraphs('docs').replace('numbered', 'counted').replace('parted', 'islands').replace('chunks AS', 'whole AS')},
+held AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY start_line, end_line, text) AS i FROM (SELECT path, start_line, end_line, text FROM chunks UNION ALL SELECT path, start_line, end_line, text FROM whole) WHERE contains(lower(text), 'oren')),
+merged AS (SELECT path, i, CAST(1 AS BIGINT) AS span, end_line FROM held WHERE i = 1
+  UNION ALL SELECT h.path, h.i, m.span + CASE WHEN h.start_line > m.end_line AND h.start_line <= m.end_line + 2 THEN 0 ELSE 1 END, CASE WHEN h.start_line > m.end_line AND h.start_line <= m.end_line + 2 THEN greatest(h.end_line, m.end_line) ELSE h.end_line END FROM merged m JOIN held h ON h.path = m.path AND h.i = m.i + 1)
+SELECT h.path, min(h.start_line) AS start_line, max(h.end_line) AS end_line, md5(string_agg(h.text, chr(10) || chr(10) ORDER BY h.i)) AS text_md5 FROM held h JOIN merged m ON m.path = h.path AND m.i = h.i GROUP BY h.path, m.span"""
+    titled_md5 = lambda sql: f"SELECT path, chunk_kind, title, start_line, end_line, md5(text) AS text_md5, {tokens_of('text')} AS token_estimate FROM ({sql})"
+    pages_md = r"SELECT CAST(page_id AS VARCHAR) AS path, regexp_replace(html, '<(h[1-6]|title)[^>]*>', chr(10) || '# ', 'g') AS text FROM pages"
+    documents = "SELECT CAST(doc_id AS VARCHAR) AS path, text FROM documents"
     return {
         "token_estimates": f"SELECT doc_id, {tokens_of('text')} AS tokens, {preview} AS preview FROM documents",
         "token_counts": f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(len(list_distinct(w)) AS BIGINT) AS n_terms FROM (SELECT doc_id, {words('text')} AS w FROM documents)",
@@ -204,9 +213,12 @@ SELECT path, min(start_line) AS start_line, max(end_line) AS end_line, md5(strin
         "html_extract": f"SELECT page_id, {markup('html')} AS text FROM pages",
         "chunk_paragraphs": f"WITH docs AS (SELECT CAST(page_id AS VARCHAR) AS path, {markup('html')} AS text FROM pages), {paragraphs('docs')} {chunk_md5}",
         "chunk_conversations": f"WITH docs AS (SELECT CAST(conv_id AS VARCHAR) AS path, string_agg(role || ': ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY conv_id), {paragraphs('docs')} {chunk_md5}",
-        "chunk_markdown_literals": markdown,
-        "chunk_rust_literals": titled(literals.RUST, rust_starts, rust_title, "rust item", depth),
-        "chunk_code_literals": titled(literals.CODE, f"{code_start} AND NOT regexp_matches(t, '^(//|#|/\\*|\\*)')", code_title, "code item", seen="seen = 1"),
+        "chunk_markdown_literals": markdown(listed(literals.MARKDOWN)),
+        "chunk_rust_literals": titled(listed(literals.RUST), rust_starts, rust_title, "rust item", depth),
+        "chunk_markdown": titled_md5(markdown(pages_md)),
+        "chunk_rust": titled_md5(titled(documents, rust_starts, rust_title, "rust item", depth)),
+        "chunk_code": titled_md5(titled(documents, f"{code_start} AND NOT regexp_matches(t, '^(//|#|/\\*|\\*)')", code_title, "code item", seen="seen = 1")),
+        "chunk_code_literals": titled(listed(literals.CODE), f"{code_start} AND NOT regexp_matches(t, '^(//|#|/\\*|\\*)')", code_title, "code item", seen="seen = 1"),
         "chunk_table_rows": f"""WITH r AS (SELECT CAST(o_custkey % 97 AS VARCHAR) AS path, o_orderkey || ',' || o_orderstatus || ',' || o_orderpriority AS l, row_number() OVER (PARTITION BY o_custkey % 97 ORDER BY o_orderkey) AS i FROM orders),
 chunks AS (SELECT path, min(i) + 1 AS start_line, max(i) + 1 AS end_line, 'key,status,priority' || chr(10) || string_agg(l, chr(10) ORDER BY i) AS text FROM r GROUP BY path, (i - 1) // 25)
 SELECT path, 'key,status,priority' AS title, start_line, end_line, md5(text) AS text_md5, {tokens_of('text')} AS token_estimate FROM chunks""",
@@ -215,7 +227,7 @@ SELECT path, 'key,status,priority' AS title, start_line, end_line, md5(text) AS
         "budget_select": budgeted,
         "span_merge": spans,
         "redact_lines": f"{audited}, first AS (SELECT path, line, min(kind) AS kind FROM findings GROUP BY path, line), j AS (SELECT l.path, string_agg(CASE WHEN f.kind IS NULL THEN l.content ELSE '[REDACTED: ' || f.kind || ']' END, chr(10) ORDER BY l.line) AS t, count(f.kind) AS k FROM lines_findings l LEFT JOIN first f ON f.path = l.path AND f.line = l.line GROUP BY l.path) SELECT path, md5(t) AS text_md5 FROM j WHERE k > 0",
-        "selected_findings": f"WITH RECURSIVE {DOCS}, {extracted('docs')}, {findings('docs')} SELECT path, line, kind, severity FROM findings f WHERE EXISTS (SELECT 1 FROM chunks c WHERE c.start_line % 2 = 1 AND c.path = f.path AND f.line BETWEEN c.start_line AND c.end_line)",
+        "selected_findings": f"WITH RECURSIVE {DOCS}, {extracted('docs')}, {findings('docs')} SELECT path, line, kind, severity FROM findings f WHERE EXISTS (SELECT 1 FROM chunks c WHERE contains(lower(c.text), 'thand') AND c.path = f.path AND f.line BETWEEN c.start_line AND c.end_line)",
         "privacy_gate_count": f"{audited} SELECT count(*) AS n FROM findings WHERE severity IN ('Medium', 'High')",
         "pack_statistics": f"WITH RECURSIVE {DOCS}, {extracted('docs')}, {findings('docs')} SELECT 'paragraph' AS label, count(*) AS n FROM chunks UNION ALL SELECT severity, count(*) FROM findings GROUP BY severity UNION ALL SELECT kind, count(*) FROM findings GROUP BY kind",
         "scan_kind_counts": f"""WITH f AS (SELECT path, regexp_extract(path, '[^/]*$') AS name FROM (VALUES {literals.values(literals.FILES)}) AS v(path, size)),

@@ -172,6 +172,27 @@ def chunk_code_literals(spark, sf):
     return chunk.code_items(literals.docs(spark, literals.CODE, "code")).select("path", "chunk_kind", "title", "start_line", "end_line", "text")
 
 
+def _chunked(chunks: DataFrame) -> DataFrame:
+    return chunks.select("path", "chunk_kind", "title", "start_line", "end_line", F.md5("text").alias("text_md5"), "token_estimate")
+
+
+@query
+def chunk_markdown(spark, sf):
+    """Pages as Markdown, each tag that begins a line taken for a heading mark."""
+    pages = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("markdown").alias("kind"), F.regexp_replace("html", "<(h[1-6]|title)[^>]*>", "\n# ").alias("text"))
+    return _chunked(chunk.markdown_sections(pages))
+
+
+@query
+def chunk_rust(spark, sf):
+    return _chunked(chunk.rust_items(as_docs(spark, sf, "rust")))
+
+
+@query
+def chunk_code(spark, sf):
+    return _chunked(chunk.code_items(as_docs(spark, sf, "code")))
+
+
 @query
 def chunk_table_rows(spark, sf):
     """Orders of each customer as a delimited document."""
@@ -197,10 +218,15 @@ def budget_select(spark, sf):
     return budget.select(kept, budget.Policy(20_000)).select("doc_id", "decision", "position", "token_estimate", "reason")
 
 
+def _mentions(chunks: DataFrame, word: str) -> DataFrame:
+    return chunks.where(T.search_form(F.col("text")).contains(word))
+
+
 @query
 def span_merge(spark, sf):
-    """The passages of benchmark-like length of each document, every third one left out."""
-    held = chunk.extracted(as_docs(spark, sf, "pdf")).where("start_line % 3 != 0").withColumn("redacted", F.lit(False))
+    """Passages that hold a word, cut by two chunkers, so that they overlap."""
+    docs = as_docs(spark, sf, "pdf")
+    held = _mentions(chunk.extracted(docs).unionByName(chunk.paragraphs(docs)), "oren").withColumn("redacted", F.lit(False))
     return pack.spans(held).select("path", "start_line", "end_line", F.md5("text").alias("text_md5"))
 
 
@@ -214,7 +240,7 @@ def redact_lines(spark, sf):
 @query
 def selected_findings(spark, sf):
     docs = as_docs(spark, sf, "pdf")
-    chosen = chunk.extracted(docs).where("start_line % 2 = 1")
+    chosen = _mentions(chunk.extracted(docs), "thand")
     return pack.selected_findings(audit.audit(docs), chosen).select("path", "line", "kind", "severity")
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Where a local session without spark.checkpoint.dir, as in tests, keeps checkpoints.
@@ -64,6 +66,64 @@ def shared_folder(spark: SparkSession) -> str:
     return named or UNSET
 
 
+class Folder:
+    """A folder on any file system that Spark knows, with the few operations that the driver needs."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self.top = self._path(path)
+        self._fs = self.top.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._charset = spark._jvm.java.nio.charset.StandardCharsets.UTF_8
+        self._io = spark._jvm.org.apache.commons.io.IOUtils
+
+    def path(self, name: str) -> str:
+        return self._at(name).toString()
+
+    def _at(self, name: str):
+        return self._path(self.top, name)
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
+    def names(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self.top)) if self._fs.exists(self.top) else []
+
+    def modified(self, name: str) -> float:
+        """Seconds since 1970."""
+        return self._fs.getFileStatus(self._at(name)).getModificationTime() / 1000
+
+    def read(self, name: str) -> str | None:
+        if not self.exists(name):
+            return None
+        held = self._fs.open(self._at(name))
+        try:
+            return self._io.toString(held, self._charset)
+        except Py4JJavaError as e:
+            if "ChecksumException" in str(e.java_exception):
+                raise ValueError(f"{name} doesn't agree with its checksum") from e
+            raise
+        finally:
+            held.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Write beside the file and put it in its place, so that no reader sees a part of it."""
+        beside = self._at(f".{name}.{uuid.uuid4().hex}")
+        out = self._fs.create(beside, True)
+        out.write(bytearray(text.encode()))
+        out.hsync()
+        out.close()
+        if not self._fs.rename(beside, self._at(name)):  # some stores don't replace
+            self._fs.delete(self._at(name), False)
+            self._fs.rename(beside, self._at(name))
+
+    def delete(self, name: str) -> bool:
+        return self._fs.delete(self._at(name), True)
+
+    def remove_if_empty(self) -> None:
+        if self._fs.exists(self.top) and not self.names():
+            self._fs.delete(self.top, False)
+
+
 def cut_lineage(df: DataFrame, files: int | None = None) -> DataFrame:
     """An eager checkpoint in the shared folder, in no more than `files` files if that is given."""
     shared_folder(df.sparkSession)

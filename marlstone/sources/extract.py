@@ -103,17 +103,17 @@ def docx(path: str) -> str:
 
     def start(name: str, _: dict) -> None:
         nonlocal run
-        if _local(name) == "t":
+        if name == "w:t":
             run = []
-        elif _local(name) in ("tab", "br"):
-            out.append("\t" if _local(name) == "tab" else "\n")
+        elif name in ("w:tab", "w:br"):
+            out.append("\t" if name == "w:tab" else "\n")
 
     def end(name: str) -> None:
         nonlocal run
-        if _local(name) == "t" and run is not None:
+        if name == "w:t" and run is not None:
             out.append("".join(run).strip())
             run = None
-        elif _local(name) == "p" and out and not out[-1].endswith("\n"):
+        elif name == "w:p" and out and not out[-1].endswith("\n"):
             out.append("\n")
 
     parser = expat.ParserCreate()

@@ -14,7 +14,7 @@ from marlstone.config import NAME, OUTPUTS, ScanOptions
 from marlstone.functions import kinds
 from marlstone.functions.text import lines, markup_text
 from marlstone.operators import audit, chunk
-from marlstone.session import ensure_importable
+from marlstone.session import cut_lineage, ensure_importable
 from marlstone.sources import extract
 
 PROBE = 8192
@@ -110,7 +110,7 @@ def scan(spark: SparkSession, source: str, options: ScanOptions = ScanOptions())
                         reasons[i] = "Binary" if looks_binary(probe, bool(held.read(1))) else None
             yield batch.set_column(batch.schema.names.index("reason"), "reason", pa.array(reasons, pa.string()))
 
-    sniffed = judged.mapInArrow(sniff, judged.schema)
+    sniffed = cut_lineage(judged.mapInArrow(sniff, judged.schema))  # a listing; every file is opened once
     return Scan(source, options, sniffed.where("reason is null").select("path", "size", "modified", "kind"), sniffed.where("reason is not null").select("path", "reason"))
 
 
@@ -129,7 +129,8 @@ def documents(files: DataFrame, source: str, options: ScanOptions = ScanOptions(
                     message = str(e) or type(e).__name__
                 yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (path, kind, text, message)], names=["path", "kind", "text", "message"])
 
-    read = files.where("kind != 'other'").select("path", "kind").mapInArrow(run, "path string, kind string, text string, message string")
+    # the texts are stored, so that no file is extracted again for its issues or for another chunker
+    read = cut_lineage(files.where("kind != 'other'").select("path", "kind").mapInArrow(run, "path string, kind string, text string, message string"))
     marked = F.when(F.col("kind").isin("html", "xml"), markup_text(F.col("text"))).otherwise(F.col("text"))
     return read.where("text is not null").select("path", "kind", marked.alias("text")), read.where("message is not null").select("path", "message")
 
@@ -146,7 +147,6 @@ class Corpus:
 def load(spark: SparkSession, source: str, options: ScanOptions = ScanOptions()) -> Corpus:
     found = scan(spark, source, options)
     docs, issues = documents(found.files, source, options)
-    docs = docs.persist()
     return Corpus(found, docs, chunk.split(docs), audit.audit(docs), issues)
 
 

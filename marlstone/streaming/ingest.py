@@ -23,14 +23,14 @@ def severity_windows(docs: DataFrame, time_column: str, width: str = "10 minutes
 
 
 def keep_indexed(docs: DataFrame, index: Index, checkpoint: str) -> StreamingQuery:
-    """Each batch of (path, kind, text, size, modified) is merged into the index; later rows of a path win."""
+    """Each batch of (path, kind, text, size, modified) is added to the index as a part; later rows of a path win.
 
-    def merge(batch: DataFrame, _: int) -> None:
+    A batch costs what it holds; the index is read and written as a whole only when parts are joined.
+    """
+
+    def add(batch: DataFrame, _: int) -> None:
         rows = batch.groupBy("path").agg(F.max_by(F.struct("kind", "text", "size", "modified"), "modified").alias("r")).select("path", "r.*").persist()
-        listing = rows.select("path", "size", "modified", "kind")
-        if index._pointer():
-            listing = listing.unionByName(index.files().select(*listing.columns).join(rows, "path", "left_anti"))
-        index.refresh(listing, lambda files: (chunk.split(rows.join(files.select("path"), "path", "left_semi")), batch.sparkSession.createDataFrame([], "path string, message string")))
+        index.append(rows.select("path", "size", "modified", "kind"), chunk.split(rows))
         rows.unpersist()
 
-    return docs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

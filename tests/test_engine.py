@@ -34,7 +34,7 @@ def test_tokens(spark):
 
 
 def test_statistics_of_terms(spark):
-    terms = F.array(*map(F.lit, ["rust", "检索词", "检索", "索词"]))
+    terms = ["rust", "检索词", "检索", "索词"]
     got = spark.createDataFrame([("Rust rust 检索词",)], "t string").select(rank.frequencies(F.col("t"), terms).alias("f")).first().f
     assert (got.tf, got.dl) == ([2, 2, 1, 1], 6)
 
@@ -198,8 +198,14 @@ def test_scan_extract_index_and_pack(spark, tmp_path):
     assert (third.reused, third.updated, third.removed, third.rebuilt) == (6, 1, 1, False) and held.status(changed.files) == "fresh"
     assert held.chunks().where("path = 'docs/a.md'").first().title == "Changed"
     assert index.Index(spark, str(tmp_path / "i"), "other").status(changed.files) == "incompatible"
+    kept = index.Index(spark, str(tmp_path / "k"), grace=0)
+    for _ in range(3):  # nothing is left of parts that no longer count
+        assert cli._refresh(kept, changed, force=True).written
+        assert len([p for p in (tmp_path / "k").iterdir() if p.name.startswith("part-")]) == 1
     (tmp_path / "i" / index.POINTER).write_text("{")
     assert held.status(changed.files) == "corrupt"
+    (tmp_path / "i" / f".{index.POINTER}.crc").unlink(missing_ok=True)
+    assert held.status(changed.files) == "corrupt" and cli._refresh(held, changed).rebuilt
     assert held.clear() and not held.clear() and held.status(changed.files) == "missing"
 
 
@@ -217,9 +223,36 @@ def test_config(tmp_path):
     assert config.load(str(tmp_path)) == config.ScanOptions()
     with pytest.raises(FileExistsError):
         config.write_default(str(tmp_path))
-    path.write_text('max_file_bytes = 7\nignore_patterns = ["x"]\ninclude = ["a"]\n')
+    path.write_text('[scanner]\nmax_file_bytes = 7\nignore_patterns = ["x", "out"]\ninclude_paths = ["a"]\nexclude_paths = ["a/b"]\n\n[output]\nreport = "r.md"\n')
     held = config.load(str(tmp_path))
-    assert held.max_file_bytes == 7 and held.ignored == (*config.IGNORED, "x") and held.included == ("a",)
+    assert held.max_file_bytes == 7 and held.ignored == (*config.IGNORED, "x") and held.included == ("a",) and held.excluded == ("a/b",)
+    assert config.output_names(str(tmp_path)) == config.OutputNames(report="r.md") and config.output_names(str(tmp_path / "none")) == config.OutputNames()
+    path.write_text("[scanner]\nmax_bytes = 7\n[other]\n")
+    with pytest.warns(UserWarning, match="unknown key"):
+        assert config.load(str(tmp_path)) == config.ScanOptions()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    source = build(tmp_path / "s")
+    (source / config.NAME).write_text('[scanner]\nexclude_paths = ["cut.txt"]\n[output]\nbundle = "b.md"\n')
+    run = lambda *words: (cli.main([*words, "--source", str(source)]), capsys.readouterr())
+    code, said = run("index", "build", "--verbose")
+    assert code == 0 and "Files: 7" in said.out and "Warnings: 1" in said.out and "bad.pdf" in said.err
+    code, said = run("index", "status")
+    assert "Status: fresh" in said.out and "Warnings: 1" in said.out
+    code, said = run("search", "storage", "--json", "--explain", "--limit", "2")
+    held = json.loads(said.out)
+    assert held["query"] == "storage" and held["shown_passages"] == 2 <= held["total_passages"] and held["index"]["reused_files"] == 7 and held["index"]["indexed_chunks"] > 0
+    assert held["warning_count"] == 1 == len(held["warnings"]) and {"score", "kind", "reason"} <= set(held["groups"][0]["hits"][0]) and held["groups"][0]["file_type"] != "html"
+    code, said = run("search", "zzz")
+    assert code == 0 and said.out.startswith("0 passages in 0 files")
+    code, said = run("audit", "--json")
+    assert {"findings", "extraction_issues"} == set(json.loads(said.out)) and json.loads(said.out)["extraction_issues"][0]["path"] == "bad.pdf"
+    code, said = run("pack", "storage engine", "--budget", "400", "--output", str(tmp_path / "o"), "--dry-run", "--explain")
+    assert code == 0 and "Selected, the first 5:" in said.out and "score" in said.out and not (tmp_path / "o").exists()
+    code, said = run("pack", "storage engine", "--budget", "400", "--output", str(tmp_path / "o"))
+    assert code == 0 and {p.name for p in (tmp_path / "o").iterdir()} == {"b.md", *config.OUTPUTS[1:]}
+    assert run("index", "clear")[1].out == "cleared\n" and run("pack", " ")[0] == 1
 
 
 def test_streamed_findings(spark, tmp_path):
@@ -231,8 +264,13 @@ def test_streamed_findings(spark, tmp_path):
     run.awaitTermination(60)
     assert {r.kind for r in spark.table("streamed").collect()} == {"Email address", "Phone number"}
     held = index.Index(spark, str(tmp_path / "i"))
-    ingest.keep_indexed(docs, held, str(tmp_path / "c")).awaitTermination(60)
-    assert held.chunks().count() == 1
+    for k in range(3):
+        if k:
+            rows = [("a", "text", f"new {k}", 1, k + 1), (f"b{k}", "text", "one\n\ntwo", 1, 1)]
+            spark.createDataFrame(rows, docs.schema).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.keep_indexed(docs, held, str(tmp_path / "c")).awaitTermination(60)
+    assert sorted((r.path, r.text) for r in held.chunks().collect()) == [("a", "new 2"), ("b1", "one"), ("b1", "two"), ("b2", "one"), ("b2", "two")]
+    assert held.files().count() == 3 and len(held._pointer()["parts"]) == 3
 
 
 def test_pdf_streams_that_cannot_be_read(tmp_path):
