@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import kinds
 from marlstone.functions import text as T
 from marlstone.operators import audit, budget, chunk, index, pack, rank, search
-from marlstone.plans import literals, oracle
+from marlstone.plans import literals, oracle, tree
 from marlstone.session import table
 
 FLAGSHIP = "composite_rank"
@@ -289,8 +289,8 @@ def index_state(spark, sf):
 
 
 def queries() -> dict:
-    return dict(_found)
+    return _found | {f.__name__: f for f in tree.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements(QUERY.split())
+    return oracle.statements(QUERY.split()) | tree.statements()

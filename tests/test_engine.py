@@ -1,7 +1,6 @@
 """Behaviour of the engine's own operators on small literal inputs."""
 
 import json
-import zipfile
 from pathlib import Path
 
 import pytest
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from marlstone import cli, config
 from marlstone.functions import text as T
 from marlstone.operators import audit, budget, chunk, index, pack, rank, search
+from marlstone.plans import tree
 from marlstone.sources import extract, files
 
 
@@ -141,31 +141,8 @@ def test_spans(spark):
     assert [tuple(r) for r in got] == [("a", 1, 3, "x\n\ny", True), ("a", 6, 7, "z", False), ("b", 1, 2, "w", False)]
 
 
-def build(folder: Path) -> Path:
-    (folder / "docs/.hidden").mkdir(parents=True)
-    (folder / "node_modules").mkdir()
-    (folder / "docs/a.md").write_text("# Storage engine\n\nThe storage engine keeps pages.\nAPI_KEY=abcdefgh12345\n\n# Other\n\nnothing here")
-    (folder / "docs/b.html").write_text("<h1>Engine</h1><p>fast &amp; small storage</p>")
-    (folder / "docs/.hidden/x.md").write_text("storage")
-    (folder / "node_modules/y.md").write_text("storage")
-    (folder / ".env").write_text("contact=me@mail.example.org")
-    (folder / "image.txt").write_bytes(b"a\0b")
-    (folder / "bad.pdf").write_bytes(b"nothing")
-    (folder / "cut.txt").write_bytes(b"a" * 8191 + "é".encode() + b"z")
-    body = b"BT /F1 12 Tf (Paged storage) Tj 0 -14 Td [(in a ) -300 (file\\))] TJ ET"
-    (folder / "c.pdf").write_bytes(b"%PDF-1.4\n1 0 obj << /Length 60 >>\nstream\n" + body + b"\nendstream endobj\n")
-    with zipfile.ZipFile(folder / "d.docx", "w") as z:
-        z.writestr("word/document.xml", '<w:document xmlns:w="w"><w:p><w:r><w:t>First &amp; storage</w:t></w:r></w:p><w:p><w:r><w:t>x</w:t><w:tab/><w:t>y</w:t></w:r></w:p></w:document>')
-    with zipfile.ZipFile(folder / "e.epub", "w") as z:
-        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="O/p.opf"/></rootfiles></container>')
-        z.writestr("O/p.opf", '<package><manifest><item id="1" href="t%201.xhtml" media-type="application/xhtml+xml"/><item id="2" href="u.xhtml" media-type="application/xhtml+xml"/><item id="n" href="n.xhtml" media-type="application/xhtml+xml" properties="nav"/></manifest><spine><itemref idref="2"/><itemref idref="1"/><itemref idref="n"/></spine></package>')
-        z.writestr("O/t 1.xhtml", "<p>second</p>")
-        z.writestr("O/u.xhtml", "<p>first storage</p>")
-    return folder
-
-
 def test_scan_extract_index_and_pack(spark, tmp_path):
-    source = build(tmp_path / "s")
+    source = tree.build(tmp_path / "s")
     options = config.ScanOptions()
     found = files.scan(spark, str(source), options)
     assert {r.path for r in found.files.collect()} == {"docs/a.md", "docs/b.html", ".env", "bad.pdf", "c.pdf", "cut.txt", "d.docx", "e.epub"}
@@ -233,7 +210,7 @@ def test_config(tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    source = build(tmp_path / "s")
+    source = tree.build(tmp_path / "s")
     (source / config.NAME).write_text('[scanner]\nexclude_paths = ["cut.txt"]\n[output]\nbundle = "b.md"\n')
     run = lambda *words: (cli.main([*words, "--source", str(source)]), capsys.readouterr())
     code, said = run("index", "build", "--verbose")
