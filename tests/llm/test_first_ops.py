@@ -261,13 +261,14 @@ def test_wrapped_licenses(spark):
 
 
 def test_language_by_brute_force(small):
-    model = langid.learn(small, order=2, sample=20)
-    counts = {}
-    for language, code, n in zip(model.language, model.code, model.n, strict=True):
-        context = (code // langid.CLASSES**2, code // langid.CLASSES % langid.CLASSES, code % langid.CLASSES)
-        for k in range(3):
-            counts.setdefault((language, context[k:-1]), {}).setdefault(context[-1], 0)
-            counts[language, context[k:-1]][context[-1]] += int(n)
+    model, counts = langid.learn(small, order=2, sample=10**6), {}
+    for r in small.collect():
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            language, s = model.languages.index(r.lang), b"  " + r.text.encode()
+            for i in range(2, len(s)):
+                for k in range(3):
+                    seen = counts.setdefault((language, tuple(s[i - 2 + k : i])), {})
+                    seen[s[i]] = seen.get(s[i], 0) + 1
 
     def p(language, context, s):
         if context is None:
@@ -276,7 +277,7 @@ def test_language_by_brute_force(small):
         n, d = sum(seen.values()), len(seen)
         return seen[s] / (n + d) if s in seen else d * shorter / (n + d) if n else shorter
 
-    texts = [r.text.encode()[:300] for r in small.limit(5).collect()]
+    texts = [r.text.encode() for r in small.limit(12).collect()]
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     got = model.bits(data, bounds)
@@ -284,7 +285,7 @@ def test_language_by_brute_force(small):
         s = [langid.SPACE] * 2 + [int(langid.FOLD[b]) for b in t]
         for language in range(len(model.languages)):
             want = sum(-np.log2(p(language, tuple(s[i - 2 : i]), s[i])) for i in range(2, len(s)))
-            assert abs(row[language] - want) < 1e-2
+            assert abs(row[language] - want) < 1e-5 * want + 1e-2
 
 
 def test_language_order_with_many_languages(spark):

@@ -322,23 +322,91 @@ def test_warc_audit_of_an_independent_replica(spark):
     assert {r.state for r in warc.audit(spark.createDataFrame([], kinds), spark.createDataFrame(mine, kinds)).collect()} == {"extra"}
 
 
-def test_pipeline(spark):
+def brute_cut(texts):
+    """Texts without the bytes of 200-byte strings that start twice; halves of characters go."""
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[k : k + 200] for d in data for k in range(len(d) - 199))
+    out = []
+    for t, d in zip(texts, data, strict=True):
+        gone = bytearray(len(d))
+        for k in range(len(d) - 199):
+            if seen[d[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        runs = re.finditer(rb"\0+", bytes(gone))
+        out.append(None if t is None else "".join(d[m.start() : m.end()].decode("utf-8", "ignore") for m in runs))
+    return out
+
+
+def run_by_hand(docs, items, known, contaminated):
+    """(doc_id, text) after the four filtering stages, each by brute force on what the one before left."""
+    left = [(r.doc_id, r.text) for r in docs if known(r.text)]
+    left = sorted(set(left), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    classes, links = brute_links([t for _, t in left])
+    left = [r for i, r in enumerate(left) if classes[i] == i]
+    left = list(zip([i for i, _ in left], brute_cut([t for _, t in left]), strict=True))
+    return [(i, t) for i, t in left if not contaminated(t, items)]
+
+
+def test_pipeline(spark, tmp_path, odd):
     import corpus_pipeline
-    from marlstone.llm import contamination, langid
+    from test_first_ops import brute_contamination
+
+    from marlstone.llm import langid
 
-    sf = "/root/testdata/sf0.001"
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard", "suffix_dedup", "decontamination", "sentencepiece"]
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    known = {r.doc_id for r in langid.digest(docs).where("lang_pred != 'und'").collect()}
-    left = {r.doc_id: r.text for r in docs.collect() if r.doc_id in known}
-    order = sorted(left)
-    classes, _ = brute_links([left[i] for i in order])
-    one = {order[c] for c in classes}
-    kept = [left[i] for i in sorted(one)]
-    got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
-    assert set(got) <= one and all(r.round_trip for r in got.values())
-    sizes = dict(zip(sorted(one), brute_dedup(kept), strict=True))
-    assert all(abs(r.n_bytes - (sizes[i][0] - sizes[i][1])) <= 3 * (sizes[i][2] + 1) for i, r in got.items())
+    sf = "/root/testdata/sf0.001"
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    dirty = {r.doc_id for r in contamination.digest(docs, bench).where("contaminated").collect()}
-    assert one - set(got) <= dirty
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    vocabulary = _trie.load()
+    odd_folder = tmp_path / "odd"
+    kept = odd.where("lang is not null or doc_id in (5, 10, 11)").withColumn("lang", F.lit("en"))
+    kept.write.parquet(f"{odd_folder}/documents.parquet")
+    bench.write.parquet(f"{odd_folder}/benchmark.parquet")
+    for folder in (sf, str(odd_folder)):
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        model = langid.learn(docs)
+
+        def known(text, model=model):
+            data = np.frombuffer((text or "").encode(), dtype=np.uint8)
+            bits = model.bits(data, np.array([0, len(data)]))[0].min() if len(data) else 0
+            return any(c.isalpha() for c in text or "") and bits <= 8 * len(data)
+
+        want = run_by_hand(docs.collect(), items, known, lambda t, i: brute_contamination(t, i)[-1])
+        got = corpus_pipeline.run(spark, folder).collect()
+        back = sorted((str(r.doc_id), b"".join(vocabulary.texts[i] for i in r.ids)[1:].decode()) for r in got)
+        assert back == sorted((str(i), t) for i, t in want) and all(r.round_trip and r.n_pieces == len(r.ids) for r in got)
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES:  # odd columns, and empty tables
+        out = stage(spark, docs, str(odd_folder))
+        assert stage(spark, docs.limit(0), str(odd_folder)).count() == 0
+        if name != "sentencepiece":
+            assert out.columns == odd.columns
+            docs = spark.createDataFrame(out.collect(), odd.schema)
+
+
+def test_jaccard_recall_on_table(spark):
+    """Every link and class of sf0.01 against exact similarities by an inverted index."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    sets = []
+    for r in rows:
+        w = words(r.text)
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    places = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            places.setdefault(g, []).append(i)
+    shared = Counter((i, j) for held in places.values() for x, j in enumerate(held) for i in held[:x])
+    links, parent = [0] * len(rows), list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (i, j), n in shared.items():
+        if n / (len(sets[i]) + len(sets[j]) - n) >= 0.8:
+            links[i] += 1
+            links[j] += 1
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.digest(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert sum(links) > 200 and got == {r.doc_id: (rows[root(i)].doc_id, links[i]) for i, r in enumerate(rows)}
