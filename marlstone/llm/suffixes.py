@@ -47,6 +47,8 @@ MOST_HOT = 2_000
 BATCH = 6_000
 LEFT, RIGHT = WINDOW - 1, LENGTH
 _PLACE = 1 << 20
+#: Columns that name a row while texts and spans meet; callers' columns may have any other name.
+KEYS, WANTED, FOUND = ("__row_key", "__crc"), "__wanted", "__spans"
 #: Bases of the prefix hashes; a batch goes on to the next one when strings collide.
 BASES = (BASE, 0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
@@ -89,11 +91,11 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _row_keys() -> tuple[Column, Column]:
-    return F.xxhash64("doc_id", "text").alias("row_key"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("crc")
+    return F.xxhash64("doc_id", "text").alias(KEYS[0]), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias(KEYS[1])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", *_row_keys())
+    return docs.select(*docs.columns, *_row_keys())
 
 
 ANCHORS = pa.schema([("row_key", pa.int64()), ("crc", pa.int64()), ("at", pa.int64()), ("gram", pa.int64()), ("context", pa.int64())])
@@ -114,7 +116,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 take = pa.array(text)
                 yield pa.RecordBatch.from_arrays([rows.column("row_key").take(take), rows.column("crc").take(take), pa.array(at - bounds[text]), pa.array(gram.view(np.int64)), pa.array(np.array(context, dtype=U64).view(np.int64))], schema=ANCHORS)
 
-    return docs.mapInArrow(run, ANCHORS_DDL)
+    return docs.select("text", F.col(KEYS[0]).alias("row_key"), F.col(KEYS[1]).alias("crc")).mapInArrow(run, ANCHORS_DDL)
 
 
 class Contexts:
@@ -254,7 +256,7 @@ def _extract(joined: DataFrame) -> DataFrame:
         for batch in batches:
             for rows, data, bounds in slices(batch, "text"):
                 raw, out = data.tobytes(), []
-                for key, crc, wanted, a, b in zip(rows.column("row_key").to_pylist(), rows.column("crc").to_pylist(), rows.column("wanted").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                for key, crc, wanted, a, b in zip(*(rows.column(c).to_pylist() for c in (*KEYS, WANTED)), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     for w in wanted:
                         p = a + w["at"]
                         out.append((w["gram"], w["part"], key, crc, w["at"], raw[max(a, p - LEFT) : p], raw[p : min(b, p + RIGHT)]))
@@ -363,19 +365,24 @@ def _shared(found: DataFrame, files: int) -> DataFrame:
 
 
 def spans(keyed: DataFrame) -> DataFrame:
-    """(row_key, crc, spans): for each text with any, spans of bytes to remove; they may overlap or pass the text's ends."""
+    """`keyed` with, for each text that has any, the spans of bytes to remove; they may overlap or pass the text's ends.
+
+    Texts meet the anchors that are wanted of them, and the spans in the end, by one exchange with
+    all columns.
+    """
     files = files_for(keyed)
     shared = _shared(anchor_rows(keyed), files).withColumn("large", ~F.col("alike") & (F.col("n") > LARGE))
     listed = cut_lineage(shared.groupBy("row_key", "crc").agg(F.collect_set(F.struct("at", "gram", "part", "large")).alias("wanted")), files)
 
     def extracted(large: bool) -> DataFrame:
-        wanted = F.filter("wanted", lambda w: w["large"] == F.lit(large)).alias("wanted")
-        return _extract(keyed.join(listed.select("row_key", "crc", wanted).where(F.size("wanted") > 0), ["row_key", "crc"]))
+        wanted = listed.select(F.col("row_key").alias(KEYS[0]), F.col("crc").alias(KEYS[1]), F.filter("wanted", lambda w: w["large"] == F.lit(large)).alias(WANTED))
+        return _extract(keyed.join(wanted.where(F.size(WANTED) > 0), list(KEYS)))
 
     out = _sorted_spans(extracted(False).repartition("gram", "part").sortWithinPartitions("gram", "part"))
     if listed.where(F.exists("wanted", lambda w: w["large"])).limit(1).count():
         out = out.union(_string_spans(extracted(True), files))
-    return out.groupBy("row_key", "crc").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    found = out.groupBy(F.col("row_key").alias(KEYS[0]), F.col("crc").alias(KEYS[1])).agg(F.collect_set(F.struct("first", "last")).alias(FOUND))
+    return keyed.join(found, list(KEYS), "left")
 
 
 def kept_runs(found: list[dict] | None, n: int) -> list[tuple[int, int]]:
@@ -399,7 +406,7 @@ def digest(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for rows, data, bounds in slices(batch, "text"):
                 out = []
-                for found, a, b in zip(rows.column("spans").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                for found, a, b in zip(rows.column(FOUND).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     kept = kept_runs(found, b - a)
                     inner = [0, *(k for run in kept for k in run), b - a]
                     removed = [y - x for x, y in zip(inner[::2], inner[1::2], strict=True) if y > x]
@@ -407,8 +414,7 @@ def digest(docs: DataFrame) -> DataFrame:
                     out.append((b - a, sum(removed), len(removed), hashlib.sha256(stays).hexdigest()))
                 yield result(DIGEST, {"doc_id": rows.column("doc_id").cast(pa.int64())} | dict(zip(DIGEST.names[1:], map(list, zip(*out, strict=True)), strict=True)))
 
-    keyed = _keyed(docs)
-    return keyed.join(spans(keyed), ["row_key", "crc"], "left").mapInArrow(run, DIGEST_DDL)
+    return spans(_keyed(docs.select("doc_id", "text"))).mapInArrow(run, DIGEST_DDL)
 
 
 def cut(docs: DataFrame, length_column: str = "n_chars") -> DataFrame:
@@ -422,13 +428,11 @@ def cut(docs: DataFrame, length_column: str = "n_chars") -> DataFrame:
         for batch in batches:
             for rows, data, bounds in slices(batch, "text"):
                 texts = []
-                for found, text, a, b in zip(rows.column("__spans").to_pylist(), rows.column("text").is_null().to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                for found, text, a, b in zip(rows.column(FOUND).to_pylist(), rows.column("text").is_null().to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     kept = [data[a + x : a + y].tobytes().decode("utf-8", "ignore") for x, y in kept_runs(found, b - a)]
                     texts.append(None if text else "".join(kept))
                 columns = {"text": texts, length_column: [None if t is None else len(t) for t in texts]}
                 names = schema.names
                 yield pa.RecordBatch.from_arrays([pa.array(columns[n], rows.schema.field(n).type) if n in columns else rows.column(n) for n in names], names=names)
 
-    found = spans(_keyed(docs)).select(F.col("row_key").alias("__row_key"), F.col("crc").alias("__crc"), F.col("spans").alias("__spans"))
-    key, crc = _row_keys()
-    return docs.withColumn("__row_key", key).withColumn("__crc", crc).join(found, ["__row_key", "__crc"], "left").mapInArrow(run, schema)
+    return spans(_keyed(docs)).mapInArrow(run, schema)
