@@ -187,7 +187,7 @@ def test_scan_extract_index_and_pack(spark, tmp_path):
 
 
 def test_scan_filters(tmp_path):
-    source = build(tmp_path)
+    source = tree.build(tmp_path)
     names = lambda **o: {p for p, _, _, reason in files.walk(str(source), config.ScanOptions(**o)) if reason is None}
     assert names(included=("docs",), excluded=("docs/b.html",)) == {"docs/a.md"}
     with pytest.raises(FileNotFoundError):
