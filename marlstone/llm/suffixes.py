@@ -12,9 +12,14 @@ search give the common extension of two suffixes, a bottom-up mergesort orders a
 batch at once, and neighbours' extensions tell, for each offset, which anchors share the whole
 string. What is found is confirmed byte by byte; if two strings collide in their hashes, the
 batch is sorted again under another base. Groups of one context only (many copies of one text)
-are dealt out in parts, for each part's bytes confirm each other. Other groups too large for one
-task are settled by grouping their whole strings by two hashes of together 192 bits, which needs
-no group in one place.
+are dealt out in parts, for each part's bytes confirm each other.
+
+Other groups too large for one task are dealt out in parts too, and each part is sorted by itself.
+A string found twice in a part is settled there, and one of its rows goes on as a witness for other
+parts; what a row shares with none goes on as well. So for each string either all rows are settled
+or those that are not meet a row that has it. Rows go on with quarters of their interval of offsets,
+grouped by the bytes that all strings at these offsets hold, so that four rounds end with single
+strings, whose groups agree in all that counts.
 
 Defined cases: a null text is empty; a text shorter than LENGTH loses nothing; equal texts (also
 repeated rows) of at least LENGTH bytes lose everything; an empty table gives no rows; strings
@@ -24,7 +29,7 @@ are bytes and may begin or end inside a character; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +42,14 @@ from marlstone.session import cut_lineage, files_for
 
 LENGTH, GRAM = 200, 48
 WINDOW = LENGTH - GRAM + 1
-#: Anchor groups above this many rows are settled by whole strings; one task sorts as many in about 250 MB.
+#: Groups above this many rows are sorted in parts, round by round; one task sorts as many in about 250 MB.
 LARGE = 100_000
-#: Rows of a part of a group that has one context only, and of a group that the join by anchor hash takes as one.
+#: Rows of a part of a group, and of a group that the join by anchor hash takes as one.
 PART, HOT = 20_000, 10_000
 #: Groups that are split in that join at most.
 MOST_HOT = 2_000
+#: Parts of an interval of offsets in the next round.
+SPLIT = 4
 #: Rows that one vectorised sort takes.
 BATCH = 6_000
 LEFT, RIGHT = WINDOW - 1, LENGTH
@@ -203,12 +210,16 @@ def mergesort(contexts: Contexts, begins: np.ndarray, sizes: np.ndarray, backwar
     return order
 
 
-def covered(contexts: Contexts, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How far before and after each anchor bytes lie in strings that another anchor of its group shares."""
+def covered(contexts: Contexts, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How far before and after each anchor bytes lie in strings that another anchor of its group shares.
+
+    Also, for each row and offset, whether an earlier row has the string that begins so far before the anchor.
+    """
     n = int(sizes.sum())
     before, after = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    again = np.zeros((n, LEFT + 1), dtype=bool)
     if not n:
-        return before, after
+        return before, after, again
     orders, shared = [], []
     for backward in (False, True):
         order = mergesort(contexts, begins, sizes, backward)
@@ -231,6 +242,7 @@ def covered(contexts: Contexts, begins: np.ndarray, sizes: np.ndarray) -> tuple[
         key, able = key[by_key], able[by_key]
         twin = np.flatnonzero(key[1:] == key[:-1])
         a, b = able[twin], able[twin + 1]
+        again[b, back] = True
         for hit, other in ((a, b), (b, a)):
             new = after[hit] == 0
             after[hit[new]], twins[0, hit[new]] = ahead, other[new]
@@ -241,7 +253,7 @@ def covered(contexts: Contexts, begins: np.ndarray, sizes: np.ndarray) -> tuple[
             i, j, columns = hit[c : c + 4096, None], twin[c : c + 4096, None], LEFT - first[c : c + 4096, None] + np.arange(LENGTH)
             if not (contexts.bytes[i, columns] == contexts.bytes[j, columns]).all():
                 raise Collision
-    return before, after
+    return before, after, again
 
 
 SPANS = pa.schema([("row_key", pa.int64()), ("crc", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
@@ -268,6 +280,11 @@ def _extract(joined: DataFrame) -> DataFrame:
 
 def settled(left: pa.ChunkedArray, right: pa.ChunkedArray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How far before and after each anchor bytes lie in strings that another row of its group shares."""
+    return matched(left, right, begins, sizes)[:2]
+
+
+def matched(left: pa.ChunkedArray, right: pa.ChunkedArray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `settled`, and for each row and offset whether another row stands for the string there."""
     group = np.repeat(np.arange(len(sizes)), sizes).tolist()
     number: dict[tuple, int] = {}
     of_row = np.array([number.setdefault(k, len(number)) for k in zip(group, left.to_pylist(), right.to_pylist(), strict=True)], dtype=np.int64)
@@ -277,7 +294,7 @@ def settled(left: pa.ChunkedArray, right: pa.ChunkedArray, begins: np.ndarray, s
     for k, base in enumerate(BASES):
         contexts = Contexts(left.take(take), right.take(take), base)
         try:
-            before, after = covered(contexts, np.cumsum(kinds_of_group) - kinds_of_group, kinds_of_group)
+            before, after, again = covered(contexts, np.cumsum(kinds_of_group) - kinds_of_group, kinds_of_group)
             break
         except Collision:
             if k == len(BASES) - 1:
@@ -285,64 +302,101 @@ def settled(left: pa.ChunkedArray, right: pa.ChunkedArray, begins: np.ndarray, s
     # copies of one context share all its strings, which take the whole of it if there is any
     copied = (n > 1) & (contexts.before + contexts.after >= LENGTH)
     before[copied], after[copied] = contexts.before[copied], contexts.after[copied]
-    return before[of_row], after[of_row]
+    again = again[of_row]
+    again[np.setdiff1d(np.arange(len(of_row)), first)] = True
+    return before[of_row], after[of_row], again
+
+
+def _group_begins(rows: pa.Table) -> np.ndarray:
+    """Where the groups after the first begin."""
+    return np.flatnonzero(np.any([(k := rows.column(c).to_numpy())[1:] != k[:-1] for c in ("gram", "part")], axis=0)) + 1
+
+
+def _spans_of(rows: pa.Table, before: np.ndarray, after: np.ndarray) -> list[pa.Array]:
+    at, hit = rows.column("at").to_numpy(), after > 0
+    return [pa.array(rows.column(c).to_numpy()[hit]) for c in ("row_key", "crc")] + [pa.array((at - before)[hit]), pa.array((at + after)[hit])]
+
+
+def _settle(rows: pa.Table, begins: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(_spans_of(rows, *settled(rows.column("left"), rows.column("right"), begins, sizes)), schema=SPANS)
 
 
-def _sorted_spans(contexts: DataFrame) -> DataFrame:
-    """Spans from contexts that are partitioned and sorted by gram and part."""
+def quarters(low: int, high: int) -> list[tuple[int, int]]:
+    """An interval's parts, the same for all rows that have it."""
+    size = -(-(high - low + 1) // SPLIT)
+    return [(k, min(high, k + size - 1)) for k in range(low, high + 1, size)]
 
-    def group_key(rows: pa.Table) -> np.ndarray:
-        return np.flatnonzero(np.any([(k := rows.column(c).to_numpy())[1:] != k[:-1] for c in ("gram", "part")], axis=0)) + 1
 
-    def settle(rows: pa.Table) -> pa.RecordBatch:
-        begins = np.append(0, group_key(rows))
-        before, after = settled(rows.column("left"), rows.column("right"), begins, np.diff(np.append(begins, rows.num_rows)))
-        at, hit = rows.column("at").to_numpy(), after > 0
-        return pa.RecordBatch.from_arrays([pa.array(rows.column(c).to_numpy()[hit]) for c in ("row_key", "crc")] + [pa.array((at - before)[hit]), pa.array((at + after)[hit])], schema=SPANS)
+NARROWED = pa.schema([*SPANS, ("at", pa.int64()), ("gram", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
+NARROWED_DDL = f"{SPANS_DDL}, at long, gram long, low int, high int, left binary, right binary"
+
+
+def _narrow(rows: pa.Table, begins: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """Spans that parts of groups show, and rows (first is null) that go on, each with an interval of offsets."""
+    before, after, again = matched(rows.column("left"), rows.column("right"), begins, sizes)
+    found = _spans_of(rows, before, after)
+    low, high = (rows.column(c).to_numpy() for c in ("low", "high"))
+    n_left, n_right = (np.diff(utf8(rows.column(c))[1]) for c in ("left", "right"))
+    back = np.arange(LEFT + 1)
+    stays = ~again & (back >= low[:, None]) & (back <= high[:, None]) & (back <= n_left[:, None]) & (LENGTH - back <= n_right[:, None])
+    pairs = np.unique(np.stack([low, high], axis=1), axis=0).tolist()
+    pieces = [(a, b, np.flatnonzero((low == x) & (high == y) & stays[:, a : b + 1].any(axis=1))) for x, y in pairs for a, b in quarters(x, y)]
+    take = np.concatenate([k for _, _, k in pieces])
+    rest = rows.take(pa.array(take)).combine_chunks()
+    none = pa.nulls(len(take), pa.int64())
+    more = [pa.array(np.repeat([p[k] for p in pieces], [len(p[2]) for p in pieces]), pa.int32()) for k in range(2)]
+    goes_on = {"first": none, "last": none, "low": more[0], "high": more[1]}
+    on = [goes_on[f.name] if f.name in goes_on else rest.column(f.name) for f in NARROWED]
+    first = [*found, *(pa.nulls(len(found[0]), f.type) for f in list(NARROWED)[len(SPANS) :])]
+    whole = pa.concat_tables([pa.Table.from_arrays(first, schema=NARROWED), pa.Table.from_arrays(on, schema=NARROWED)]).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in whole.columns], schema=NARROWED)
+
+
+def _by_group(contexts: DataFrame, settle: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch], ddl: str) -> DataFrame:
+    """`settle` over runs of whole groups of contexts (rows, where groups begin, their sizes), dealt out by gram and part."""
+
+    def grouped(rows: pa.Table) -> pa.RecordBatch:
+        begins = np.append(0, _group_begins(rows))
+        return settle(rows, begins, np.diff(np.append(begins, rows.num_rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             while held.num_rows > BATCH:
-                ends = group_key(held)
+                ends = _group_begins(held)
                 if not len(ends):
                     break
                 fit = ends[ends <= BATCH]
                 cut = int(fit[-1] if len(fit) else ends[0])
-                yield settle(held.slice(0, cut))
+                yield grouped(held.slice(0, cut))
                 held = held.slice(cut).combine_chunks()
         if held is not None and held.num_rows:
-            yield settle(held)
+            yield grouped(held)
 
-    return contexts.mapInArrow(run, SPANS_DDL)
+    return contexts.repartition("gram", "part").sortWithinPartitions("gram", "part").mapInArrow(run, ddl)
 
 
-def _string_spans(contexts: DataFrame, files: int) -> DataFrame:
-    """Spans of anchors in large groups: every whole string around them is grouped by two hashes of together 192 bits."""
-    schema = pa.schema([("string", pa.binary()), ("row_key", pa.int64()), ("crc", pa.int64()), ("first", pa.int64())])
-    second = 0x5BD1E995
+def _core_hash() -> Column:
+    """Names a group of rows that go on: by the bytes that all strings at an interval's offsets hold."""
+    before = F.substring("left", F.length("left") - F.col("low") + 1, F.col("low"))
+    return F.xxhash64("gram", "low", "high", before, F.substring("right", F.lit(1), F.lit(LENGTH) - F.col("high")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole = pa.array([a + b for a, b in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)], pa.binary())
-            rows = batch.append_column("whole", whole)
-            for part, data, bounds in slices(rows, "whole"):
-                left = np.array([len(x) for x in part.column("left").to_pylist()], dtype=np.int64)
-                raw = data.tobytes()
-                for starts, chosen in choices(data, bounds):
-                    # the strings of an anchor are those that choose it, so that each is listed once
-                    text = np.searchsorted(bounds[1:], starts, side="right")
-                    own = chosen == bounds[text] + left[text]
-                    starts, text = starts[own], text[own]
-                    strings = [xxhash.xxh3_128_digest(raw[k : k + LENGTH]) + xxhash.xxh64_digest(raw[k : k + LENGTH], second) for k in starts.tolist()]
-                    first = part.column("at").to_numpy()[text] - left[text] + starts - bounds[text]
-                    take = pa.array(text)
-                    yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), part.column("row_key").take(take), part.column("crc").take(take), pa.array(first)], schema=schema)
 
-    strings = contexts.mapInArrow(run, "string binary, row_key long, crc long, first long")
-    twice = cut_lineage(strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), files)
-    return _meet(strings, twice, "string", F.hash("row_key", "first")).select("row_key", "crc", "first", (F.col("first") + LENGTH).alias("last"))
+def _narrowed(contexts: DataFrame, files: int) -> DataFrame:
+    """Spans from the contexts of groups too large for one task, which lie in parts."""
+    todo, out = contexts.withColumn("low", F.lit(0)).withColumn("high", F.lit(LEFT)), None
+    while True:
+        made = cut_lineage(_by_group(todo, _narrow, NARROWED_DDL), files)
+        on = made.where("first is null").withColumn("gram", _core_hash()).withColumn("context", F.xxhash64("left", "right"))
+        shared = cut_lineage(_shared(on.drop("first", "last"), files, F.col("low") == F.col("high")), files)
+        too_large = ~F.col("alike") & (F.col("n") > LARGE) & (F.col("low") < F.col("high"))
+        found = made.where("first is not null").select(SPANS.names).union(_by_group(shared.where(~too_large), _settle, SPANS_DDL))
+        out = found if out is None else out.union(found)
+        todo = shared.where(too_large)
+        if not todo.limit(1).count():
+            break
+    return out
 
 
 def _meet(rows: DataFrame, groups: DataFrame, key: str, spread: Column) -> DataFrame:
@@ -356,12 +410,19 @@ def _meet(rows: DataFrame, groups: DataFrame, key: str, spread: Column) -> DataF
     return dealt.join(groups.withColumn("slice", F.explode(each)), [key, "slice"])
 
 
-def _shared(found: DataFrame, files: int) -> DataFrame:
-    """The anchors whose hash stands elsewhere too, with their group's size `n`, whether it has one context, and their part of it."""
-    groups = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1")
-    groups = cut_lineage(groups.select("gram", "n", (F.col("a") == F.col("b")).alias("alike")), files)
-    part = F.when(F.col("alike"), F.pmod(F.hash("at", "row_key"), F.ceil(F.col("n") / PART).cast("int"))).otherwise(F.lit(0))
-    return _meet(found, groups, "gram", F.hash("row_key", "at")).withColumn("part", part)
+def _shared(found: DataFrame, files: int, one_string: Column) -> DataFrame:
+    """The anchors whose group has others too, with its size `n`, whether it has one context, and their part of it.
+
+    Where any two rows confirm each other - `alike`, or `one_string` - a witness of the group stands
+    in each of its parts, so that no row is alone there.
+    """
+    name = F.xxhash64("row_key", "at")
+    groups = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("a"), F.max("context").alias("b"), F.min(name).alias("witness")).where("n > 1")
+    groups = cut_lineage(groups.select("gram", "n", "witness", (F.col("a") == F.col("b")).alias("alike")), files)
+    parts = F.when(F.col("alike") | (F.col("n") > LARGE), F.ceil(F.col("n") / PART).cast("int")).otherwise(F.lit(1))
+    everywhere = (F.col("alike") | one_string) & (name == F.col("witness"))
+    part = F.when(everywhere, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.hash("gram", "at", "row_key"), parts)))
+    return _meet(found, groups, "gram", F.hash("row_key", "at")).withColumn("part", F.explode(part)).drop("witness")
 
 
 def spans(keyed: DataFrame) -> DataFrame:
@@ -371,16 +432,16 @@ def spans(keyed: DataFrame) -> DataFrame:
     all columns.
     """
     files = files_for(keyed)
-    shared = _shared(anchor_rows(keyed), files).withColumn("large", ~F.col("alike") & (F.col("n") > LARGE))
+    shared = _shared(anchor_rows(keyed), files, F.lit(False)).withColumn("large", ~F.col("alike") & (F.col("n") > LARGE))
     listed = cut_lineage(shared.groupBy("row_key", "crc").agg(F.collect_set(F.struct("at", "gram", "part", "large")).alias("wanted")), files)
 
     def extracted(large: bool) -> DataFrame:
         wanted = listed.select(F.col("row_key").alias(KEYS[0]), F.col("crc").alias(KEYS[1]), F.filter("wanted", lambda w: w["large"] == F.lit(large)).alias(WANTED))
         return _extract(keyed.join(wanted.where(F.size(WANTED) > 0), list(KEYS)))
 
-    out = _sorted_spans(extracted(False).repartition("gram", "part").sortWithinPartitions("gram", "part"))
+    out = _by_group(extracted(False), _settle, SPANS_DDL)
     if listed.where(F.exists("wanted", lambda w: w["large"])).limit(1).count():
-        out = out.union(_string_spans(extracted(True), files))
+        out = out.union(_narrowed(extracted(True), files))
     found = out.groupBy(F.col("row_key").alias(KEYS[0]), F.col("crc").alias(KEYS[1])).agg(F.collect_set(F.struct("first", "last")).alias(FOUND))
     return keyed.join(found, list(KEYS), "left")
 

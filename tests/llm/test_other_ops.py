@@ -53,7 +53,7 @@ def test_suffix_sort_survives_a_collision(monkeypatch):
 
 @pytest.mark.parametrize("large", [20_000, 5])
 def test_suffix_dedup(spark, odd, small, large, monkeypatch):
-    monkeypatch.setattr(suffixes, "LARGE", large)  # small enough, the groups go by whole strings
+    monkeypatch.setattr(suffixes, "LARGE", large)  # small enough, groups are sorted in parts
     if large == 5:  # and groups are split in the join, and those of one context into parts
         monkeypatch.setattr(suffixes, "HOT", 3)
         monkeypatch.setattr(suffixes, "PART", 3)
@@ -67,6 +67,42 @@ def test_suffix_dedup(spark, odd, small, large, monkeypatch):
     assert kept.columns == odd.columns and kept.where("text is null").count() == 1 and kept.where("n_chars != length(text)").count() == 0
 
 
+def crowded_texts():
+    """One passage cut at any place in many surroundings, some of which a few texts share a bit further; copies among them."""
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
+    passage, sides = some(420), [some(120) for _ in range(12)]
+    texts = []
+    for k in range(240):
+        a, b = rng.randrange(180), rng.randrange(200, 420)
+        before = rng.choice(sides)[rng.randrange(100) :] if k % 2 else some(60)
+        a, b = (0, b) if k % 2 else (a, 420 if k % 3 else b)
+        after = rng.choice(sides)[: rng.randrange(20, 120)] if k % 5 else some(60)
+        texts.append(before + passage[a:b] + after)
+    return texts + texts[:40] * 2 + [some(100) + passage[60:250] + some(100) for _ in range(40)]
+
+
+@pytest.mark.parametrize(("large", "part"), [(40, 20), (24, 12)])
+def test_suffix_dedup_of_crowded_anchors(spark, large, part, monkeypatch):
+    """Groups over `large` rows are sorted part by part; nothing that two parts share may get lost."""
+    for name, n in (("LARGE", large), ("PART", part), ("HOT", 16)):
+        monkeypatch.setattr(suffixes, name, n)
+    rounds = []
+    monkeypatch.setattr(suffixes, "_narrowed", lambda *a, made=suffixes._narrowed: rounds.append(1) or made(*a))
+    texts = crowded_texts()
+    got = sorted(tuple(r) for r in suffixes.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == [(i, *rest) for i, rest in enumerate(brute_dedup(texts))] and rounds
+
+
+def test_quarters_of_intervals():
+    """They hold each place once, and four rounds end with single places."""
+    held = [(0, suffixes.LEFT)]
+    for _ in range(4):
+        held = [q for low, high in held for q in suffixes.quarters(low, high)]
+        assert [k for a, b in held for k in range(a, b + 1)] == list(range(suffixes.LEFT + 1))
+    assert all(a == b for a, b in held)
+
+
 def brute_links(texts, least=0.8):
     sets = []
     for t in texts:
