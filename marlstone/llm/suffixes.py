@@ -389,7 +389,7 @@ def _narrowed(contexts: DataFrame, files: int) -> DataFrame:
     while True:
         made = cut_lineage(_by_group(todo, _narrow, NARROWED_DDL), files)
         on = made.where("first is null").withColumn("gram", _core_hash()).withColumn("context", F.xxhash64("left", "right"))
-        shared = cut_lineage(_shared(on.drop("first", "last"), files, F.col("low") == F.col("high")), files)
+        shared = cut_lineage(_shared(on.drop("first", "last"), files), files)
         too_large = ~F.col("alike") & (F.col("n") > LARGE) & (F.col("low") < F.col("high"))
         found = made.where("first is not null").select(SPANS.names).union(_by_group(shared.where(~too_large), _settle, SPANS_DDL))
         out = found if out is None else out.union(found)
@@ -410,19 +410,16 @@ def _meet(rows: DataFrame, groups: DataFrame, key: str, spread: Column) -> DataF
     return dealt.join(groups.withColumn("slice", F.explode(each)), [key, "slice"])
 
 
-def _shared(found: DataFrame, files: int, one_string: Column) -> DataFrame:
+def _shared(found: DataFrame, files: int) -> DataFrame:
     """The anchors whose group has others too, with its size `n`, whether it has one context, and their part of it.
 
-    Where any two rows confirm each other - `alike`, or `one_string` - a witness of the group stands
-    in each of its parts, so that no row is alone there.
+    Parts hold PART / 2 rows or more on average, so that none is left with a single row.
     """
-    name = F.xxhash64("row_key", "at")
-    groups = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("a"), F.max("context").alias("b"), F.min(name).alias("witness")).where("n > 1")
-    groups = cut_lineage(groups.select("gram", "n", "witness", (F.col("a") == F.col("b")).alias("alike")), files)
-    parts = F.when(F.col("alike") | (F.col("n") > LARGE), F.ceil(F.col("n") / PART).cast("int")).otherwise(F.lit(1))
-    everywhere = (F.col("alike") | one_string) & (name == F.col("witness"))
-    part = F.when(everywhere, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.hash("gram", "at", "row_key"), parts)))
-    return _meet(found, groups, "gram", F.hash("row_key", "at")).withColumn("part", F.explode(part)).drop("witness")
+    groups = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1")
+    groups = cut_lineage(groups.select("gram", "n", (F.col("a") == F.col("b")).alias("alike")), files)
+    in_parts = F.col("alike") | (F.col("n") > LARGE)
+    part = F.when(in_parts, F.pmod(F.hash("gram", "at", "row_key"), F.ceil(F.col("n") / PART).cast("int"))).otherwise(F.lit(0))
+    return _meet(found, groups, "gram", F.hash("row_key", "at")).withColumn("part", part)
 
 
 def spans(keyed: DataFrame) -> DataFrame:
@@ -432,7 +429,7 @@ def spans(keyed: DataFrame) -> DataFrame:
     all columns.
     """
     files = files_for(keyed)
-    shared = _shared(anchor_rows(keyed), files, F.lit(False)).withColumn("large", ~F.col("alike") & (F.col("n") > LARGE))
+    shared = _shared(anchor_rows(keyed), files).withColumn("large", ~F.col("alike") & (F.col("n") > LARGE))
     listed = cut_lineage(shared.groupBy("row_key", "crc").agg(F.collect_set(F.struct("at", "gram", "part", "large")).alias("wanted")), files)
 
     def extracted(large: bool) -> DataFrame:
