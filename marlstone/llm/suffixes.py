@@ -431,8 +431,6 @@ def spans(keyed: DataFrame) -> DataFrame:
     files = files_for(keyed)
     shared = _shared(anchor_rows(keyed), files).withColumn("large", ~F.col("alike") & (F.col("n") > LARGE))
     listed = cut_lineage(shared.groupBy("row_key", "crc").agg(F.collect_set(F.struct("at", "gram", "part", "large")).alias("wanted")), files)
-    # the anchors' shuffles are done with; their files go once the driver's collector finds that
-    keyed.sparkSession._jvm.System.gc()
 
     def extracted(large: bool) -> DataFrame:
         wanted = listed.select(F.col("row_key").alias(KEYS[0]), F.col("crc").alias(KEYS[1]), F.filter("wanted", lambda w: w["large"] == F.lit(large)).alias(WANTED))
