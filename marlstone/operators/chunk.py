@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marlstone.functions import text as T
 
@@ -108,13 +109,32 @@ def table_rows(docs: DataFrame) -> DataFrame:
     """The header and 25 rows to a passage."""
     filled = F.filter(_lines(F.col("text")), lambda x: ~T.blank(x["content"]))
     rows = lambda of: F.when(F.size(of) > 1, F.sequence(F.lit(1), F.size(of) - 1, F.lit(ROWS))).otherwise(_places(of))
-    held = docs.select("path", "kind", once(filled, lambda of: F.struct(F.get(of, F.lit(0)).alias("header"), once(rows(of), lambda c: parts(c, of)).alias("parts"))).alias("h"))
+    # each piece takes the header along: a column beside the pieces would bring all of them into every row
+    headed = lambda of: F.transform(once(rows(of), lambda c: parts(c, of)), lambda p: F.struct(F.get(of, F.lit(0)).alias("header"), p.alias("rows")))
+    held = docs.select("path", "kind", F.explode(once(filled, headed)).alias("h")).select("path", "kind", "h.header", "h.rows")
     # the header is part of every passage's text, but its line isn't where the passage begins
-    held = held.select("path", "kind", "h.header", F.explode("h.parts").alias("rows"))
     made = _chunks(held.withColumn("lines", F.when(F.col("rows")[0]["line"] == F.col("header.line"), F.col("rows")).otherwise(F.concat(F.array("header"), "rows"))), F.lit("table rows"), F.col("header.content"))
     return made.withColumn("start_line", F.coalesce(F.get("src_lines", F.lit(1)), F.col("start_line")))
 
 
+def listed_rows(rows: DataFrame, header: str) -> DataFrame:
+    """What `table_rows` makes of delimited documents that come row by row: (path, kind, at, content), in the order of `at`, then content, below the header.
+
+    No document is put together, so its length is bounded by no task's memory: rows are counted in a
+    sort by path, which goes to disk, and meet only the 25 of their passage.
+    """
+    if not header.strip() or "\n" in header:
+        raise ValueError("the header is a line that isn't blank")
+    by_place = Window.partitionBy("path").orderBy("at", "content")
+    filled = ~T.blank(F.col("content"))
+    counted = rows.select("path", "kind", "content", (F.row_number().over(by_place) + 1).cast("long").alias("line"), F.sum(filled.cast("long")).over(by_place.rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
+    part = F.floor(F.greatest(F.col("n") - 1, F.lit(0)) / ROWS)  # blank rows go with what precedes them
+    held = counted.groupBy("path", "kind", part.alias("part")).agg(F.array_sort(F.collect_list(F.when(filled, F.struct("line", "content")))).alias("rows"))
+    first = F.struct(F.lit(1).cast("long").alias("line"), F.lit(header).alias("content"))
+    made = _chunks(held.select("path", "kind", F.concat(F.array(first), "rows").alias("lines")), F.lit("table rows"), F.lit(header))
+    return made.withColumn("start_line", F.coalesce(F.get("src_lines", F.lit(1)), F.col("start_line")))
+
+
 def extracted(docs: DataFrame) -> DataFrame:
     """Passages of extracted documents: cut before headings and at 1200 characters, and after a sentence from 700 on.
 

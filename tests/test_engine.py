@@ -1,6 +1,7 @@
 """Behaviour of the engine's own operators on small literal inputs."""
 
 import json
+import re
 from pathlib import Path
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from marlstone import cli, config
 from marlstone.functions import text as T
 from marlstone.operators import audit, budget, chunk, index, pack, rank, search
-from marlstone.plans import tree
+from marlstone.plans import registry, tree
 from marlstone.sources import extract, files
 
 
@@ -270,3 +271,27 @@ def test_pdf_streams_that_cannot_be_read(tmp_path):
     large = zlib.compress(b"BT (first) Tj ET" + b" " * (65 << 20) + b"BT (last) Tj ET")
     with pytest.raises(ValueError, match="too large"):
         extract.pdf(file("d.pdf", (flate, page), (flate, large)), 20)
+
+
+def test_listed_rows_are_those_of_the_whole_text(spark):
+    texts = {"a": ["1,x", "", "2,y", " ", *map(str, range(60)), ""], "b": [str(i) for i in range(50)], "c": ["", " "], "d": [], "e": ["", "7"]}
+    whole = spark.createDataFrame([(p, "csv", "\n".join(["h,k", *rows, "end"][: len(rows) + 1])) for p, rows in texts.items()], "path string, kind string, text string")
+    listed = spark.createDataFrame([(p, "csv", i, row) for p, rows in texts.items() for i, row in enumerate(rows)], "path string, kind string, at long, content string").orderBy(F.rand(1))
+    want = sorted(map(str, chunk.table_rows(whole).where("path != 'd'").collect()))
+    assert sorted(map(str, chunk.listed_rows(listed, "h,k").collect())) == want and len(want) == 3 + 2 + 1 + 1
+    with pytest.raises(ValueError, match="header"):
+        chunk.listed_rows(listed, " ")
+
+
+def test_table_passages_carry_no_document(spark):
+    """A row for each passage that holds all passages beside its own filled an executor's memory."""
+    docs = spark.createDataFrame([("p", "csv", "h\n" + "\n".join(map(str, range(60))))], "path string, kind string, text string")
+    plan = chunk.table_rows(docs)._jdf.queryExecution().executedPlan().toString()
+    (carried,) = re.findall(r"\[path#\d+((?:, \w+#\d+)*)\], false, \[\w+#\d+\]", plan)
+    assert "h#" not in carried
+    assert [(r.start_line, r.end_line) for r in chunk.table_rows(docs).collect()] == [(2, 26), (27, 51), (52, 61)]
+
+
+def test_orders_are_chunked_without_collecting_documents(spark):
+    plan = registry.chunk_table_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "n#" in plan and plan.count("Exchange hashpartitioning(path") == 1
