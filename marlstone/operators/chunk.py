@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.functions import text as T
+from marlstone.functions.text import once
 
 ROWS = 25
 TARGET_CHARS, MOST_CHARS = 700, 1200
@@ -34,11 +35,6 @@ def parts(cuts: Column, of: Column) -> Column:
     return F.transform(cuts, lambda c, i: F.slice(of, c + 1, F.coalesce(F.get(cuts, i + 1), F.size(of)) - c))
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """What `use` makes of a value that is computed once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _cut(docs: DataFrame, kept: Column, cuts: Callable[[Column], Column]) -> DataFrame:
     """(path, kind, part, lines) of each document: its kept lines, cut without a shuffle at the places that `cuts` tells.
 
@@ -50,11 +46,12 @@ def _cut(docs: DataFrame, kept: Column, cuts: Callable[[Column], Column]) -> Dat
 
 def _chunks(parts: DataFrame, chunk_kind: Column, title: Column) -> DataFrame:
     """One passage for each row of lines; chunk_kind and title may use `part` and `lines`."""
-    made = parts.select(
+    filled = F.exists("lines", lambda x: ~T.blank(x["content"]))  # asked of the lines, so that no text is made for the question
+    made = parts.where(filled).select(
         "path", "kind", chunk_kind.alias("chunk_kind"), title.alias("title"), F.col("lines")[0]["line"].alias("start_line"), F.element_at("lines", -1)["line"].alias("end_line"),
         F.array_join(F.transform("lines", lambda x: x["content"]), "\n").alias("text"), F.transform("lines", lambda x: x["line"]).alias("src_lines"),
     )
-    return made.where(~T.blank(F.col("text"))).withColumn("token_estimate", T.token_estimate(F.col("text"))).select(*COLUMNS)
+    return made.withColumn("token_estimate", T.token_estimate(F.col("text"))).select(*COLUMNS)
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -98,9 +95,9 @@ def rust_items(docs: DataFrame) -> DataFrame:
 
 def code_items(docs: DataFrame) -> DataFrame:
     """Items cut at lines that start one; blank lines at the document's beginning are left out."""
-    text = F.regexp_replace("text", rf"\A({T.SPACE}*\n)+", "")
-    skipped = F.size(T.lines(F.col("text"))) - F.size(T.lines(text))
-    kept = F.transform(T.lines(text), lambda line, i: F.struct((i + 1 + skipped).cast("long").alias("line"), line.alias("content")))
+    # the first filled line is found once: a count of lines told inside of the numbering split the text again for each of them
+    filled = lambda of: F.get(F.filter(of, lambda x: ~T.blank(x["content"])), F.lit(0))["line"].cast("int")
+    kept = once(_lines(F.col("text")), lambda of: once(F.coalesce(filled(of), F.size(of) + 1), lambda first: F.slice(of, first, F.greatest(F.size(of) - first + 1, F.lit(0)))))
     starts = lambda of: F.filter(_places(of), lambda i: (i == 0) | T.code_title(F.get(of, i)["content"]).isNotNull())
     return _chunks(_cut(docs, kept, starts), *_item("code item", T.code_title))
 

@@ -2,6 +2,7 @@
 
 import json
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -308,3 +309,34 @@ def test_tokens_with_and_without_wide_characters(spark):
 
 def test_ranking_measures_no_texts_that_only_the_budget_needs(spark):
     assert not {"token_estimate", "end_line"} & set(registry.ranked(spark, "/root/testdata/sf0.001").columns)
+
+
+def test_code_of_a_long_document(spark):
+    """The leading blank lines are counted once, not for each line: that took minutes for a text of this length."""
+    text = "\n \n\n" + "def f():\n  a\n" * 20_000
+    began = time.time()
+    got = chunk.code_items(spark.createDataFrame([("p", "code", text)], "path string, kind string, text string")).agg(F.count(F.lit(1)).alias("n"), F.min("start_line").alias("first"), F.max("end_line").alias("last")).first()
+    assert tuple(got) == (20_000, 4, 40_003) and time.time() - began < 30
+    none = spark.createDataFrame([("p", "code", t) for t in (None, "", "\n", " \n\n ", "\r\n")], "path string, kind string, text string")
+    assert chunk.code_items(none).count() == 0
+
+
+def test_statistics_of_labels_take_one_pass(spark):
+    plan = registry.pack_statistics(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2  # passages and findings
+    got = pack.label_counts(spark.createDataFrame([("x", "y"), ("x", "x")], "a string, b string"), "a", "b").collect()
+    assert sorted(map(tuple, got)) == [("x", 1), ("x", 2), ("y", 1)]
+
+
+def test_findings_in_any_case(spark):
+    """Lower case is taken letter by letter only where another letter would become an ASCII one."""
+    kinds = lambda line: [f.kind for f in one(spark, audit.line_findings, line)]
+    assert kinds("API_KEY=É23456789") == ["API key"] and kinds("API_KEY=123456789") == [] and kinds("POSTGRES://é") == ["Database URL"]
+    assert kinds("Móbile MOBILE 555-1234567") == ["Phone number"] and kinds("x 23913912345678") == [] and kinds("x 13912345678.") == ["Phone number"]
+
+
+def test_ends_of_lines(spark):
+    """White space by its characters and ends by bytes, as the patterns told them."""
+    rows = spark.createDataFrame([(f"{chr(c)}{mid}{end}{chr(c)}",) for c in [*range(0x3001), 0xFEFF] for mid, end in (("a b", "."), ("", ""))], "t string")
+    pattern = F.regexp_replace("t", rf"\A{T.SPACE}+|{T.SPACE}+\z", "")
+    assert rows.where(~T.trim(F.col("t")).eqNullSafe(pattern) | ~T.ends_sentence(F.col("t")).eqNullSafe(F.col("t").rlike(rf"[.。!！?？;；]{T.SPACE}*\z"))).count() == 0
