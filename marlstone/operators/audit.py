@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import SPACE, ascii_lower, lines, trim
+from marlstone.functions.text import SPACE, ascii_lower, lines, once, trim
 
 RANK = {"Low": 1, "Medium": 2, "High": 3}
 # What the rules look for.
@@ -32,25 +34,39 @@ def has_email(line: Column) -> Column:
     return line.contains("@") & F.exists(F.split(line, f"{SPACE}+"), is_email)
 
 
-def has_phone(line: Column) -> Column:
-    digits = F.length(F.regexp_replace(line, "[^0-9]", ""))
-    return line.rlike("(^|[^0-9])1[3-9][0-9]{9}([^0-9]|$)") | ((line.contains("+") | ascii_lower(line).rlike(PHONE_WORDS)) & digits.between(7, 15))
+def _any(line: Column, words: str) -> Column:
+    return reduce(Column.__or__, (line.contains(word) for word in words.split("|")))
+
+
+def has_phone(line: Column, low: Column | None = None) -> Column:
+    digits = F.length(F.regexp_replace(line, "[^0-9]+", ""))
+    mobile = line.rlike("1[3-9][0-9]{9}") & line.rlike("(^|[^0-9])1[3-9][0-9]{9}([^0-9]|$)")
+    return line.rlike("[0-9]") & (mobile | ((line.contains("+") | _any(ascii_lower(line) if low is None else low, PHONE_WORDS)) & digits.between(7, 15)))
 
 
 def line_findings(line: Column) -> Column:
     """Array of (kind, severity, evidence) for one line, in the order of the rules."""
-    low = ascii_lower(line)
-    value = assigned_value(low)
-    secret = low.rlike(SECRET_NAMES) & (F.octet_length(value) >= 8)
+    return once(line, lambda held: once(search_case(held), lambda low: _line_findings(held, low)))
+
+
+def search_case(line: Column) -> Column:
+    """A line in which ASCII words are found in any case: in lower case, if no other letter becomes an ASCII one by that."""
+    return F.when(line.contains("\u212a") | line.contains("\u0130"), ascii_lower(line)).otherwise(F.lower(line))
+
+
+def _line_findings(line: Column, low: Column) -> Column:
+    """Each rule asks first for a word that all it looks for have, by bytes; only then for its pattern."""
+    value = assigned_value(ascii_lower(line))
+    secret = _any(low, "_key|apikey|_token") & low.rlike(SECRET_NAMES) & (F.octet_length(value) >= 8)
     held = value.rlike(PLACEHOLDERS)
     rules = [
-        (low.rlike(DATABASES), "Database URL", F.lit("High"), F.lit("database connection string")),
-        (low.contains("begin ") & low.contains("private key"), "Private key", F.lit("High"), F.lit("private key block marker")),
+        (low.contains("://") & low.rlike(DATABASES), "Database URL", F.lit("High"), F.lit("database connection string")),
+        (low.contains("private key") & low.contains("begin "), "Private key", F.lit("High"), F.lit("private key block marker")),
         (secret, "API key", F.when(held, "Low").otherwise("High"), F.when(held, "placeholder credential assignment").otherwise("sensitive key assignment")),
-        (low.rlike(TOKEN_PARAMETERS) & (F.octet_length(line) >= 16), "URL token", F.lit("Medium"), F.lit("token-like URL parameter")),
-        (low.rlike(OVERRIDES), "Instruction override", F.lit("Medium"), F.lit("instruction override pattern")),
+        (low.contains("token=") & low.rlike(TOKEN_PARAMETERS) & (F.octet_length(line) >= 16), "URL token", F.lit("Medium"), F.lit("token-like URL parameter")),
+        (_any(low, OVERRIDES), "Instruction override", F.lit("Medium"), F.lit("instruction override pattern")),
         (has_email(line), "Email address", F.lit("Low"), F.lit("email address")),
-        (has_phone(line), "Phone number", F.lit("Medium"), F.lit("phone number")),
+        (has_phone(line, low), "Phone number", F.lit("Medium"), F.lit("phone number")),
     ]
     found = [F.when(rule, F.struct(F.lit(kind).alias("kind"), severity.alias("severity"), evidence.alias("evidence"))) for rule, kind, severity, evidence in rules]
     return F.filter(F.array(*found), lambda f: f.isNotNull())
