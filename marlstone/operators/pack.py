@@ -72,8 +72,10 @@ def spans(chunks: DataFrame) -> DataFrame:
     )
 
 
-def label_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+def label_counts(df: DataFrame, *columns: str) -> DataFrame:
+    """(label, n) of each value of each column, in one pass."""
+    labels = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).alias("label")) for c in columns))).alias("x"))
+    return labels.groupBy("x.of", "x.label").agg(F.count(F.lit(1)).alias("n")).select("label", "n")
 
 
 def _as_map(df: DataFrame, column: str) -> dict[str, int]:
