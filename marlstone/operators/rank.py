@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marlstone.functions import kinds
 from marlstone.functions import text as T
@@ -15,6 +20,8 @@ from marlstone.session import cut_lineage
 K1, B = 1.2, 0.75
 #: Terms of a batch of queries, with repeats, up to which every task is told them.
 TOLD_TERMS = 200_000
+#: Numbers in a table of terms or queries by passages, which bounds what a task of such a batch holds.
+TOLD_CELLS = 250_000
 
 
 @dataclass(frozen=True)
@@ -141,19 +148,83 @@ def rank(chunks: DataFrame, query: str, profile: Profile = Profile(), path_prefi
 def rank_batch(chunks: DataFrame, queries: DataFrame, id_column: str = "query_id", query_column: str = "query") -> DataFrame:
     """(id, path, start_line, bm25) of every passage that holds a term of a query, for many queries at once.
 
-    Texts are read once: tokens that no query has are left out where they are made, as long as the
-    queries' terms are few enough to be told to every task, and what is left is stored as postings.
+    Texts are read once: tokens that no query has are left out where they are made, and what is left is
+    stored as postings. If the queries' terms are few enough to be told to every task, a passage's
+    postings are one row, which meets all queries in its task, without a shuffle; else they are joined.
     """
     terms = cut_lineage(queries.select(F.col(id_column), F.posexplode(F.array_distinct(T.tokens(F.col(query_column)))).alias("at", "term")))
-    wanted = terms.select("term").distinct()
-    known = F.broadcast(wanted) if terms.count() <= TOLD_TERMS else wanted
     seen = Observation()
     tokens = chunks.select("path", "start_line", T.tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
     tokens = tokens.observe(seen, F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.avg("dl"), F.lit(0.0))).alias("mean"))
-    postings = tokens.select("path", "start_line", "dl", F.explode("w").alias("term")).join(known, "term", "left_semi")
+    return (_joined if terms.count() > TOLD_TERMS else _told)(tokens, seen, terms, id_column)
+
+
+def _joined(tokens: DataFrame, seen: Observation, terms: DataFrame, id_column: str) -> DataFrame:
+    postings = tokens.select("path", "start_line", "dl", F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
     postings = cut_lineage(postings.groupBy("path", "start_line", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf")))
     n, mean = F.lit(float(seen.get["n"])), F.lit(float(seen.get["mean"]))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     hits = postings.join(df.join(terms, "term"), "term").groupBy(id_column, "path", "start_line", "dl").agg(F.array_sort(F.collect_list(F.struct("at", "tf", "df"))).alias("h"))
     value = bm25(F.transform("h", lambda x: x["tf"]), F.col("dl"), F.transform("h", lambda x: x["df"]), n, mean)
     return hits.select(id_column, "path", "start_line", value.alias("bm25"))
+
+
+def _told(tokens: DataFrame, seen: Observation, terms: DataFrame, id_column: str) -> DataFrame:
+    held = sorted(terms.select("at", id_column, "term").collect(), key=lambda r: r.at)
+    words = sorted({r.term for r in held})
+    ids = list(dict.fromkeys(r[id_column] for r in held))
+    number, place = {w: i for i, w in enumerate(words)}, {q: i for i, q in enumerate(ids)}
+    # for each place in a query: which queries have a term there, and which one; an id that comes again has places of its own
+    layers, times = defaultdict(list), Counter()
+    for r in held:
+        layers[r.at, times[r.at, r[id_column]]].append((place[r[id_column]], number[r.term]))
+        times[r.at, r[id_column]] += 1
+    places = [np.array(layers[at], np.int64).T for at in sorted(layers)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The numbers of a passage's terms and how often each occurs; passages without any go."""
+        for batch in batches:
+            lists = batch.column("w")
+            found = pc.index_in(lists.flatten(), value_set=pa.array(words, lists.type.value_type))
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            hit = found.is_valid().to_numpy(zero_copy_only=False)
+            both, tf = np.unique(row[hit].astype(np.int64) * len(words) + found.drop_null().to_numpy(), return_counts=True)
+            rows, starts = np.unique(both // max(1, len(words)), return_index=True)
+            ends = pa.array(np.append(starts, len(both)), pa.int32())
+            kept = batch.select(["path", "start_line", "dl"]).take(pa.array(rows))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in (both % max(1, len(words)), tf)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *lists], names=["path", "start_line", "dl", "terms", "tf"])
+
+    fields = {f.name: f.dataType.simpleString() for f in tokens.schema}
+    postings = tokens.select("path", "start_line", "dl", "w").mapInArrow(count, f"path {fields['path']}, start_line {fields['start_line']}, dl int, terms array<int>, tf array<int>")
+    postings = cut_lineage(postings)
+    n, mean = float(seen.get["n"]), float(seen.get["mean"])
+    df = postings.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    idf = np.zeros(len(words))
+    for term, value in df.select("term", F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))).collect():
+        idf[term] = value
+    step = max(1, TOLD_CELLS // max(1, len(words), len(ids)))
+    id_field = terms.schema[id_column]
+    id_type = to_arrow_type(id_field.dataType)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A table of the terms' parts, a column for each of some passages, summed for each query in the order of its terms."""
+        known = pa.array(ids, id_type)
+        for whole in batches:
+            for first in range(0, whole.num_rows, step):
+                batch = whole.slice(first, step)
+                dl = batch.column("dl").to_numpy(zero_copy_only=False)
+                length = (1 - B) + B * (np.maximum(dl, 1).astype(np.float64) / mean)
+                lists, m = batch.column("terms"), batch.num_rows
+                row, term = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+                tf = batch.column("tf").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                part = np.zeros((len(words), m))
+                part[term, row] = idf[term] * (tf * (K1 + 1) / (tf + K1 * length[row]))
+                total = np.zeros((len(ids), m))
+                for query, term_of in places:
+                    total[query] += part[term_of]
+                query, row = np.nonzero(total)  # every part is above 0
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([known.take(pa.array(query)), batch.column("path").take(at), batch.column("start_line").take(at), pa.array(total[query, row])], names=[id_column, "path", "start_line", "bm25"])
+
+    return postings.mapInArrow(weigh, f"`{id_column}` {id_field.dataType.simpleString()}, path {fields['path']}, start_line {fields['start_line']}, bm25 double")

@@ -340,3 +340,25 @@ def test_ends_of_lines(spark):
     rows = spark.createDataFrame([(f"{chr(c)}{mid}{end}{chr(c)}",) for c in [*range(0x3001), 0xFEFF] for mid, end in (("a b", "."), ("", ""))], "t string")
     pattern = F.regexp_replace("t", rf"\A{T.SPACE}+|{T.SPACE}+\z", "")
     assert rows.where(~T.trim(F.col("t")).eqNullSafe(pattern) | ~T.ends_sentence(F.col("t")).eqNullSafe(F.col("t").rlike(rf"[.。!！?？;；]{T.SPACE}*\z"))).count() == 0
+
+
+def test_batch_of_queries_told_or_joined(spark, monkeypatch):
+    rows = [(f"p{i}", 1, " ".join(["alpha"] * (i % 4) + ["beta"] * (i % 3) + ["gamma", "検索"][: i % 5] + ["x"] * i)) for i in range(40)] + [("none", 1, None), ("empty", 1, "")]
+    passages = spark.createDataFrame(rows, "path string, start_line long, text string").repartition(3)
+    goals = spark.createDataFrame([(7, "beta alpha beta"), (8, "gamma x 検索 alpha"), (9, "absent"), (10, ""), (11, None), (7, "gamma")], "goal long, said string")
+    found = lambda: sorted(map(tuple, rank.rank_batch(passages, goals, "goal", "said").collect()))
+    told = found()
+    monkeypatch.setattr(rank, "TOLD_CELLS", 10)
+    assert found() == told and {r[0] for r in told} == {7, 8}
+    plan = rank.rank_batch(passages, goals, "goal", "said")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    monkeypatch.setattr(rank, "TOLD_TERMS", 0)
+    joined = found()
+    assert [r[:3] for r in joined] == [r[:3] for r in told] and all(a[3] == pytest.approx(b[3], rel=1e-14) for a, b in zip(joined, told, strict=True))
+    once = spark.createDataFrame([(8, "gamma x 検索 alpha")], "goal long, said string")
+    monkeypatch.setattr(rank, "TOLD_TERMS", 100)
+    exact = sorted(map(tuple, rank.rank_batch(passages, once, "goal", "said").collect()))
+    monkeypatch.setattr(rank, "TOLD_TERMS", 0)
+    assert exact == sorted(map(tuple, rank.rank_batch(passages, once, "goal", "said").collect()))
+    monkeypatch.setattr(rank, "TOLD_TERMS", 100)
+    assert rank.rank_batch(passages, goals.where("goal > 9"), "goal", "said").count() == 0
