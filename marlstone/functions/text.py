@@ -84,6 +84,11 @@ def is_wide(text: Column) -> Column:
     return ~is_ascii(text) & reduce(Column.__or__, (F.contains(held, F.lit(start)) for start in WIDE_STARTS))
 
 
+def holds(text: Column, word: str) -> Column:
+    """Whether the search form of a text contains a word of ASCII letters and digits. Only wide characters become such, so that no other text needs the table."""
+    return once(text, lambda t: F.lower(t).contains(word) | (is_wide(t) & search_form(t).contains(word)))
+
+
 def tokens(text: Column) -> Column:
     """Runs of CJK or of word characters; a CJK run is followed by its 2-, 3- and 4-grams."""
     runs = F.regexp_extract_all(search_form(text), F.lit(rf"([{CJK}]+|[a-z0-9_[\p{{IsAlphabetic}}\p{{N}}&&[^{CJK}]]]+)"), F.lit(1))

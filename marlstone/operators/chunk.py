@@ -38,10 +38,10 @@ def parts(cuts: Column, of: Column) -> Column:
 def _cut(docs: DataFrame, kept: Column, cuts: Callable[[Column], Column]) -> DataFrame:
     """(path, kind, part, lines) of each document: its kept lines, cut without a shuffle at the places that `cuts` tells.
 
-    The pieces are exploded, not the places, so that no row holds more than its own lines.
+    The pieces are exploded, not the places, so that no row holds more than its own lines. They have no
+    column of their own: the planner would ask it for null and for its size where texts are read, and cut each text three times.
     """
-    held = docs.select("path", "kind", once(kept, lambda of: once(cuts(of), lambda c: parts(c, of))).alias("parts"))
-    return held.select("path", "kind", F.posexplode("parts").alias("part", "lines"))
+    return docs.select("path", "kind", F.posexplode(once(kept, lambda of: once(cuts(of), lambda c: parts(c, of)))).alias("part", "lines"))
 
 
 def _chunks(parts: DataFrame, chunk_kind: Column, title: Column) -> DataFrame:
