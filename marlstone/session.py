@@ -124,7 +124,21 @@ class Folder:
             self._fs.delete(self.top, False)
 
 
+#: Removes a query's shuffle files when it ends; otherwise they stay until the driver happens to collect its garbage.
+CLEANUP_OPTION = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame, files: int | None = None) -> DataFrame:
-    """An eager checkpoint in the shared folder, in no more than `files` files if that is given."""
+    """An eager checkpoint in the shared folder, in no more than `files` files if that is given. The shuffle files behind it go, for nothing reads them again."""
     shared_folder(df.sparkSession)
-    return (df.coalesce(max(1, files)) if files is not None else df).checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP_OPTION, None)
+    conf.set(CLEANUP_OPTION, "true")
+    try:
+        # a DataFrame goes by the option as it is when the DataFrame is made
+        return (df.coalesce(max(1, files)) if files is not None else df.select("*")).checkpoint(eager=True)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP_OPTION)
+        else:
+            conf.set(CLEANUP_OPTION, before)

@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone import cli, config
+from marlstone import cli, config, session
 from marlstone.functions import text as T
 from marlstone.operators import audit, budget, chunk, index, pack, rank, search
 from marlstone.plans import registry, tree
@@ -383,3 +383,24 @@ def test_texts_are_cut_once(spark):
         assert plan.count("Generate posexplode(transform(") == cuts and "size(transform(array(" not in plan
     plan = registry.span_merge(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("oren") >= 4  # the texts of both chunkers are asked, then the passages
+
+
+def test_shuffle_files_behind_a_checkpoint_go(spark):
+    """They stayed until the driver's collector found them, beside those of the stages that follow."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: set(re.findall(r"shuffle_\w+", blocks.getAllFiles().mkString("\n")))
+    before = held()
+    for files in (2, None):
+        rows = session.cut_lineage(spark.range(20_000).groupBy((F.col("id") % 997).alias("k")).agg(F.collect_set("id").alias("ids")), files)
+        for _ in range(50):
+            if not held() - before:
+                break
+            time.sleep(0.1)
+        assert not held() - before
+        assert rows.count() == 997 and rows.select(F.sum(F.size("ids"))).first()[0] == 20_000
+        before = held()
+    assert spark.conf.get(session.CLEANUP_OPTION, None) is None
+    spark.conf.set(session.CLEANUP_OPTION, "false")
+    session.cut_lineage(spark.range(3))
+    assert spark.conf.get(session.CLEANUP_OPTION) == "false"
+    spark.conf.unset(session.CLEANUP_OPTION)
